@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import math
 from dataclasses import dataclass, field as dc_field
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import (NUMBER, TEMPORAL, TEXT, as_number, col, families, group_key)
-from .quantiles import SKETCH_ACCURACY, exact_quantiles
+from .quantiles import exact_quantiles, sketch_quantiles
 
 # Limits and thresholds of the profile.
 EXACT_LIMIT = 200_000
@@ -144,11 +145,12 @@ def _hashable(dtype: T.DataType, c: Column) -> Column:
 def profile(df: DataFrame, rejected: int = 0) -> Profile:
     """Profile every column of ``df``.
 
-    However wide the table, at most four scans: one for counts, ranges and
+    However wide the table, a handful of jobs: one for counts, ranges and
     sketches; up to ``EXACT_LIMIT`` rows one more for exact distinct counts
-    and quartiles; one for all histograms and common values; and one for the
-    repeats of columns that look like keys. Above the limit distinct counts
-    and quartiles come from sketches and say so.
+    and quartiles; one for all histograms, one for all common values (each
+    column is in just one of the two); and one for the repeats of columns that
+    look like keys. Above the limit distinct counts and quartiles come from
+    sketches and say so.
     """
     fams = families(df)
     first = _facts(df, fams)
@@ -165,7 +167,7 @@ def profile(df: DataFrame, rejected: int = 0) -> Profile:
         if fam in (NUMBER, TEMPORAL):
             c.min, c.max = first[f"lo{i}"], first[f"hi{i}"]
             if n:
-                c.span = (first[f"slo{i}"], first[f"shi{i}"])
+                c.span = (seconds(c.min), seconds(c.max))
         if fam == NUMBER:
             c.mean = first[f"avg{i}"]
             c.q1, c.median, c.q3 = (precise or first)[f"q{i}"] or [None] * 3
@@ -175,6 +177,11 @@ def profile(df: DataFrame, rejected: int = 0) -> Profile:
     return Profile(rows, rejected, not exact, columns, _leads(df, columns))
 
 
+def seconds(value) -> float:
+    """A number as a double; a time without zone as seconds since 1970."""
+    return (value - dt.datetime(1970, 1, 1)).total_seconds() if isinstance(value, dt.datetime) else float(value)
+
+
 def _facts(df: DataFrame, fams) -> dict:
     aggs = [F.count(F.lit(1)).alias("rows")]
     for i, (name, fam) in enumerate(fams):
@@ -182,14 +189,14 @@ def _facts(df: DataFrame, fams) -> dict:
         aggs.append(F.count(c).alias(f"n{i}"))
         aggs.append(distinct_sketch(_hashable(dtype, c)).alias(f"d{i}"))
         if fam in (NUMBER, TEMPORAL):
-            plain = c if fam == NUMBER else c.cast("timestamp_ntz")
-            x = as_number(name, dtype)
-            aggs += [F.min(plain).alias(f"lo{i}"), F.max(plain).alias(f"hi{i}"),
-                     F.min(x).alias(f"slo{i}"), F.max(x).alias(f"shi{i}")]
+            lo, hi = F.min(c), F.max(c)
+            if fam == TEMPORAL:
+                lo, hi = lo.cast("timestamp_ntz"), hi.cast("timestamp_ntz")
+            aggs += [lo.alias(f"lo{i}"), hi.alias(f"hi{i}")]
         if fam == NUMBER:
             x = c.cast("double")
             aggs += [F.avg(x).alias(f"avg{i}"),
-                     F.percentile_approx(x, list(QUARTILES), SKETCH_ACCURACY).alias(f"q{i}")]
+                     sketch_quantiles(x, QUARTILES).alias(f"q{i}")]
     return df.agg(*aggs).first().asDict()
 
 
@@ -237,45 +244,56 @@ def build_histogram(c, counts: dict[int, int]) -> list[Bin]:
     return bins
 
 
+def histogram_counts(df: DataFrame, spans: dict[str, tuple[float, float]]) -> dict[str, dict[int, int]]:
+    """Rows per bin of many columns, in one scan of just those columns.
+
+    A row becomes one small number per column, counted before it is shuffled.
+    """
+    names = [n for n, span in spans.items() if has_spread(span)]
+    if not names:
+        return {}
+    codes = F.array(*[bin_of(n, df.schema[n].dataType, spans[n]) + F.lit(i * HIST_BINS)
+                      for i, n in enumerate(names)])
+    counted = (df.select(F.explode(codes).alias("code")).filter(F.col("code").isNotNull())
+               .groupBy("code").agg(F.count(F.lit(1)).alias("n")))
+    out: dict[str, dict[int, int]] = {n: {} for n in names}
+    for row in counted.collect():
+        i, b = divmod(row["code"], HIST_BINS)
+        out[names[i]][b] = row["n"]
+    return out
+
+
+def value_counts(df: DataFrame, names: list[str]) -> DataFrame:
+    """(column, value, n) of several text columns, in one scan of just those."""
+    entries = [F.struct(F.lit(n).alias("column"), col(n).cast("string").alias("value")) for n in names]
+    return (df.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
+            .filter(F.col("value").isNotNull()).groupBy("column", "value")
+            .agg(F.count(F.lit(1)).alias("n")))
+
+
 def _distributions(df: DataFrame, columns: list[ColumnProfile]) -> None:
-    """Histograms, commonest values and rare counts of all columns, in one scan.
+    """Histograms, then commonest values and rare counts.
 
-    Each row gives one (column, bin) or (column, value) entry per column, and
-    the entries are counted before they are shuffled. Bins are few and a text
-    column takes part only with few distinct values, so the counts are small.
+    Text columns take part only with few distinct values, so what is ranked
+    per column is small.
     """
-    binned = [i for i, c in enumerate(columns) if has_spread(c.span)]
-    listed = [i for i, c in enumerate(columns)
-              if c.family == TEXT and c.non_null and (c.distinct or 0) <= TOP_DISTINCT_LIMIT]
-    entries = []
-    for i, c in enumerate(columns):
-        dtype = df.schema[c.name].dataType
-        none = F.lit(None)
-        if i in binned:
-            entries.append(F.struct(F.lit(i).alias("c"), bin_of(c.name, dtype, c.span).alias("bin"),
-                                    none.cast("string").alias("value")))
-        elif i in listed:
-            entries.append(F.struct(F.lit(i).alias("c"), none.cast("int").alias("bin"),
-                                    col(c.name).cast("string").alias("value")))
-    bins: dict[int, dict[int, int]] = {}
-    if entries:
-        per_column = Window.partitionBy("c")
-        counted = (df.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
-                   .filter(F.col("bin").isNotNull() | F.col("value").isNotNull())
-                   .groupBy("c", "bin", "value").agg(F.count(F.lit(1)).alias("n"))
-                   .withColumn("place", F.row_number().over(per_column.orderBy(F.desc("n"), "value")))
-                   .withColumn("rare", F.sum((F.col("n") <= RARE_COUNT).cast("long")).over(per_column))
-                   .filter(F.col("bin").isNotNull() | (F.col("place") <= TOP_VALUES)))
-        for row in counted.orderBy("c", "place").collect():
-            c = columns[row["c"]]
-            if row["bin"] is not None:
-                bins.setdefault(row["c"], {})[row["bin"]] = row["n"]
-            else:
-                c.rare = row["rare"]
-                c.top = (c.top or []) + [Counted(row["value"], row["n"])]
-    for i, c in enumerate(columns):
+    bins = histogram_counts(df, {c.name: c.span for c in columns if c.span})
+    for c in columns:
         if c.family in (NUMBER, TEMPORAL) and c.non_null:
-            c.histogram = build_histogram(c, bins.get(i, {}))
+            c.histogram = build_histogram(c, bins.get(c.name, {}))
+    listed = {c.name: c for c in columns
+              if c.family == TEXT and c.non_null and (c.distinct or 0) <= TOP_DISTINCT_LIMIT}
+    if not listed:
+        return
+    per_column = Window.partitionBy("column")
+    ranked = (value_counts(df, list(listed))
+              .withColumn("place", F.row_number().over(per_column.orderBy(F.desc("n"), "value")))
+              .withColumn("rare", F.sum((F.col("n") <= RARE_COUNT).cast("long")).over(per_column))
+              .filter(F.col("place") <= TOP_VALUES))
+    for row in ranked.orderBy("column", "place").collect():
+        c = listed[row["column"]]
+        c.rare = row["rare"]
+        c.top = (c.top or []) + [Counted(row["value"], row["n"])]
 
 
 def _leads(df: DataFrame, columns: list[ColumnProfile]) -> list[Lead]:
@@ -329,7 +347,7 @@ def summarize(df: DataFrame) -> DataFrame:
             F.min(comparable).cast("string").alias(f"min{i}"), F.max(comparable).cast("string").alias(f"max{i}"),
             distinct_sketch(_hashable(f.dataType, c)).alias(f"u{i}"), F.count(c).alias(f"n{i}"),
             F.avg(x).alias(f"avg{i}"), F.stddev_samp(x).alias(f"std{i}"),
-            F.percentile_approx(x, list(QUARTILES), SKETCH_ACCURACY).alias(f"q{i}")]
+            (sketch_quantiles(x, QUARTILES) if number else F.lit(None).cast("array<double>")).alias(f"q{i}")]
     row = F.col
     lines = [F.struct(
         F.lit(f.name).alias("column_name"), F.lit(f.dataType.simpleString()).alias("column_type"),

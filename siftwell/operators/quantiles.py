@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+import math
+import operator
+import sys
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -13,8 +17,10 @@ from ..functions.columns import as_number, col
 IN_TASK_VALUES = 200_000
 # Bins one narrowing pass cuts each bracket into.
 NARROW_BINS = 2_048
-# percentile_approx answers within 1/SKETCH_ACCURACY of the asked rank.
-SKETCH_ACCURACY = 10_000
+# Size of the rank sketch, and how far from a wanted rank its answer may lie
+# (several standard errors). A bracket that misses is noticed and widened.
+SKETCH_K = 4_000
+SKETCH_MARGIN = 0.004
 
 
 def exact_quantiles(column: Column, fractions) -> Column:
@@ -22,39 +28,52 @@ def exact_quantiles(column: Column, fractions) -> Column:
     return F.percentile(column.cast("double"), F.array(*[F.lit(float(f)) for f in fractions]))
 
 
-def sketch_bracket(column: Column, fraction: float) -> Column:
-    """Two values that bracket a quantile's rank, from a mergeable sketch."""
-    margin = 2.0 / SKETCH_ACCURACY
-    ends = [F.lit(max(0.0, fraction - margin)), F.lit(min(1.0, fraction + margin))]
-    return F.percentile_approx(column.cast("double"), F.array(*ends), SKETCH_ACCURACY)
+def sketch_quantiles(column: Column, fractions) -> Column:
+    """Approximate quantiles: values of the column near the wanted ranks."""
+    x = column.cast("double")
+    sketch = F.kll_sketch_agg_double(x, F.lit(SKETCH_K))
+    ranks = F.array(*[F.lit(float(f)) for f in fractions])
+    return F.when(F.count(x) > 0, F.kll_sketch_get_quantile_double(sketch, ranks))
+
+
+def sketch_brackets(column: Column, fractions) -> Column:
+    """For each fraction, two values that very likely bracket its rank."""
+    return sketch_quantiles(column, [end for p in fractions
+                                     for end in (max(0.0, p - SKETCH_MARGIN), min(1.0, p + SKETCH_MARGIN))])
 
 
 @dataclass
 class _Target:
-    """One order statistic being closed in on: the value of a 0-based rank."""
+    """One quantile being closed in on: two neighbouring 0-based ranks, and a
+    bracket of values that holds both."""
 
     column: str
-    rank: int
+    first: int
+    last: int
     lo: float
     hi: float
     below: int | None = None
     inside: int | None = None
-    value: float | None = None
+    values: tuple[float, float] | None = None
+
+    def holds(self, x: Column) -> Column:
+        return x.between(F.lit(self.lo), F.lit(self.hi))
 
     @property
-    def small(self) -> bool:
-        return self.inside is not None and self.inside <= IN_TASK_VALUES
+    def brackets_ranks(self) -> bool:
+        return self.below <= self.first and self.last < self.below + self.inside
 
 
 def quantiles(df: DataFrame, facts: dict[str, dict], fractions) -> dict[str, list[float | None]]:
-    """Exact quantiles of number columns.
+    """Exact, linearly interpolated quantiles of number columns.
 
     ``facts`` gives each column's ``n`` (non-null count), ``min``, ``max`` and,
-    where there are many rows, ``brackets``: a (low, high) guess per fraction.
+    optionally, ``brackets``: the values of ``sketch_brackets``.
 
-    Few rows: one aggregate. Many: every wanted rank is closed in on with
-    scans that count values per bin. A pass moves counts only, never rows, and
-    a bracket is read in one task only once its size is known to be small.
+    Few rows: one aggregate. Many: count what lies below and inside each
+    bracket, then cut the bracket into bins and keep the one that holds the
+    rank, until it is known to be small enough for one task. Every scan moves
+    counts, never rows, and reads only rows inside a bracket.
     """
     out: dict[str, list[float | None]] = {c: [None] * len(fractions) for c in facts}
     filled = {c: f for c, f in facts.items() if f["n"]}
@@ -64,94 +83,114 @@ def quantiles(df: DataFrame, facts: dict[str, dict], fractions) -> dict[str, lis
         for i, c in enumerate(few):
             out[c] = list(row[i])
 
-    many = {c: f for c, f in filled.items() if c not in few}
     targets: dict[tuple[str, int], _Target] = {}
-    for c, f in many.items():
-        for i, p in enumerate(fractions):
-            lo, hi = (f.get("brackets") or [])[i] if f.get("brackets") else (f["min"], f["max"])
-            for rank in _ranks(p, f["n"]):
-                targets.setdefault((c, rank), _Target(c, rank, float(lo), float(hi)))
-    _settle(df, list(targets.values()), many)
-    for c, f in many.items():
+    for c, f in filled.items():
+        if c in few:
+            continue
         for i, p in enumerate(fractions):
-            low, high = (targets[(c, r)].value for r in _ranks(p, f["n"]))
-            part = p * (f["n"] - 1) - int(p * (f["n"] - 1))
-            out[c][i] = low + (high - low) * part if low != high else low
+            at = int(p * (f["n"] - 1))
+            lo, hi = f["brackets"][2 * i:2 * i + 2] if f.get("brackets") else (f["min"], f["max"])
+            targets[(c, i)] = _Target(c, at, min(at + 1, f["n"] - 1), float(lo), float(hi))
+    _settle(df, list(targets.values()), filled)
+    for (c, i), t in targets.items():
+        low, high = t.values
+        part = fractions[i] * (filled[c]["n"] - 1) - t.first
+        out[c][i] = low + (high - low) * part if low != high else low
     return out
 
 
-def _ranks(p: float, n: int) -> tuple[int, int]:
-    at = p * (n - 1)
-    return int(at), min(int(at) + 1, n - 1)
-
-
 def _settle(df: DataFrame, targets: list[_Target], facts: dict[str, dict]) -> None:
+    _measure(df, targets)
+    for t in targets:
+        if not t.brackets_ranks:    # the sketch missed: take the whole range
+            f = facts[t.column]
+            t.lo, t.hi, t.below, t.inside = float(f["min"]), float(f["max"]), 0, f["n"]
     while True:
         for t in targets:
-            if t.value is None and t.lo == t.hi and t.below is not None:
-                t.value = t.lo
-        todo = [t for t in targets if t.value is None]
+            if t.values is None and t.lo == t.hi:
+                t.values = (t.lo, t.lo)
+        todo = [t for t in targets if t.values is None]
         if not todo:
             return
-        small = [t for t in todo if t.small]
+        small = [t for t in todo if t.inside <= IN_TASK_VALUES]
         if small:
-            _read_small(df, small)
-        wide = [t for t in todo if not t.small]
+            _read(df, small)
+        wide = [t for t in todo if t.inside > IN_TASK_VALUES]
         if wide:
-            _narrow(df, wide, facts)
+            _narrow(df, wide)
+
+
+def _numbers(df: DataFrame, targets: list[_Target]) -> DataFrame:
+    return df.select([as_number(c, df.schema[c].dataType).alias(c) for c in sorted({t.column for t in targets})])
+
+
+def _measure(df: DataFrame, targets: list[_Target]) -> None:
+    if not targets:
+        return
+    aggs = []
+    for i, t in enumerate(targets):
+        aggs += [F.count_if(col(t.column) < F.lit(t.lo)).alias(f"b{i}"),
+                 F.count_if(t.holds(col(t.column))).alias(f"i{i}")]
+    row = _numbers(df, targets).agg(*aggs).first()
+    for i, t in enumerate(targets):
+        t.below, t.inside = row[f"b{i}"], row[f"i{i}"]
+
+
+def _inside(df: DataFrame, targets: list[_Target], entry) -> DataFrame:
+    """One entry per row and target whose bracket the row's value is in."""
+    numbers = _numbers(df, targets)
+    near = functools.reduce(operator.or_, [t.holds(col(t.column)) for t in targets])
+    entries = [F.when(t.holds(col(t.column)), entry(i, t, col(t.column))) for i, t in enumerate(targets)]
+    return (numbers.filter(near).select(F.explode(F.array(*entries)).alias("e"))
+            .filter(F.col("e").isNotNull()).select("e.*"))
 
 
-def _tagged(df: DataFrame, targets: list[_Target], entry) -> DataFrame:
-    """Each row's value once for every target it matters to."""
-    schema = df.schema
-    names = sorted({t.column for t in targets})
-    base = df.select([as_number(c, schema[c].dataType).alias(c) for c in names])
-    entries = F.filter(F.array(*[entry(i, t, col(t.column)) for i, t in enumerate(targets)]),
-                       lambda e: e.isNotNull())
-    return base.select(F.explode(entries).alias("e")).select("e.*")
+def _place(t: _Target, x: Column) -> Column:
+    """The bin of a value: the bracket's ends never share one, so every pass
+    makes progress. Infinities and NaN have bins of their own."""
+    lo, hi = max(t.lo, -sys.float_info.max), min(t.hi, sys.float_info.max)
+    step = max(hi / NARROW_BINS - lo / NARROW_BINS, 5e-324)
+    place = F.least(F.floor((x - F.lit(lo)) / F.lit(step)), F.lit(NARROW_BINS - 1)).cast("int")
+    return (F.when(x == F.lit(-math.inf), F.lit(-1)).when(x == F.lit(math.inf), F.lit(NARROW_BINS))
+            .when(F.isnan(x), F.lit(NARROW_BINS + 1)).otherwise(place))
 
 
-def _narrow(df: DataFrame, targets: list[_Target], facts: dict[str, dict]) -> None:
+def _narrow(df: DataFrame, targets: list[_Target]) -> None:
     def entry(i, t, x):
-        width = (t.hi - t.lo) / NARROW_BINS
-        index = F.lit(0) if width <= 0 else F.least(
-            F.floor((x - F.lit(t.lo)) / F.lit(width)).cast("int"), F.lit(NARROW_BINS - 1))
-        inside = F.when(x.between(F.lit(t.lo), F.lit(t.hi)), index)
-        if t.below is None:
-            inside = F.when(x < F.lit(t.lo), F.lit(-1)).otherwise(inside)
-        return F.when(inside.isNotNull(), F.struct(F.lit(i).alias("t"), inside.alias("bin"), x.alias("x")))
-
-    counted = (_tagged(df, targets, entry).groupBy("t", "bin")
+        return F.struct(F.lit(i).alias("t"), _place(t, x).alias("bin"), x.alias("x"))
+
+    counted = (_inside(df, targets, entry).groupBy("t", "bin")
                .agg(F.count("x").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")))
     bins: dict[int, list] = {}
     for row in counted.orderBy("t", "bin").collect():
         bins.setdefault(row["t"], []).append(row)
     for i, t in enumerate(targets):
-        found = bins.get(i, [])
-        below = t.below or 0
-        if found and found[0]["bin"] == -1:
-            below = found.pop(0)["n"]
-        if not below <= t.rank < below + sum(b["n"] for b in found):
-            # The sketch's bracket missed: start over from the whole range.
-            t.lo, t.hi, t.below, t.inside = facts[t.column]["min"], facts[t.column]["max"], 0, None
-            continue
-        for b in found:
-            if t.rank < below + b["n"]:
-                t.lo, t.hi, t.below, t.inside = b["lo"], b["hi"], below, b["n"]
+        below = t.below
+        for at, b in enumerate(bins[i]):
+            if t.first < below + b["n"]:
+                if t.last < below + b["n"]:
+                    t.lo, t.hi, t.below, t.inside = b["lo"], b["hi"], below, b["n"]
+                else:    # the two ranks are neighbours across two bins
+                    t.values = (b["hi"], bins[i][at + 1]["lo"])
                 break
             below += b["n"]
 
 
-def _read_small(df: DataFrame, targets: list[_Target]) -> None:
+def _read(df: DataFrame, targets: list[_Target]) -> None:
     def entry(i, t, x):
-        hit = x.between(F.lit(t.lo), F.lit(t.hi))
-        return F.when(hit, F.struct(F.lit(i).alias("t"), x.alias("x")))
+        return F.struct(F.lit(i).alias("t"), x.alias("x"))
+
+    def rank_of(name):
+        return F.create_map(*[F.lit(v) for i, t in enumerate(targets)
+                              for v in (i, getattr(t, name) - t.below)])[F.col("t")]
 
-    wanted = F.create_map(*[F.lit(v) for i, t in enumerate(targets) for v in (i, t.rank - t.below)])
     end = F.sum("n").over(Window.partitionBy("t").orderBy("x"))
-    rows = (_tagged(df, targets, entry).groupBy("t", "x").agg(F.count("x").alias("n"))
-            .withColumn("end", end).withColumn("rank", wanted[F.col("t")])
-            .filter((F.col("rank") < F.col("end")) & (F.col("rank") >= F.col("end") - F.col("n")))
-            .select("t", "x").collect())
-    for row in rows:
-        targets[row["t"]].value = row["x"]
+    start = F.col("end") - F.col("n")
+
+    def at(name):
+        return F.max(F.when((rank_of(name) >= start) & (rank_of(name) < F.col("end")), F.col("x")))
+
+    rows = (_inside(df, targets, entry).groupBy("t", "x").agg(F.count("x").alias("n"))
+            .withColumn("end", end).groupBy("t").agg(at("first").alias("low"), at("last").alias("high")))
+    for row in rows.collect():
+        targets[row["t"]].values = (row["low"], row["high"])
