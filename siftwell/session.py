@@ -59,3 +59,11 @@ def checkpointed(df):
     """``df`` written once to the shared folder, with its lineage cut."""
     workspace(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove an intermediate table of ours, on whatever file system it lies."""
+    if not path.startswith(workspace(spark) + "/"):
+        raise ValueError(f"{path} is not in the shared folder")
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
