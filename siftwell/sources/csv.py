@@ -101,7 +101,7 @@ class CsvLoad:
         header = _first_line(spark, path)
         self.staged = self._stage(records.lines(spark, path).withColumn("number", F.lit(None).cast("long")),
                                   header, numbered=False)
-        if self.staged.filter("opens").limit(1).count():
+        if not self.staged.filter("opens").isEmpty():
             header = self._stage_multiline()
         self._check_headers(header)
         unknown = [c for c in force_text if c not in self.names]
@@ -127,12 +127,10 @@ class CsvLoad:
         # A file with one column may hold empty lines that mean a blank value.
         empty = F.lit(False) if width == 1 else F.length("text") == 0
         parsed = (found.withColumn("head", is_head).withColumn("empty", F.coalesce(empty, F.lit(False)))
-                  .withColumn("opens", F.lit(False) if numbered else
-                              records.ends_open(F.col("text"), self.delim))
+                  .withColumn("opens", F.coalesce(records.ends_open(F.col("text"), self.delim), F.lit(False)))
                   .withColumn("cells", _cells(F.col("text"), width, self.delim)))
-        bad = F.col("oversize") | (~F.col("empty") & F.col("cells.broken").isNotNull())
-        if width == 1:
-            bad = bad & (F.length("text") > 0)
+        bad = F.col("oversize") | F.col("opens") | (
+            ~F.col("empty") & F.col("cells.broken").isNotNull() & (F.length("text") > 0))
         place = [c for c in ("file", "block", "pos", "number") if c in found.columns]
         keep_text = bad | F.col("head")
         return self._write(parsed.select(
@@ -154,7 +152,7 @@ class CsvLoad:
         staged = self.staged
         if "pos" not in staged.columns:
             other = staged.filter(F.col("head") & ~F.col("text").eqNullSafe(F.lit(header)))
-            if other.limit(1).count():
+            if not other.isEmpty():
                 raise SpecError("the files do not all have the same header")
             return
         first = staged.groupBy("file").agg(
@@ -167,7 +165,6 @@ class CsvLoad:
         if seen["heads"] > 1:    # a row that repeats the header is a row
             self.staged = (staged.join(first.select("file", "head_at"), "file")
                            .withColumn("head", F.col("head") & (F.col("pos") == F.col("head_at"))).drop("head_at"))
-            self._heads_repeat = True
 
     def _good_text(self) -> DataFrame:
         rows = self.staged.filter(~F.col("head") & ~F.col("empty") & ~F.col("bad"))

@@ -135,9 +135,24 @@ def assemble(staged: DataFrame, delim: str) -> DataFrame:
                 .select("file", "block", "pos", "text", "inside", "goes_on",
                         (F.col("before") + F.col("nth")).alias("number")))
 
+    # A quote that is still open at the end of its file quotes nothing: the
+    # lines after it stand for themselves.
+    last = numbered.groupBy("file").agg(F.max_by("goes_on", F.struct("block", "pos")).alias("cut_short"),
+                                        F.max("number").alias("last"))
+    numbered = (numbered.join(last, "file")
+                .withColumn("loose", F.col("cut_short") & (F.col("number") == F.col("last")))
+                .drop("cut_short", "last"))
+    loose = numbered.filter("loose")
+    loose = with_line_numbers(loose, block_offsets(staged))
+    opened = loose.groupBy("file").agg(F.min("line").alias("opened_at"))
+    loose = (loose.join(opened, "file")
+             .select("file", (F.col("number") + F.col("line") - F.col("opened_at")).alias("number"), "text",
+                     F.lit(False).alias("oversize")))
+
+    whole = numbered.filter(~F.col("loose"))
     alone = ~F.col("inside") & ~F.col("goes_on")
-    single = numbered.filter(alone).select("file", "number", "text", F.lit(False).alias("oversize"))
-    several = numbered.filter(~alone)
+    single = whole.filter(alone).select("file", "number", "text", F.lit(False).alias("oversize"))
+    several = whole.filter(~alone)
     sized = several.groupBy("file", "number").agg(F.sum(F.length("text") + 1).alias("chars"))
     small = (several.join(sized.filter(F.col("chars") <= MAX_RECORD_CHARS), ["file", "number"])
              .groupBy("file", "number").agg(F.array_sort(F.collect_list(F.struct("block", "pos", "text"))).alias("parts"))
@@ -145,4 +160,4 @@ def assemble(staged: DataFrame, delim: str) -> DataFrame:
                      F.lit(False).alias("oversize")))
     large = sized.filter(F.col("chars") > MAX_RECORD_CHARS).select(
         "file", "number", F.lit(None).cast("string").alias("text"), F.lit(True).alias("oversize"))
-    return single.unionByName(small).unionByName(large)
+    return single.unionByName(loose).unionByName(small).unionByName(large)
