@@ -121,11 +121,15 @@ def above_fence(c: Column, high: float) -> Column:
 
 
 def mostly_blank(df: DataFrame) -> Column:
+    def total(parts: list[Column]) -> Column:
+        # Halved, not chained: a wide table must not make a deep expression.
+        if len(parts) == 1:
+            return parts[0]
+        half = len(parts) // 2
+        return total(parts[:half]) + total(parts[half:])
+
     blanks = [col(c).isNull().cast("int") for c in df.columns]
-    total = blanks[0]
-    for b in blanks[1:]:
-        total = total + b
-    return total >= F.lit(MOSTLY_BLANK * len(blanks))
+    return total(blanks) >= F.lit(MOSTLY_BLANK * len(blanks))
 
 
 # ---------------------------------------------------- rows behind findings

@@ -64,20 +64,21 @@ class _Target:
         return self.below <= self.first and self.last < self.below + self.inside
 
 
-def quantiles(df: DataFrame, facts: dict[str, dict], fractions) -> dict[str, list[float | None]]:
+def quantiles(df: DataFrame, facts: dict[str, dict], fractions,
+              in_task: int = IN_TASK_VALUES) -> dict[str, list[float | None]]:
     """Exact, linearly interpolated quantiles of number columns.
 
     ``facts`` gives each column's ``n`` (non-null count), ``min``, ``max`` and,
     optionally, ``brackets``: the values of ``sketch_brackets``.
 
-    Few rows: one aggregate. Many: count what lies below and inside each
+    Up to ``in_task`` values: one aggregate. Many: count what lies below and inside each
     bracket, then cut the bracket into bins and keep the one that holds the
     rank, until it is known to be small enough for one task. Every scan moves
     counts, never rows, and reads only rows inside a bracket.
     """
     out: dict[str, list[float | None]] = {c: [None] * len(fractions) for c in facts}
     filled = {c: f for c, f in facts.items() if f["n"]}
-    few = [c for c, f in filled.items() if f["n"] <= IN_TASK_VALUES]
+    few = [c for c, f in filled.items() if f["n"] <= in_task]
     if few:
         row = df.agg(*[exact_quantiles(col(c), fractions).alias(f"q{i}") for i, c in enumerate(few)]).first()
         for i, c in enumerate(few):
@@ -91,7 +92,7 @@ def quantiles(df: DataFrame, facts: dict[str, dict], fractions) -> dict[str, lis
             at = int(p * (f["n"] - 1))
             lo, hi = f["brackets"][2 * i:2 * i + 2] if f.get("brackets") else (f["min"], f["max"])
             targets[(c, i)] = _Target(c, at, min(at + 1, f["n"] - 1), float(lo), float(hi))
-    _settle(df, list(targets.values()), filled)
+    _settle(df, list(targets.values()), filled, in_task)
     for (c, i), t in targets.items():
         low, high = t.values
         part = fractions[i] * (filled[c]["n"] - 1) - t.first
@@ -99,7 +100,7 @@ def quantiles(df: DataFrame, facts: dict[str, dict], fractions) -> dict[str, lis
     return out
 
 
-def _settle(df: DataFrame, targets: list[_Target], facts: dict[str, dict]) -> None:
+def _settle(df: DataFrame, targets: list[_Target], facts: dict[str, dict], in_task: int) -> None:
     _measure(df, targets)
     for t in targets:
         if not t.brackets_ranks:    # the sketch missed: take the whole range
@@ -112,10 +113,10 @@ def _settle(df: DataFrame, targets: list[_Target], facts: dict[str, dict]) -> No
         todo = [t for t in targets if t.values is None]
         if not todo:
             return
-        small = [t for t in todo if t.inside <= IN_TASK_VALUES]
+        small = [t for t in todo if t.inside <= in_task]
         if small:
             _read(df, small)
-        wide = [t for t in todo if t.inside > IN_TASK_VALUES]
+        wide = [t for t in todo if t.inside > in_task]
         if wide:
             _narrow(df, wide)
 
