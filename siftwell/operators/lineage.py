@@ -15,23 +15,35 @@ from ..session import checkpointed
 FRESH, STALE, UNKNOWN = "fresh", "stale", "unknown"
 
 
-def dependents(edges: DataFrame, name: str) -> DataFrame:
-    """Every slice that reads ``name``, directly or through other slices.
+# Rounds after which the pieces found so far are written as one.
+MERGE_ROUNDS = 16
 
-    ``edges`` has (child, parent). One column, ``name``; each slice once.
-    """
-    links = edges.select("child", "parent").distinct()
-    found = checkpointed(links.filter((F.col("parent") == name) & (F.col("child") != name))
-                         .select(F.col("child").alias("name")).distinct())
-    frontier = found
+
+def _reach(links: DataFrame, start: DataFrame) -> DataFrame:
+    """Every child that leads to a name in ``start`` over (child, parent)
+    links, the start included; each once."""
+    frontier = found = checkpointed(start.distinct())
+    rounds = 0
     while not frontier.isEmpty():
         nxt = (links.join(frontier, links["parent"] == frontier["name"], "left_semi")
-               .select(F.col("child").alias("name")).filter(F.col("name") != name).distinct())
+               .select(F.col("child").alias("name")).distinct())
         frontier = checkpointed(nxt.join(found, "name", "left_anti"))
-        found = checkpointed(found.unionByName(frontier))
+        found = found.unionByName(frontier)
+        rounds += 1
+        if rounds % MERGE_ROUNDS == 0:
+            found = checkpointed(found)
     return found
 
 
+def dependents(edges: DataFrame, name: str) -> DataFrame:
+    """Every slice that reads ``name``, directly or through other slices.
+
+    ``edges`` has (child, parent). One column, ``name``; each slice once.
+    """
+    direct = edges.filter(F.col("parent") == name).select(F.col("child").alias("name"))
+    return _reach(edges, direct).filter(F.col("name") != name)
+
+
 def edge_facts(slices: DataFrame, sources: DataFrame, edges: DataFrame) -> DataFrame:
     """Each edge with what it says by itself.
 
@@ -66,44 +78,31 @@ def staleness(slices: DataFrame, sources: DataFrame, edges: DataFrame) -> DataFr
     facts = checkpointed(edge_facts(slices, sources, edges))
     between = facts.filter("is_slice").select("child", "parent")
 
-    stale = checkpointed(facts.filter(F.col("direct") == STALE).select(F.col("child").alias("name")).distinct())
-    frontier = stale
-    while not frontier.isEmpty():
-        nxt = (between.join(frontier, between["parent"] == frontier["name"], "left_semi")
-               .select(F.col("child").alias("name")).distinct())
-        frontier = checkpointed(nxt.join(stale, "name", "left_anti"))
-        stale = checkpointed(stale.unionByName(frontier))
-
-    # Fresh from the sources upwards: a slice joins once nothing it reads is
-    # left in doubt. A cycle never gets there.
-    doubt = checkpointed(facts.join(stale.withColumnRenamed("name", "child"), "child", "left_anti"))
-    hopeless = doubt.filter(F.col("direct") != FRESH).select("child").distinct()
-    pending = doubt.join(hopeless, "child", "left_anti")
-    # An input that is stale or can never be fresh rules its readers out.
-    fresh = checkpointed(pending.groupBy("child").agg(F.bool_or("is_slice").alias("waits"))
-                         .filter(~F.col("waits")).select(F.col("child").alias("name")))
-    frontier = fresh
-    waiting = checkpointed(pending.filter("is_slice").select("child", "parent"))
-    while not frontier.isEmpty():
-        waiting = checkpointed(waiting.join(frontier, waiting["parent"] == frontier["name"], "left_anti")
-                               .unionByName(_done(waiting, frontier)))
-        ready = (waiting.groupBy("child").agg(F.count("parent").alias("open"))
-                 .filter(F.col("open") == 0).select(F.col("child").alias("name")))
-        frontier = checkpointed(ready.join(fresh, "name", "left_anti"))
-        fresh = checkpointed(fresh.unionByName(frontier))
+    stale = _reach(between, facts.filter(F.col("direct") == STALE).select(F.col("child").alias("name")))
+
+    # Fresh from the sources upwards: a slice is fresh once nothing it reads is
+    # left in doubt. What is stale, waits for something that is not fresh, or
+    # goes round in a circle never gets there.
+    ruled_out = stale.unionByName(facts.filter(F.col("direct") == UNKNOWN).select(F.col("child").alias("name")))
+    waiting = checkpointed(
+        facts.groupBy(F.col("child").alias("name")).agg(F.count_if("is_slice").alias("open"))
+        .join(ruled_out, "name", "left_anti")
+        .withColumn("round", F.when(F.col("open") == 0, 0)))
+    rounds = 0
+    while not (frontier := waiting.filter(F.col("round") == rounds)).isEmpty():
+        rounds += 1
+        settled = (between.join(frontier.select(F.col("name").alias("parent")), "parent")
+                   .groupBy(F.col("child").alias("name")).agg(F.count("parent").alias("settled")))
+        left = F.col("open") - F.coalesce("settled", F.lit(0))
+        waiting = checkpointed(waiting.join(settled, "name", "left").select(
+            "name", left.alias("open"), F.coalesce("round", F.when(left == 0, rounds)).alias("round")))
+    fresh = waiting.filter(F.col("round").isNotNull()).select("name")
 
     states = (stale.withColumn("state", F.lit(STALE)).unionByName(fresh.withColumn("state", F.lit(FRESH))))
     return (slices.select("name").distinct().join(states, "name", "left")
             .select("name", F.coalesce("state", F.lit(UNKNOWN)).alias("state")))
 
 
-def _done(waiting: DataFrame, frontier: DataFrame) -> DataFrame:
-    """One settled entry (parent null) for each reader of a slice that became
-    fresh, so a reader with nothing left to wait for is still seen."""
-    return (waiting.join(frontier, waiting["parent"] == frontier["name"], "left_semi")
-            .select("child").distinct().withColumn("parent", F.lit(None).cast("string")))
-
-
 def reasons(slices: DataFrame, sources: DataFrame, edges: DataFrame, states: DataFrame) -> DataFrame:
     """(name, input, reason): why a slice is not fresh, one row per cause."""
     facts = edge_facts(slices, sources, edges)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..errors import SpecError
 from ..functions.columns import NUMBER, TEXT, col, families, field, group_key
+from ..session import at_hand
 from .profile import (KEY_UNIQUE_RATIO, RARE_MAX_DISTINCT, Bin, Counted, build_histogram, distinct_sketch,
                       histogram_counts, pct, seconds, short, value_counts)
 from .quantiles import quantiles, sketch_brackets
@@ -212,6 +213,11 @@ def outliers(df: DataFrame, k: float = 1.5, n: int = 5) -> Outliers:
         raise SpecError(f"k lies between {K_RANGE[0]} and {K_RANGE[1]}")
     if not N_RANGE[0] <= n <= N_RANGE[1]:
         raise SpecError(f"n lies between {N_RANGE[0]} and {N_RANGE[1]}")
+    with at_hand(df) as held:
+        return _outliers(held, k, n)
+
+
+def _outliers(df: DataFrame, k: float, n: int) -> Outliers:
     facts = _facts(df, families(df))
     share = f"{int(MOSTLY_BLANK * 100)}%"
     blank = MostlyBlank(None, facts.mostly_blank,

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import (NUMBER, TEMPORAL, TEXT, as_number, col, families, group_key)
+from ..session import at_hand
 from .quantiles import exact_quantiles, sketch_quantiles
 
 # Limits and thresholds of the profile.
@@ -152,6 +153,11 @@ def profile(df: DataFrame, rejected: int = 0) -> Profile:
     look like keys. Above the limit distinct counts and quartiles come from
     sketches and say so.
     """
+    with at_hand(df) as held:
+        return _profile(held, rejected)
+
+
+def _profile(df: DataFrame, rejected: int) -> Profile:
     fams = families(df)
     first = _facts(df, fams)
     rows = first["rows"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -67,3 +68,26 @@ def discard(spark: SparkSession, path: str) -> None:
         raise ValueError(f"{path} is not in the shared folder")
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+# A table the planner puts below this size is read once and dealt out to all
+# cores before several passes over it; a larger one is read by each pass.
+AT_HAND_BYTES = 256 << 20
+
+
+@contextlib.contextmanager
+def at_hand(df):
+    """``df`` for several passes: kept in memory while small, as it is if not.
+
+    A small Parquet file is often one unsplittable row group, which would leave
+    every pass to a single core.
+    """
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if not 0 < int(size) <= AT_HAND_BYTES:
+        yield df
+        return
+    held = df.repartition(df.sparkSession.sparkContext.defaultParallelism).persist()
+    try:
+        yield held
+    finally:
+        held.unpersist()
