@@ -236,7 +236,7 @@ def bin_of(name: str, dtype: T.DataType, span: tuple[float, float]) -> Column:
     """Which equal-width bin a value falls in; the last bin is closed."""
     lo, hi = span
     place = F.floor((as_number(name, dtype) - F.lit(lo)) / F.lit((hi - lo) / HIST_BINS))
-    return F.least(place.cast("int"), F.lit(HIST_BINS - 1))
+    return F.when(place < HIST_BINS, place.cast("int")).when(place.isNotNull(), F.lit(HIST_BINS - 1))
 
 
 def build_histogram(c, counts: dict[int, int]) -> list[Bin]:
