@@ -106,3 +106,22 @@ def group_key(name: str, dtype: T.DataType) -> Column:
         return c
     digest = F.concat(F.lit("sha256:"), F.sha2(c.cast("binary"), 256))
     return F.when(F.octet_length(c) <= KEY_BYTES, c).when(c.isNotNull(), digest)
+
+
+def combine(op, parts: list[Column]) -> Column:
+    """Many columns joined by one operator, halved rather than chained: a wide
+    table must not make a deep expression."""
+    if len(parts) == 1:
+        return parts[0]
+    half = len(parts) // 2
+    return op(combine(op, parts[:half]), combine(op, parts[half:]))
+
+
+# Columns one job works on. A columnar file gives up each column once either
+# way, so a wide table costs more jobs but no more reading.
+COLUMN_BATCH = 48
+
+
+def batches(items) -> list[list]:
+    items = list(items)
+    return [items[i:i + COLUMN_BATCH] for i in range(0, len(items), COLUMN_BATCH)]

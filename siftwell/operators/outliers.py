@@ -6,13 +6,14 @@ finding that says three opens three.
 
 from __future__ import annotations
 
+import operator
 from dataclasses import dataclass, field as dc_field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import SpecError
-from ..functions.columns import NUMBER, TEXT, col, families, field, group_key
+from ..functions.columns import NUMBER, TEXT, batches, col, combine, families, field, group_key
 from ..session import at_hand
 from .profile import (KEY_UNIQUE_RATIO, RARE_MAX_DISTINCT, Bin, Counted, build_histogram, distinct_sketch,
                       histogram_counts, pct, seconds, short, value_counts)
@@ -122,15 +123,8 @@ def above_fence(c: Column, high: float) -> Column:
 
 
 def mostly_blank(df: DataFrame) -> Column:
-    def total(parts: list[Column]) -> Column:
-        # Halved, not chained: a wide table must not make a deep expression.
-        if len(parts) == 1:
-            return parts[0]
-        half = len(parts) // 2
-        return total(parts[:half]) + total(parts[half:])
-
     blanks = [col(c).isNull().cast("int") for c in df.columns]
-    return total(blanks) >= F.lit(MOSTLY_BLANK * len(blanks))
+    return combine(operator.add, blanks) >= F.lit(MOSTLY_BLANK * len(blanks))
 
 
 # ---------------------------------------------------- rows behind findings
@@ -184,18 +178,25 @@ class _Facts:
 
 
 def _facts(df: DataFrame, fams) -> _Facts:
-    """Counts, ranges and sketches of every column, from one scan."""
-    aggs = [F.count(F.lit(1)).alias("rows")]
-    aggs.append((F.count_if(mostly_blank(df)) if fams else F.lit(0)).alias("blank"))
-    for i, (name, fam) in enumerate(fams):
-        c = col(name)
-        aggs.append(F.count(c).alias(f"n{i}"))
-        if fam in (TEXT, NUMBER):
-            aggs.append(distinct_sketch(c).alias(f"d{i}"))
-        if fam == NUMBER:
-            aggs += [F.min(c).alias(f"lo{i}"), F.max(c).alias(f"hi{i}"),
-                     sketch_brackets(c, (0.25, 0.75)).alias(f"b{i}")]
-    row = df.agg(*aggs).first().asDict()
+    """Counts, ranges and sketches of every column.
+
+    One scan; a table wider than a batch gives its sketches in several, each
+    over its own columns.
+    """
+    aggs = [F.count(F.lit(1)).alias("rows"), (F.count_if(mostly_blank(df)) if fams else F.lit(0)).alias("blank")]
+    aggs += [F.count(col(name)).alias(f"n{i}") for i, (name, _) in enumerate(fams)]
+    row: dict = {}
+    for batch in batches(enumerate(fams)) or [[]]:
+        for i, (name, fam) in batch:
+            c = col(name)
+            if fam in (TEXT, NUMBER):
+                aggs.append(distinct_sketch(c).alias(f"d{i}"))
+            if fam == NUMBER:
+                aggs += [F.min(c).alias(f"lo{i}"), F.max(c).alias(f"hi{i}"),
+                         sketch_brackets(c, (0.25, 0.75)).alias(f"b{i}")]
+        if aggs:
+            row.update(df.agg(*aggs).first().asDict())
+            aggs = []
     columns = {}
     for i, (name, fam) in enumerate(fams):
         columns[name] = {"family": fam, "n": row[f"n{i}"], "distinct": row.get(f"d{i}"),
@@ -237,14 +238,16 @@ def _extremes(df: DataFrame, facts: _Facts, k: float) -> list[Extremes]:
             fences[c] = (q1, q3, low, high)
     if not fences:
         return []
-    counts = df.agg(*[agg for i, (c, (_, _, low, high)) in enumerate(fences.items()) for agg in (
-        F.count_if(below_fence(col(c), low)).alias(f"b{i}"),
-        F.count_if(above_fence(col(c), high)).alias(f"a{i}"))]).first()
+    counts: dict = {}
+    for batch in batches(fences.items()):
+        counts.update(df.agg(*[agg for c, (_, _, low, high) in batch for agg in (
+            F.count_if(below_fence(col(c), low)).alias(f"b:{c}"),
+            F.count_if(above_fence(col(c), high)).alias(f"a:{c}"))]).first().asDict())
     spans = {c: (seconds(numbers[c]["min"]), seconds(numbers[c]["max"])) for c in fences}
     bins = histogram_counts(df, spans)
     out = []
-    for i, (c, (q1, q3, low, high)) in enumerate(fences.items()):
-        below, above = counts[f"b{i}"], counts[f"a{i}"]
+    for c, (q1, q3, low, high) in fences.items():
+        below, above = counts[f"b:{c}"], counts[f"a:{c}"]
         shape = _Shape(spans[c], numbers[c]["min"], numbers[c]["max"], numbers[c]["n"])
         out.append(Extremes(
             c, below + above,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import functools
 import math
 from dataclasses import dataclass, field as dc_field
 
@@ -10,7 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import (NUMBER, TEMPORAL, TEXT, as_number, col, families, group_key)
+from ..functions.columns import (INTEGERS, NUMBER, TEMPORAL, TEXT, as_micros, as_number, batches, col, families,
+                                 group_key)
 from ..session import at_hand
 from .quantiles import exact_quantiles, sketch_quantiles
 
@@ -146,20 +148,23 @@ def _hashable(dtype: T.DataType, c: Column) -> Column:
 def profile(df: DataFrame, rejected: int = 0) -> Profile:
     """Profile every column of ``df``.
 
-    However wide the table, a handful of jobs: one for counts, ranges and
-    sketches; up to ``EXACT_LIMIT`` rows one more for exact distinct counts
-    and quartiles; one for all histograms, one for all common values (each
-    column is in just one of the two); and one for the repeats of columns that
-    look like keys. Above the limit distinct counts and quartiles come from
+    A handful of jobs over all columns, never one per column: counts, ranges
+    and sketches; up to ``EXACT_LIMIT`` rows exact distinct counts and
+    quartiles; all histograms; all common values (each column is in just one
+    of the two). Only a text that looks like a key takes a job of its own, for
+    its repeats. Above the limit distinct counts and quartiles come from
     sketches and say so.
     """
     with at_hand(df) as held:
-        return _profile(held, rejected)
+        # Counting a table held in memory is free; any other learns its size
+        # in the same scan as its sketches.
+        few = held is not df and held.count() <= EXACT_LIMIT
+        return _profile(held, rejected, sketches=not few)
 
 
-def _profile(df: DataFrame, rejected: int) -> Profile:
+def _profile(df: DataFrame, rejected: int, sketches: bool) -> Profile:
     fams = families(df)
-    first = _facts(df, fams)
+    first = _facts(df, fams, sketches)
     rows = first["rows"]
     exact = rows <= EXACT_LIMIT
     precise = _exact(df, fams) if exact and fams else None
@@ -188,37 +193,66 @@ def seconds(value) -> float:
     return (value - dt.datetime(1970, 1, 1)).total_seconds() if isinstance(value, dt.datetime) else float(value)
 
 
-def _facts(df: DataFrame, fams) -> dict:
+def _facts(df: DataFrame, fams, sketches: bool = True) -> dict:
+    out: dict = {}
     aggs = [F.count(F.lit(1)).alias("rows")]
-    for i, (name, fam) in enumerate(fams):
-        c, dtype = col(name), df.schema[name].dataType
-        aggs.append(F.count(c).alias(f"n{i}"))
-        aggs.append(distinct_sketch(_hashable(dtype, c)).alias(f"d{i}"))
-        if fam in (NUMBER, TEMPORAL):
-            lo, hi = F.min(c), F.max(c)
-            if fam == TEMPORAL:
-                lo, hi = lo.cast("timestamp_ntz"), hi.cast("timestamp_ntz")
-            aggs += [lo.alias(f"lo{i}"), hi.alias(f"hi{i}")]
-        if fam == NUMBER:
-            x = c.cast("double")
-            aggs += [F.avg(x).alias(f"avg{i}"),
-                     sketch_quantiles(x, QUARTILES).alias(f"q{i}")]
-    return df.agg(*aggs).first().asDict()
+    for batch in batches(enumerate(fams)) or [[]]:
+        for i, (name, fam) in batch:
+            c, dtype = col(name), df.schema[name].dataType
+            aggs.append(F.count(c).alias(f"n{i}"))
+            if sketches:
+                aggs.append(distinct_sketch(_hashable(dtype, c)).alias(f"d{i}"))
+            if fam in (NUMBER, TEMPORAL):
+                lo, hi = F.min(c), F.max(c)
+                if fam == TEMPORAL:
+                    lo, hi = lo.cast("timestamp_ntz"), hi.cast("timestamp_ntz")
+                aggs += [lo.alias(f"lo{i}"), hi.alias(f"hi{i}")]
+            if fam == NUMBER:
+                x = c.cast("double")
+                aggs.append(F.avg(x).alias(f"avg{i}"))
+                if sketches:
+                    aggs.append(sketch_quantiles(x, QUARTILES).alias(f"q{i}"))
+        out.update(df.agg(*aggs).first().asDict())
+        aggs = []
+    return out
 
 
 def _exact(df: DataFrame, fams) -> dict:
     """Exact distinct counts and quartiles; only for few enough rows."""
-    spread, distinct = [], []
-    for i, (name, fam) in enumerate(fams):
-        distinct.append(F.count_distinct(_hashable(df.schema[name].dataType, col(name))).alias(f"d{i}"))
-        if fam == NUMBER:
-            spread.append(exact_quantiles(col(name), QUARTILES).alias(f"q{i}"))
-    out = df.agg(*distinct).first().asDict()
-    if spread:
-        out.update(df.agg(*spread).first().asDict())
+    out = _exact_distinct(df, fams)
+    for batch in batches((i, name) for i, (name, fam) in enumerate(fams) if fam == NUMBER):
+        out.update(df.agg(*[exact_quantiles(col(name), QUARTILES).alias(f"q{i}") for i, name in batch])
+                   .first().asDict())
     return out
 
 
+def _exact_distinct(df: DataFrame, fams) -> dict:
+    """Distinct non-null values of every column, in one job.
+
+    Columns become (column, value) rows of three kinds: whole numbers and
+    times, other numbers, and everything else as text.
+    """
+    kinds: dict[str, list] = {"long": [], "double": [], "string": []}
+    for i, (name, fam) in enumerate(fams):
+        dtype, c = df.schema[name].dataType, col(name)
+        if isinstance(dtype, (*INTEGERS, T.BooleanType)):
+            kinds["long"].append((i, c.cast("long")))
+        elif fam == TEMPORAL:
+            kinds["long"].append((i, as_micros(name, dtype)))
+        elif isinstance(dtype, (T.FloatType, T.DoubleType)):
+            kinds["double"].append((i, c.cast("double")))
+        else:
+            kinds["string"].append((i, c.cast("string")))
+    parts = []
+    for columns in filter(None, kinds.values()):
+        number = F.array(*[F.lit(i) for i, _ in columns])
+        values = df.select(F.posexplode(F.array(*[c for _, c in columns])).alias("at", "value"))
+        parts.append(values.filter(F.col("value").isNotNull()).select(F.get(number, "at").alias("i"), "value")
+                     .distinct().groupBy("i").count())
+    found = {row["i"]: row["count"] for row in functools.reduce(DataFrame.unionByName, parts).collect()}
+    return {f"d{i}": found.get(i, 0) for i, _ in enumerate(fams)}
+
+
 def edges(span: tuple[float, float], i: int, bins: int) -> tuple[float, float]:
     """The i-th of ``bins`` equal steps over a span; the outer edges are exact."""
     lo, hi = span
@@ -255,26 +289,27 @@ def histogram_counts(df: DataFrame, spans: dict[str, tuple[float, float]]) -> di
 
     A row becomes one small number per column, counted before it is shuffled.
     """
-    names = [n for n, span in spans.items() if has_spread(span)]
-    if not names:
-        return {}
-    codes = F.array(*[bin_of(n, df.schema[n].dataType, spans[n]) + F.lit(i * HIST_BINS)
-                      for i, n in enumerate(names)])
-    counted = (df.select(F.explode(codes).alias("code")).filter(F.col("code").isNotNull())
-               .groupBy("code").agg(F.count(F.lit(1)).alias("n")))
-    out: dict[str, dict[int, int]] = {n: {} for n in names}
-    for row in counted.collect():
-        i, b = divmod(row["code"], HIST_BINS)
-        out[names[i]][b] = row["n"]
+    out: dict[str, dict[int, int]] = {n: {} for n, span in spans.items() if has_spread(span)}
+    for names in batches(out):
+        codes = F.array(*[bin_of(n, df.schema[n].dataType, spans[n]) + F.lit(i * HIST_BINS)
+                          for i, n in enumerate(names)])
+        counted = (df.select(F.explode(codes).alias("code")).filter(F.col("code").isNotNull())
+                   .groupBy("code").agg(F.count(F.lit(1)).alias("n")))
+        for row in counted.collect():
+            i, b = divmod(row["code"], HIST_BINS)
+            out[names[i]][b] = row["n"]
     return out
 
 
 def value_counts(df: DataFrame, names: list[str]) -> DataFrame:
     """(column, value, n) of several text columns, in one scan of just those."""
-    entries = [F.struct(F.lit(n).alias("column"), col(n).cast("string").alias("value")) for n in names]
-    return (df.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
-            .filter(F.col("value").isNotNull()).groupBy("column", "value")
-            .agg(F.count(F.lit(1)).alias("n")))
+    parts = []
+    for batch in batches(names):
+        entries = [F.struct(F.lit(n).alias("column"), col(n).cast("string").alias("value")) for n in batch]
+        parts.append(df.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
+                     .filter(F.col("value").isNotNull()).groupBy("column", "value")
+                     .agg(F.count(F.lit(1)).alias("n")))
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 def _distributions(df: DataFrame, columns: list[ColumnProfile]) -> None:
@@ -307,10 +342,11 @@ def _leads(df: DataFrame, columns: list[ColumnProfile]) -> list[Lead]:
     near_keys = [c for c in columns if c.family == TEXT and c.keyish]
     repeats: dict[str, int] = {}
     unsure = [c for c in near_keys if c.distinct_approx]
-    if unsure:
-        row = df.agg(*[(F.count(col(c.name)) - F.count_distinct(group_key(c.name, df.schema[c.name].dataType)))
-                       .alias(f"r{i}") for i, c in enumerate(unsure)]).first()
-        repeats = {c.name: row[i] for i, c in enumerate(unsure)}
+    for c in unsure:
+        # One column at a time: several exact distinct counts in one aggregate
+        # would shuffle every row once per column, all columns wide.
+        key = group_key(c.name, df.schema[c.name].dataType)
+        repeats[c.name] = df.agg(F.count(col(c.name)) - F.count_distinct(key)).first()[0]
     for c in near_keys:
         repeats.setdefault(c.name, c.non_null - c.distinct)
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import math
 import operator
 import sys
@@ -11,7 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import as_number, col
+from ..functions.columns import as_number, batches, col, combine
 
 # Up to this many values a quantile may hold them all in one task.
 IN_TASK_VALUES = 200_000
@@ -79,9 +78,9 @@ def quantiles(df: DataFrame, facts: dict[str, dict], fractions,
     out: dict[str, list[float | None]] = {c: [None] * len(fractions) for c in facts}
     filled = {c: f for c, f in facts.items() if f["n"]}
     few = [c for c, f in filled.items() if f["n"] <= in_task]
-    if few:
-        row = df.agg(*[exact_quantiles(col(c), fractions).alias(f"q{i}") for i, c in enumerate(few)]).first()
-        for i, c in enumerate(few):
+    for batch in batches(few):
+        row = df.agg(*[exact_quantiles(col(c), fractions).alias(f"q{i}") for i, c in enumerate(batch)]).first()
+        for i, c in enumerate(batch):
             out[c] = list(row[i])
 
     targets: dict[tuple[str, int], _Target] = {}
@@ -92,7 +91,8 @@ def quantiles(df: DataFrame, facts: dict[str, dict], fractions,
             at = int(p * (f["n"] - 1))
             lo, hi = f["brackets"][2 * i:2 * i + 2] if f.get("brackets") else (f["min"], f["max"])
             targets[(c, i)] = _Target(c, at, min(at + 1, f["n"] - 1), float(lo), float(hi))
-    _settle(df, list(targets.values()), filled, in_task)
+    for batch in batches(targets.values()):
+        _settle(df, batch, filled, in_task)
     for (c, i), t in targets.items():
         low, high = t.values
         part = fractions[i] * (filled[c]["n"] - 1) - t.first
@@ -140,7 +140,7 @@ def _measure(df: DataFrame, targets: list[_Target]) -> None:
 def _inside(df: DataFrame, targets: list[_Target], entry) -> DataFrame:
     """One entry per row and target whose bracket the row's value is in."""
     numbers = _numbers(df, targets)
-    near = functools.reduce(operator.or_, [t.holds(col(t.column)) for t in targets])
+    near = combine(operator.or_, [t.holds(col(t.column)) for t in targets])
     entries = [F.when(t.holds(col(t.column)), entry(i, t, col(t.column))) for i, t in enumerate(targets)]
     return (numbers.filter(near).select(F.explode(F.array(*entries)).alias("e"))
             .filter(F.col("e").isNotNull()).select("e.*"))

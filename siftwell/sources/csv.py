@@ -188,15 +188,20 @@ class CsvLoad:
 
         none = F.lit(None).cast("string")
         nothing = F.array().cast("array<struct<column_name:string,error_type:string,error_message:string>>")
-        casts = []
-        for i, name in enumerate(self.names):
-            kind = self.kinds[name]
-            if kind == TEXT_KIND:
-                continue
-            value = _blank_to_null(records.unquote(F.get("fields", F.lit(i))), self.marker)
-            casts.append(F.when(value.isNotNull() & typed(value, kind).isNull(), error(
-                F.lit(name), "CAST", F.concat(F.lit("not a "), F.lit(kind.type), F.lit(" value: "), value))))
-        cast_errors = F.filter(F.array(*casts), lambda e: e.isNotNull()) if casts else nothing
+        used = sorted({k for k in self.kinds.values() if k != TEXT_KIND}, key=str)
+        kind_at = F.array(*[F.lit(used.index(self.kinds[n]) if self.kinds[n] != TEXT_KIND else -1)
+                            for n in self.names])
+        type_names = F.array(*[F.lit(k.type) for k in used]).cast("array<string>")
+
+        def cast_error(cell: Column, i: Column) -> Column:
+            value, kind_no = _blank_to_null(records.unquote(cell), self.marker), F.get(kind_at, i)
+            read = F.lit(True)
+            for j, kind in enumerate(used):
+                read = F.when(kind_no == j, typed(value, kind).isNotNull()).otherwise(read)
+            return F.when(value.isNotNull() & (kind_no >= 0) & ~read, error(
+                F.get(named, i), "CAST", F.concat(F.lit("not a "), F.get(type_names, kind_no), F.lit(" value: "), value)))
+
+        cast_errors = F.filter(F.transform("fields", cast_error), lambda e: e.isNotNull()) if used else nothing
         missing = F.when(found < width, F.transform(F.sequence(found + 1, F.lit(width)), lambda j: error(
             F.element_at(named, j), "MISSING COLUMNS",
             F.concat(F.lit(f"expected {width} columns, found "), (j - 1).cast("string"))))).otherwise(nothing)

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import col
+from ..functions.columns import batches, col
 
 # How numbers, truth values, dates and times are written.
 # A whole number with a leading zero is an ID, not a number.
@@ -102,23 +102,26 @@ def typed(value: Column, kind: Kind) -> Column:
 def infer_kinds(df: DataFrame, columns: list[str], force_text=()) -> dict[str, Kind]:
     """The type of each text column, from all of its values.
 
-    One aggregate over all columns; a second one only for columns of dates
-    that are not written year-month-day with dashes.
+    One aggregate over all columns, laid out as (column, value) so that it is
+    the same small expression however wide the file; a second one only for
+    columns of dates that are not written year-month-day with dashes.
     """
     asked = [c for c in columns if c not in set(force_text)]
     if not asked:
         return {c: TEXT_KIND for c in columns}
-    row = df.agg(*[F.bit_and(readable_as(col(c))).alias(f"c{i}") for i, c in enumerate(asked)]).first()
+    values = df.select(F.posexplode(F.array(*[col(c) for c in asked])).alias("at", "value"))
+    shares = values.groupBy("at").agg(F.bit_and(readable_as(F.col("value"))).alias("bits"))
+    found = {asked[r["at"]]: r["bits"] or 0 for r in shares.collect()}
     kinds = {c: TEXT_KIND for c in columns}
     shaped = {}
-    for i, c in enumerate(asked):
-        shared = [name for name, bit in BITS.items() if (row[f"c{i}"] or 0) & bit]
+    for c in asked:
+        shared = [name for name, bit in BITS.items() if found.get(c, 0) & bit]
         if shared and shared[0].startswith("shaped"):
             shaped[c] = "date" if shared[0] == "shaped date" else "timestamp_ntz"
         elif shared:
             kinds[c] = Kind(shared[0])
-    if shaped:
-        kinds.update(_shaped_kinds(df, shaped))
+    for batch in batches(shaped.items()):
+        kinds.update(_shaped_kinds(df, dict(batch)))
     return kinds
 
 
