@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv as csv_text
 from dataclasses import dataclass
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -80,7 +81,7 @@ def detect_types(spark: SparkSession, path: str, delim: str = ",", marker: str =
 
 
 def _first_line(spark: SparkSession, path: str) -> str:
-    found = spark.read.text(path).head(1)
+    found = spark.read.text(path).filter(F.col("_metadata.file_block_start") == 0).head(1)
     if not found:
         raise SpecError(f"{path} is empty")
     return found[0][0]
@@ -248,11 +249,19 @@ def load_csv(spark: SparkSession, path: str, target: str, rejects_target: str, d
     return Loaded(target, rejects_target, spark.read.parquet(target).count(), seen["n"], seen["lines"], load.kinds)
 
 
-def list_rejects(rejects: DataFrame, limit: int = 1_000) -> DataFrame:
-    """The refused records of a source, in file order."""
+class Rejects(NamedTuple):
+    rows: DataFrame
+    total: int
+    truncated: bool
+
+
+def list_rejects(rejects: DataFrame, limit: int = 1_000) -> Rejects:
+    """The refused records of a source in file order, and how many there are."""
     if not 1 <= limit <= 10_000:
         raise SpecError("between 1 and 10,000 rejects can be listed")
-    return rejects.orderBy("file", "line", "column_name", "error_message").limit(limit)
+    total = rejects.count()
+    rows = rejects.orderBy("file", "line", "column_name", "error_message").limit(limit)
+    return Rejects(rows, total, total > limit)
 
 
 def read_files(spark: SparkSession, path: str, format: str | None = None, **options) -> DataFrame:

@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from ..errors import SpecError
 from ..operators.lineage import dependents, reasons, staleness
 from ..plans.spec import Query, build, inputs_of, rerun, saveable
-from .csv import BLANK_MARKER, REJECT_SCHEMA, Detected, Loaded, detect_types, list_rejects, load_csv
+from .csv import (BLANK_MARKER, REJECT_SCHEMA, Detected, Loaded, Rejects, detect_types, list_rejects,
+                  load_csv)
 
 REGISTRY = {
     "sources": ("name string, csv_path string, parquet_path string, rejects_path string, "
@@ -125,7 +126,7 @@ class Store:
             return Impact(name, False, None, None, None)
         return Impact(name, True, prior["csv_path"], prior["loaded_at"], self.dependents(name))
 
-    def rejects(self, name: str, limit: int = 1_000) -> DataFrame:
+    def rejects(self, name: str, limit: int = 1_000) -> Rejects:
         return list_rejects(self._rejects(name), limit)
 
     def count_rejects(self, name: str) -> int:

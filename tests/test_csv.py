@@ -183,7 +183,8 @@ def test_no_copy_is_left_behind(spark, csv_file, tmp_path):
 
 def test_rejects_are_listed_in_order(spark):
     df = spark.createDataFrame([("f", i, None, "X", "", "") for i in (3, 1, 2)], C.REJECT_SCHEMA)
-    assert [r.line for r in C.list_rejects(df, 2).collect()] == [1, 2]
+    listed = C.list_rejects(df, 2)
+    assert [r.line for r in listed.rows.collect()] == [1, 2] and (listed.total, listed.truncated) == (3, True)
     with pytest.raises(SpecError):
         C.list_rejects(df, 0)
 

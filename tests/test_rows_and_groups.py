@@ -47,6 +47,17 @@ def test_pages_cover_everything_once(spark, monkeypatch):
             rows.page(df, *bad)
 
 
+def test_shown_rows_sort_naturally(spark):
+    df = spark.createDataFrame([("a10", 2), ("B1", None), ("a2", 10), (None, 1), ("a2b3", 5), ("a02", 7)], "t string, n int")
+
+    def order(column, desc=False):
+        return [r[column] for r in rows.sort_shown(df, column, desc).collect()]
+
+    assert order("t") == ["a02", "a2", "a2b3", "a10", "B1", None]
+    assert order("t", True) == ["B1", "a10", "a2b3", "a2", "a02", None]
+    assert order("n") == [1, 2, 5, 7, 10, None] and order("n", True) == [10, 7, 5, 2, 1, None]
+
+
 def test_previews(spark, tmp_path):
     path = str(tmp_path / "nums")
     spark.range(2000).repartition(6).withColumn("v", F.col("id") * 2).write.parquet(path)

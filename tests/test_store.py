@@ -86,9 +86,11 @@ def test_saved_query_reruns_and_names_what_broke(store, csv_file):
 def test_rejects_are_replaced_by_a_reload(store, csv_file):
     bad = csv_file("orders.csv", ORDERS + "1,2\n1,2,3,4\n")
     assert store.load(bad).rejected_lines == 2
-    assert {r["error_type"] for r in store.rejects("orders").collect()} == {"MISSING COLUMNS", "TOO MANY COLUMNS"}
+    listed = store.rejects("orders")
+    assert listed.total == 2 and not listed.truncated and store.rejects("orders", 1).truncated
+    assert {r["error_type"] for r in listed.rows.collect()} == {"MISSING COLUMNS", "TOO MANY COLUMNS"}
     store.load(csv_file("orders.csv", ORDERS))
-    assert store.rejects("orders").count() == store.count_rejects("orders") == 0
+    assert store.rejects("orders").total == store.count_rejects("orders") == 0
 
 
 def test_snapshot_and_restore(store, tmp_path):
@@ -102,10 +104,20 @@ def test_snapshot_and_restore(store, tmp_path):
 
 
 def test_preview_modes(store):
-    head = store.query({"mode": "preview", "relation": "orders", "page_size": 2}).rows
-    assert head.count() == 2
+    head = store.query({"mode": "preview", "relation": "orders", "page_size": 2})
+    assert head.rows.count() == 2
+    assert head.preview == {"kind": "head", "size": 2, "of": 4, "seed": None, "order": "stored"}
     one = store.query({"mode": "preview", "relation": "orders", "preview": "sample", "seed": 5}).rows.collect()
     two = store.query({"mode": "preview", "relation": "orders", "preview": "sample", "seed": 5}).rows.collect()
     assert one == two and len(one) == 4
     with pytest.raises(SpecError):
         store.query({"mode": "preview", "relation": "orders", "preview": "tail"})
+
+
+def test_pages_of_a_query(store):
+    query = store.query({"mode": "slice", "relation": "orders", "sort": "amount", "desc": True, "page_size": 3})
+    one, two = query.page(), query.page(2)
+    assert (one.total, one.pages) == (4, 2)
+    assert [r.amount for r in one.rows.collect()] == [200, 100, 75] and [r.amount for r in two.rows.collect()] == [50]
+    unsorted = store.query({"mode": "slice", "relation": "orders", "columns": ["amount"], "sort": "region"})
+    assert unsorted.page(1, 10).rows.count() == 4
