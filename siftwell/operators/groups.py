@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from ..errors import SpecError
 from ..functions.columns import (BOOLEAN, INTEGERS, NUMBER, TEMPORAL, TEXT, as_micros, col, family,
                                  field, from_micros, nulls_last)
-from ..session import checkpointed
+from ..session import written
 from .rows import filter_rows
 
 # The aggregates a pivot offers.
@@ -140,7 +140,7 @@ def _median_across_tasks(work: DataFrame, keys: list[str], mean: bool) -> DataFr
     group = [col(k) for k in keys]
     counted = work.groupBy(group + [col("__v")]).agg(F.count("__v").alias("__n"))
     # Written once: asking twice could cut the ranges differently.
-    ranged = checkpointed(counted.repartitionByRange(*[nulls_last(c) for c in group], col("__v"))
+    ranged = written(counted.repartitionByRange(*[nulls_last(c) for c in group], col("__v"))
                           .withColumn("__p", F.spark_partition_id()))
     present = ranged.filter(col("__v").isNotNull())
     parts = present.groupBy(group + [col("__p")]).agg(F.sum("__n").alias("__size"))

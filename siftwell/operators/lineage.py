@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpointed
+from ..session import written
 
 FRESH, STALE, UNKNOWN = "fresh", "stale", "unknown"
 
@@ -22,16 +22,16 @@ MERGE_ROUNDS = 16
 def _reach(links: DataFrame, start: DataFrame) -> DataFrame:
     """Every child that leads to a name in ``start`` over (child, parent)
     links, the start included; each once."""
-    frontier = found = checkpointed(start.distinct())
+    frontier = found = written(start.distinct())
     rounds = 0
     while not frontier.isEmpty():
         nxt = (links.join(frontier, links["parent"] == frontier["name"], "left_semi")
                .select(F.col("child").alias("name")).distinct())
-        frontier = checkpointed(nxt.join(found, "name", "left_anti"))
+        frontier = written(nxt.join(found, "name", "left_anti"))
         found = found.unionByName(frontier)
         rounds += 1
         if rounds % MERGE_ROUNDS == 0:
-            found = checkpointed(found)
+            found = written(found)
     return found
 
 
@@ -40,8 +40,9 @@ def dependents(edges: DataFrame, name: str) -> DataFrame:
 
     ``edges`` has (child, parent). One column, ``name``; each slice once.
     """
-    direct = edges.filter(F.col("parent") == name).select(F.col("child").alias("name"))
-    return _reach(edges, direct).filter(F.col("name") != name)
+    links = written(edges.select("child", "parent"))
+    direct = links.filter(F.col("parent") == name).select(F.col("child").alias("name"))
+    return _reach(links, direct).filter(F.col("name") != name)
 
 
 def edge_facts(slices: DataFrame, sources: DataFrame, edges: DataFrame) -> DataFrame:
@@ -75,7 +76,7 @@ def staleness(slices: DataFrame, sources: DataFrame, edges: DataFrame) -> DataFr
     unknown: no cut time, no recorded input, an input gone, or a cycle. A slice
     without a cut time is never stale, and passes nothing on.
     """
-    facts = checkpointed(edge_facts(slices, sources, edges))
+    facts = written(edge_facts(slices, sources, edges))
     between = facts.filter("is_slice").select("child", "parent")
 
     stale = _reach(between, facts.filter(F.col("direct") == STALE).select(F.col("child").alias("name")))
@@ -84,7 +85,7 @@ def staleness(slices: DataFrame, sources: DataFrame, edges: DataFrame) -> DataFr
     # left in doubt. What is stale, waits for something that is not fresh, or
     # goes round in a circle never gets there.
     ruled_out = stale.unionByName(facts.filter(F.col("direct") == UNKNOWN).select(F.col("child").alias("name")))
-    waiting = checkpointed(
+    waiting = written(
         facts.groupBy(F.col("child").alias("name")).agg(F.count_if("is_slice").alias("open"))
         .join(ruled_out, "name", "left_anti")
         .withColumn("round", F.when(F.col("open") == 0, 0)))
@@ -94,7 +95,7 @@ def staleness(slices: DataFrame, sources: DataFrame, edges: DataFrame) -> DataFr
         settled = (between.join(frontier.select(F.col("name").alias("parent")), "parent")
                    .groupBy(F.col("child").alias("name")).agg(F.count("parent").alias("settled")))
         left = F.col("open") - F.coalesce("settled", F.lit(0))
-        waiting = checkpointed(waiting.join(settled, "name", "left").select(
+        waiting = written(waiting.join(settled, "name", "left").select(
             "name", left.alias("open"), F.coalesce("round", F.when(left == 0, rounds)).alias("round")))
     fresh = waiting.filter(F.col("round").isNotNull()).select("name")
 

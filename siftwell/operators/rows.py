@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..errors import SpecError
 from ..functions.columns import TEXT, col, family, field, nulls_last, orderable
 from ..functions.predicates import where
-from ..session import checkpointed
+from ..session import written
 
 MAX_PAGE = 5_000
 # A page ending past this many rows is found by position: keeping that many
@@ -112,7 +112,7 @@ def _by_position(ordered: DataFrame, first: int, size: int) -> DataFrame:
     """
     part, index = "__part", "__index"
     in_part = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    placed = checkpointed(ordered.withColumn(part, F.spark_partition_id()).withColumn(index, in_part))
+    placed = written(ordered.withColumn(part, F.spark_partition_id()).withColumn(index, in_part))
     start, wanted = 0, F.lit(False)
     for row in placed.groupBy(part).count().orderBy(part).collect():
         lo, hi = max(first, start) - start, min(first + size, start + row["count"]) - start

@@ -56,10 +56,16 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{workspace(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def checkpointed(df):
-    """``df`` written once to the shared folder, with its lineage cut."""
-    workspace(df.sparkSession)
-    return df.checkpoint(eager=True)
+def written(df):
+    """``df`` written once to the shared folder and read back.
+
+    Cuts the lineage like a checkpoint, is computed once, survives a lost
+    executor, and lets the planner see how small the result is.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, "step")
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def discard(spark: SparkSession, path: str) -> None:
