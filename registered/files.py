@@ -53,9 +53,16 @@ def csv_infer(spark, sf):
     return spark.createDataFrame([(n, k.type) for n, k in kinds.items()], "name string, type string")
 
 
-@register("csv_detect")
+@register("csv_detect", """
+SELECT * FROM (VALUES ('key_id', 'bigint', true), ('order_id', 'string', false), ('customer', 'bigint', false),
+  ('price', 'double', false), ('zip', 'date', true)) v(name, type, suggested_text)""")
 def csv_detect(spark, sf):
-    found = csv.detect_types(spark, _exported(spark, sf))
+    """A look at the first rows; what is named like an ID but typed otherwise
+    is suggested as text."""
+    path = scratch_path(spark, "detect-csv")
+    sinks.export_csv(_orders(spark, sf).select(
+        F.col("order_id").cast("long").alias("key_id"), "order_id", "customer", "price", F.col("day").alias("zip")), path)
+    found = csv.detect_types(spark, path)
     return spark.createDataFrame([(n, k.type, n in found.suggested_text) for n, k in found.columns.items()],
                                  "name string, type string, suggested_text boolean")
 

@@ -267,6 +267,27 @@ def check_duplicate_documents(spark, sf):
     return check_rows(table(spark, sf, "documents"), "duplicates", "text").select("doc_id", "lang")
 
 
-@register("outliers_findings")
+def _findings_sql() -> str:
+    parts = []
+    for c in NUMBERS:
+        parts.append(f"""
+SELECT 'extremes' AS "check", '{c}' AS "column", count(*) FILTER ({c} < low OR {c} > high) AS count
+FROM lineitem, {_FENCES.format(c=c, t='lineitem')} GROUP BY q1, q3
+HAVING q3 > q1 AND count(*) FILTER ({c} < low OR {c} > high) > 0""")
+    for c in TEXTS:
+        parts.append(f"""
+SELECT 'rare', '{c}', CAST(sum(n) AS BIGINT) FROM (SELECT n, d, rows FROM (SELECT {c}, count(*) AS n,
+  count(*) OVER () AS d, sum(count(*)) OVER () AS rows FROM lineitem GROUP BY {c}) WHERE n <= 5 ORDER BY n, {c} LIMIT 200)
+HAVING max(d) > 1 AND max(d) <= 1000 AND max(d) < 0.95 * max(rows)""")
+    for c in NUMBERS + TEXTS:
+        parts.append(f"""
+SELECT 'duplicates', '{c}', CAST(sum(n) FILTER (n > 1) AS BIGINT) FROM (SELECT count(*) AS n FROM lineitem
+  WHERE {c} IS NOT NULL GROUP BY {c}) HAVING count(*) >= 0.95 * sum(n) AND count(*) < sum(n)""")
+    for c in NUMBERS + TEXTS + ("l_shipdate",):
+        parts.append(f"SELECT 'missing', '{c}', count(*) - count({c}) FROM lineitem HAVING count(*) > count({c})")
+    return " UNION ALL ".join(parts)
+
+
+@register("outliers_findings", _findings_sql())
 def outliers_findings(spark, sf):
-    return outliers(table(spark, sf, "lineitem")).frame(spark)
+    return outliers(table(spark, sf, "lineitem")).frame(spark).select("check", "column", "count")
