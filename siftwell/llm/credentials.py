@@ -45,7 +45,10 @@ KINDS = {
 }
 #: What quickly rules a text out, where a kind's own pattern would be slow.
 HINTS = {"access": "AKIA", "hex": "[0-9a-f]{24}", "token": "[A-Za-z0-9+/_-]{16}", "endpoint": "https?://"}
-ORDER = F.array(*[F.lit(k) for k in KINDS])
+
+
+def kind_order() -> Column:
+    return F.array(*[F.lit(k) for k in KINDS])
 
 
 def _found(text: Column, kind: str) -> Column:
@@ -87,7 +90,7 @@ def link(found: DataFrame, scope: int = SCOPE) -> DataFrame:
     role = F.create_map(*[x for k, v in KINDS.items() for x in (F.lit(k), F.lit(v[3]))])
     weak = ~F.col("kind").isin(*BASE)
     doc = ["doc_id", "text_key"]
-    order = [F.col("start"), F.array_position(ORDER, F.col("kind"))]
+    order = [F.col("start"), F.array_position(kind_order(), F.col("kind"))]
     before = Window.partitionBy(*doc).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     after = Window.partitionBy(*doc).orderBy(*order).rowsBetween(1, Window.unboundedFollowing)
     found = found.withColumns({"role": role[F.col("kind")], "weak": weak})
@@ -113,14 +116,14 @@ def link(found: DataFrame, scope: int = SCOPE) -> DataFrame:
 def listed(spans: Column) -> Column:
     """kind:start:end of an array of (start, place of the kind, end), comma-joined."""
     return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(
-        ":", F.get(ORDER, s["rank"] - 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
+        ":", F.get(kind_order(), s["rank"] - 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
 def find(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", scope: int = SCOPE) -> DataFrame:
     """(doc_id, spans), one row for each document; ``spans`` is a sorted array of (start, rank, end)."""
     scanned = scan(docs, text, doc_id)
     spans = link(parts(scanned), scope).groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_list(F.struct(
-        F.col("start").cast("long").alias("start"), F.array_position(ORDER, F.col("kind")).cast("int").alias("rank"),
+        F.col("start").cast("long").alias("start"), F.array_position(kind_order(), F.col("kind")).cast("int").alias("rank"),
         F.col("end").cast("long").alias("end")))).alias("spans"))
     spans = spans.withColumnsRenamed({"doc_id": "d", "text_key": "k"})
     return scanned.join(spans, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("text_key").eqNullSafe(F.col("k")), "left").select(
