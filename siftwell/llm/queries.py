@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import credentials, decontaminate, pieces, quality, simhash
-from .sql import OP7, OP10
+from . import chat, credentials, debruijn, decontaminate, pieces, quality, simhash
+from .sql import OP7, OP8, OP9, OP10
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -63,6 +63,31 @@ def op7(spark, sf_dir):
                         (F.size("matches") > 0).alias("contaminated"))
 
 
+@register("op8_substring_dedup", OP8)
+def op8(spark, sf_dir):
+    return debruijn.dedup_digests(table(spark, sf_dir, "documents"))
+
+
+#: A conversation of control strings, added to the table's own.
+PLANTED = r"\### Assistant: </turn> ok"
+
+
+@register("op9_chat_formatting", OP9)
+def op9(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = F.array(*[F.struct(F.lit(-7).cast("long").alias("conv_id"), F.lit(i).cast("long").alias("turn"),
+                              F.lit(role).alias("role"), F.lit(PLANTED).alias("text"))
+                     for i, role in enumerate(("user", "assistant"))])
+    planted = spark.range(1).select(F.explode(said).alias("t")).select("t.*")
+    made = chat.format_chats(turns.unionByName(planted))
+    read = made.select("conv_id", "formatted", chat.read_turns(F.col("formatted")).alias("turns"),
+                       chat.read_loss(F.col("formatted"), F.col("loss_bytes")).alias("learned"))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
+                       F.length("learned").cast("long").alias("loss_chars"), F.sha2("learned", 256).alias("loss_sha256"),
+                       F.length("formatted").cast("long").alias("formatted_chars"))
+
+
 @register("op10_quality_rules", OP10)
 def op10(spark, sf_dir):
     found = quality.verdicts(quality.ledger(table(spark, sf_dir, "documents")))

@@ -198,6 +198,14 @@ def links(reps: DataFrame, max_distance: int = MAX_DISTANCE, shard_rows: int = S
             .groupBy("shard").applyInPandas(search, "u long, v long"))
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node hangs on one root that hangs on nothing."""
+    ends = (edges.select(F.col("u").alias("node"), F.lit(1).alias("above"), F.lit(0).alias("below"))
+            .union(edges.select("v", F.lit(0), F.lit(1))))
+    return (ends.groupBy("node").agg(F.sum("above").alias("above"), F.max("below").alias("below"))
+            .where((F.col("above") > 1) | ((F.col("above") > 0) & (F.col("below") > 0))).isEmpty())
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): alternating large and small stars until nothing changes.
 
@@ -205,21 +213,15 @@ def components(edges: DataFrame) -> DataFrame:
     is split by the adaptive join: its smallest neighbour is pre-aggregated.
     """
     edges = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    seen = None
-    while True:
-        mark = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == seen:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        seen = mark
+    while not _settled(edges):
         both = edges.union(edges.select(F.col("v"), F.col("u")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = (both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-                 .where("u <> v").distinct())
-        large = written(large.union(edges.join(least, "u").select("u", F.col("m").alias("v")).where("u <> v")).distinct())
+        large = written(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+                        .union(edges.join(least, "u").select("u", F.col("m").alias("v"))).where("u <> v").distinct())
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
-        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         edges = written(small.union(least.select("u", F.col("m").alias("v"))).distinct())
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
 def classes(prints: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:

@@ -22,11 +22,38 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
   sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
 FROM d LEFT JOIN pos USING (r) LEFT JOIN items USING (r)"""
 
+OP8 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+win AS (SELECT r, p, list_slice(w, p, p + 34) AS words FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS p FROM d)),
+rep AS (SELECT r, p FROM (SELECT r, p, count(*) OVER (PARTITION BY words) AS n FROM win) WHERE n > 1),
+gone AS (SELECT DISTINCT r, q FROM (SELECT r, unnest(range(p, p + 35)) AS q FROM rep)),
+each AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS q FROM d),
+kept AS (SELECT r, string_agg(word, ' ' ORDER BY q) AS text, count(*) AS n FROM each ANTI JOIN gone USING (r, q) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)"""
+
+# The template's marks and escapes, as text.
+_ESCAPED = r"replace(replace({0}, '\', '\b'), '<', '\l')"
+
+OP9 = rf"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+o AS (SELECT *, lag(role) OVER s IS NOT DISTINCT FROM role AS joined,
+    length({_ESCAPED.format('text')}) AS chars FROM t
+  WINDOW s AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text))
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(chars + CASE WHEN joined THEN 3 ELSE 3 + length(role) + 8 END) AS BIGINT) AS formatted_chars
+FROM o GROUP BY conv_id"""
+
 _FAILED = " + ".join(f"CASE WHEN {r.fails} THEN {1 << r.bit} ELSE 0 END" for r in quality.RULES)
 
 OP10 = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, {_WORDS} AS w FROM documents),
-l AS (SELECT r, list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+l AS (SELECT r, [x for x in string_split(text, chr(10)) if regexp_matches(x, '[^\x20\x09-\x0D]')] AS lines FROM d),
 win AS (SELECT r, p, w[p:p + 2] AS words FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS p FROM d)),
 rep AS (SELECT r, p FROM (SELECT r, p, count(*) OVER (PARTITION BY r, words) AS n FROM win) WHERE n > 1),
 cov AS (SELECT r, count(DISTINCT q) AS n FROM (SELECT r, unnest([p, p + 1, p + 2]) AS q FROM rep) GROUP BY r),
