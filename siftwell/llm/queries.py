@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import chat, credentials, debruijn, decontaminate, pieces, quality, simhash
-from .sql import OP7, OP8, OP9, OP10
+from . import chat, credentials, debruijn, decontaminate, licences, mixing, pieces, quality, simhash, tokentrie
+from .sql import OP4, OP7, OP8, OP9, OP10
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -34,6 +34,22 @@ def op1(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@register("op2_context_mixing")
+def op2(spark, sf_dir):
+    return mixing.score(table(spark, sf_dir, "documents"))
+
+
+@register("op3_token_counts")
+def op3(spark, sf_dir):
+    found = tokentrie.count_tokens(table(spark, sf_dir, "documents"), piece_model(), carry=["doc_id"])
+    return found.select(F.col("__row.doc_id").alias("doc_id"), "n_pretokens", "n_tokens", "score")
+
+
+@register("op4_license_scan", OP4)
+def op4(spark, sf_dir):
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
 @register("op5_secret_scan")
 def op5(spark, sf_dir):
     found = credentials.find(table(spark, sf_dir, "documents"))

@@ -1,12 +1,38 @@
 """SQL twins for DuckDB, written from the contracts and not from the operators."""
 
-from . import quality
+from . import licences, quality
 
 # Lower-cases A-Z alone, as the contracts ask.
 _AZ = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _BENCH_WORDS = "regexp_extract_all(" + _AZ.format("coalesce(text, '')") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+
+
+def _canonical(text: str) -> str:
+    text = f"lower({text})"
+    for pattern, new in licences.STEPS:
+        new = new.replace("$", chr(92))
+        new = "chr(10)" if new == r"\n" else f"'{new}'"
+        text = f"regexp_replace({text}, '{pattern}', {new}, 'g')"
+    return text
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+OP4 = f"""
+WITH known AS (SELECT DISTINCT licence, sha256({_canonical('t')}) AS digest
+  FROM (VALUES {', '.join(f'({_quoted(a)}, {_quoted(b)})' for a, b in licences.CATALOGUE)}) AS v(licence, t)),
+d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+l AS (SELECT r, sha256({_canonical('line')}) AS digest FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d)
+  WHERE regexp_matches(line, '{licences.HINT}')),
+n AS (SELECT r, count(*) AS n, string_agg(DISTINCT licence, ',' ORDER BY licence) AS names FROM l JOIN known USING (digest) GROUP BY r),
+w AS (SELECT *, sha256({_canonical('text')}) AS text_sha256 FROM d)
+SELECT doc_id, text_sha256, licence, coalesce(names, '') AS notices, coalesce(n, 0) AS n_notices
+FROM w LEFT JOIN known ON text_sha256 = digest LEFT JOIN n USING (r)"""
+
 OP7 = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_BENCH_WORDS} AS w FROM documents),
 i AS (SELECT coalesce(CAST(item_id AS VARCHAR), 'null') AS item, {_BENCH_WORDS} AS w FROM benchmark),
