@@ -163,7 +163,8 @@ def local_roots(points: np.ndarray, radius: int = MAX_DISTANCE, leaf: int = LEAF
         vantage, cut = _cut(own, radius, rng)
         d = np.bitwise_count(own ^ np.uint64(vantage)).astype(np.int16)
         near, far = at[d <= cut], at[d > cut - radius]
-        if len(near) + len(far) > 1.8 * len(at):
+        # A cut that leaves one side whole, or copies nearly all, would not end or not pay.
+        if max(len(near), len(far)) == len(at) or len(near) + len(far) > 1.8 * len(at):
             _spread(points, at, radius, parent)
         else:
             work += [near, far]
