@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..errors import SpecError
 from ..functions.columns import NUMBER, TEXT, batches, col, combine, families, field, group_key
-from ..session import at_hand
+from ..session import at_hand, written
 from .profile import (KEY_UNIQUE_RATIO, RARE_MAX_DISTINCT, Bin, Counted, build_histogram, distinct_sketch,
                       histogram_counts, pct, seconds, short, value_counts)
 from .quantiles import quantiles, sketch_brackets
@@ -151,11 +151,12 @@ def _key_counts(df: DataFrame, column: str) -> DataFrame:
 def duplicate_rows(df: DataFrame, column: str, ordered: bool = True) -> DataFrame:
     """Rows whose value in ``column`` occurs more than once, ordered by it.
 
-    The repeated values have one row each, so when a value holds a large part
-    of the table its partition can be split and joined in pieces.
+    The repeated values have one row each and are written first: a join of two
+    plain exchanges is one that adaptive execution splits where a value holds
+    a large part of the table.
     """
     found = field(df.schema, column)
-    repeated = _key_counts(df, column).filter(F.col("__n") > 1).select(F.col("__key").alias("__repeated"))
+    repeated = written(_key_counts(df, column).filter(F.col("__n") > 1).select(F.col("__key").alias("__repeated")))
     rows = (df.withColumn("__key", group_key(column, found.dataType))
             .join(repeated, F.col("__key") == F.col("__repeated"), "left_semi").drop("__key"))
     return sort_rows(rows, column) if ordered else rows

@@ -11,6 +11,7 @@ import io
 import re
 from collections.abc import Mapping
 
+from py4j.java_gateway import is_instance_of
 from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,8 +20,10 @@ from ..operators.profile import summarize
 
 _SUMMARIZE = re.compile(r"\s*SUMMARIZE\s+(.+)", re.IGNORECASE | re.DOTALL)
 _NAME = re.compile(r"[\w`\"]+")
-# Functions that would call arbitrary code in the driver.
-_REACHES_OUT = re.compile(r"\b(java_method|try_reflect|reflect)\s*\(", re.IGNORECASE)
+# Expressions of an analysed plan that call arbitrary code in the driver, however they were written.
+_REACHES_OUT = ("CallMethodViaReflection", "TryReflect")
+_PLAN = "org.apache.spark.sql.catalyst.plans.logical.LogicalPlan"
+_SUBQUERY = "org.apache.spark.sql.catalyst.expressions.PlanExpression"
 # Physical operators that pair every row with every row.
 _PAIRS_ALL = re.compile(r"^[\s:+\-*()0-9]*(CartesianProduct|BroadcastNestedLoopJoin)\b", re.MULTILINE)
 
@@ -66,9 +69,36 @@ def _conf(spark: SparkSession, key: str, value: str):
             spark.conf.set(key, before)
 
 
+def _reaches_out(rows: DataFrame) -> bool:
+    """Whether the analysed plan holds, at any depth, an expression that calls a method by its name."""
+    gateway = rows.sparkSession.sparkContext._gateway
+
+    def each(found):
+        walk = found.iterator()
+        while walk.hasNext():
+            yield walk.next()
+
+    waiting = [rows._jdf.queryExecution().analyzed()]
+    while waiting:
+        node = waiting.pop()
+        if node.getClass().getSimpleName() in _REACHES_OUT:
+            return True
+        waiting.extend(each(node.children()))
+        if is_instance_of(gateway, node, _PLAN):
+            waiting.extend(each(node.expressions()))
+        elif is_instance_of(gateway, node, _SUBQUERY):
+            waiting.append(node.plan())
+    return False
+
+
 def _select(spark: SparkSession, text: str) -> DataFrame:
-    if _REACHES_OUT.search(text):
+    rows = _analysed(spark, text)
+    if _reaches_out(rows):
         raise _deny("not_a_single_select", "calls out of SQL are not run here")
+    return rows
+
+
+def _analysed(spark: SparkSession, text: str) -> DataFrame:
     try:
         # The line breaks keep a closing "--" comment from hiding the bracket.
         with _conf(spark, "spark.sql.runSQLOnFiles", "false"):

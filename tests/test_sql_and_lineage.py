@@ -101,3 +101,16 @@ def test_long_chains(spark, monkeypatch):
         sources = spark.createDataFrame([("s", loaded)], "name string, t string").select("name", day("t").alias("loaded_at"))
         assert {r.state for r in L.staleness(slices, sources, edges).collect()} == {state}
     assert L.dependents(edges, "s").count() == n
+
+
+@pytest.mark.parametrize("text", [
+    "SELECT `reflect`('java.lang.Math', 'abs', -3)", "SELECT reflect/**/('java.lang.Math', 'abs', -3)",
+    "SELECT 1 WHERE EXISTS (SELECT java_method('java.lang.Math', 'abs', -3))",
+    "WITH a AS (SELECT try_reflect('java.lang.Math', 'abs', -3) AS x) SELECT * FROM a"])
+def test_calls_out_are_refused_however_written(spark, text):
+    with pytest.raises(Refused):
+        run_sql(spark, text)
+
+
+def test_a_text_that_only_speaks_of_calls_is_harmless(spark):
+    assert run_sql(spark, "SELECT 'the reflect (x)' AS t").first()["t"] == "the reflect (x)"
