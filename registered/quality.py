@@ -18,7 +18,7 @@ TEXTS = ("l_returnflag", "l_linestatus")
 # ----------------------------------------------------------------- profile
 
 
-def _column_sql(name: str, family: str) -> str:
+def _column_sql(name: str, family: str, source: str = "lineitem") -> str:
     def number(expr):
         return f"CAST({expr} AS DOUBLE)" if family == "number" else "CAST(NULL AS DOUBLE)"
 
@@ -32,7 +32,7 @@ SELECT '{name}' AS name, '{family}' AS family, count(*) AS rows, count({name}) A
   {moment(f'min({name})')} AS earliest, {moment(f'max({name})')} AS latest,
   {number(f'round(avg({name}), 9)')} AS mean, {number(f'round(quantile_cont({name}, 0.25), 6)')} AS q1,
   {number(f'round(quantile_cont({name}, 0.5), 6)')} AS median, {number(f'round(quantile_cont({name}, 0.75), 6)')} AS q3
-FROM lineitem"""
+FROM {source}"""
 
 
 _COLUMNS = [(n, "number") for n in NUMBERS] + [(n, "text") for n in TEXTS] + [("l_shipdate", "temporal")]
@@ -40,7 +40,19 @@ _COLUMNS = [(n, "number") for n in NUMBERS] + [(n, "text") for n in TEXTS] + [("
 
 @register("profile_columns", " UNION ALL ".join(_column_sql(n, f) for n, f in _COLUMNS))
 def profile_columns(spark, sf):
-    found = profile(table(spark, sf, "lineitem")).columns_frame(spark)
+    return _profiled(spark, table(spark, sf, "lineitem"))
+
+
+@register("profile_columns_of_five_copies", " UNION ALL ".join(
+    _column_sql(n, f, "(SELECT l.* FROM lineitem l, range(5))") for n, f in _COLUMNS))
+def profile_columns_of_five_copies(spark, sf):
+    """A table too long for one task's values: still exact."""
+    copies = table(spark, sf, "lineitem").withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(5)))).drop("copy")
+    return _profiled(spark, copies)
+
+
+def _profiled(spark, df):
+    found = profile(df).columns_frame(spark)
     found = rounded(found.withColumnRenamed("distinct", "distinct_values"), 9, "mean")
     return rounded(found, 6, "q1", "median", "q3").select(
         "name", "family", "rows", "non_null", "null_pct", "distinct_values", "min", "max", "earliest", "latest",
@@ -187,18 +199,20 @@ def outliers_rare(spark, sf):
 
 @register("outliers_rare_rows", f"""
 SELECT p_partkey, brand FROM {_RARE} WHERE brand IN
-  (SELECT brand FROM {_RARE} GROUP BY brand HAVING count(*) <= 5 ORDER BY count(*), brand LIMIT 200)""")
+  (SELECT brand FROM {_RARE} GROUP BY brand HAVING count(*) <= 5)""")
 def outliers_rare_rows(spark, sf):
     df = _branded(spark, sf)
-    values = [v.value for f in outliers(df).rare for v in f.values]
+    values = [v for f in outliers(df).rare for v in f.every]
     return rare_rows(df, "brand", values)
 
 
 @register("outliers_rare_capped", """
-SELECT count(*) AS listed, CAST(sum(n) AS BIGINT) AS rows, max(total) AS total_values FROM (
-  SELECT text, count(*) AS n, count(*) OVER () AS total FROM documents GROUP BY text HAVING count(*) <= 5
-  ORDER BY n, text LIMIT 200)""")
+SELECT least(count(*) FILTER (n <= 5), 200) AS listed, CAST(sum(n) FILTER (n <= 5) AS BIGINT) AS rows,
+  count(*) FILTER (n <= 5) AS total_values
+FROM (SELECT count(*) AS n FROM documents GROUP BY text)
+HAVING count(*) FILTER (n <= 5) > 0 AND count(*) > 1 AND count(*) <= 1000 AND count(*) < 0.95 * sum(n)""")
 def outliers_rare_capped(spark, sf):
+    """Only the list has an end; every rare value is counted."""
     found = outliers(table(spark, sf, "documents").select("text")).rare
     return spark.createDataFrame([(len(f.values), f.count, f.total_values) for f in found],
                                  "listed long, rows long, total_values long")
@@ -277,7 +291,7 @@ HAVING q3 > q1 AND count(*) FILTER ({c} < low OR {c} > high) > 0""")
     for c in TEXTS:
         parts.append(f"""
 SELECT 'rare', '{c}', CAST(sum(n) AS BIGINT) FROM (SELECT n, d, rows FROM (SELECT {c}, count(*) AS n,
-  count(*) OVER () AS d, sum(count(*)) OVER () AS rows FROM lineitem GROUP BY {c}) WHERE n <= 5 ORDER BY n, {c} LIMIT 200)
+  count(*) OVER () AS d, sum(count(*)) OVER () AS rows FROM lineitem GROUP BY {c}) WHERE n <= 5)
 HAVING max(d) > 1 AND max(d) <= 1000 AND max(d) < 0.95 * max(rows)""")
     for c in NUMBERS + TEXTS:
         parts.append(f"""

@@ -59,11 +59,14 @@ class Extremes(Finding):
 
 @dataclass
 class Rare(Finding):
+    # The rarest, at most as many as were asked for.
     values: list[Counted] = dc_field(default_factory=list)
     total_values: int = 0
+    # Every rare value; no more than RARE_MAX_DISTINCT, as the check needs.
+    every: list[str] = dc_field(default_factory=list, repr=False)
 
     def rows(self, df):
-        return rare_rows(df, self.column, [v.value for v in self.values])
+        return rare_rows(df, self.column, self.every)
 
 
 @dataclass
@@ -205,26 +208,27 @@ def _facts(df: DataFrame, fams) -> _Facts:
     return _Facts(row["rows"], row["blank"], columns)
 
 
-def outliers(df: DataFrame, k: float = 1.5, n: int = 5) -> Outliers:
+def outliers(df: DataFrame, k: float = 1.5, n: int = 5, listed: int = RARE_LIST_LIMIT) -> Outliers:
     """Extremes, rare categories, missing values and repeating keys.
 
     Every count is exact whatever the table's size. The sketches of the first
-    scan only rule out columns that are nowhere near a check's gate.
+    scan only rule out columns that are nowhere near a check's gate. ``listed``
+    is how many rare values a finding spells out; it counts and opens them all.
     """
     if not K_RANGE[0] <= k <= K_RANGE[1]:
         raise SpecError(f"k lies between {K_RANGE[0]} and {K_RANGE[1]}")
     if not N_RANGE[0] <= n <= N_RANGE[1]:
         raise SpecError(f"n lies between {N_RANGE[0]} and {N_RANGE[1]}")
     with at_hand(df) as held:
-        return _outliers(held, k, n)
+        return _outliers(held, k, n, listed)
 
 
-def _outliers(df: DataFrame, k: float, n: int) -> Outliers:
+def _outliers(df: DataFrame, k: float, n: int, listed: int) -> Outliers:
     facts = _facts(df, families(df))
     share = f"{int(MOSTLY_BLANK * 100)}%"
     blank = MostlyBlank(None, facts.mostly_blank,
                         f"{facts.mostly_blank:,} rows have no value in {share} or more of their columns")
-    return Outliers(facts.rows, k, n, _extremes(df, facts, k), _rare(df, facts, n),
+    return Outliers(facts.rows, k, n, _extremes(df, facts, k), _rare(df, facts, n, listed),
                     _missing(facts), blank, _duplicates(df, facts))
 
 
@@ -266,27 +270,28 @@ class _Shape:
     non_null: int
 
 
-def _rare(df: DataFrame, facts: _Facts, n: int) -> list[Rare]:
+def _rare(df: DataFrame, facts: _Facts, n: int, listed: int) -> list[Rare]:
     maybe = [c for c, f in facts.columns.items() if f["family"] == TEXT and f["n"]
              and f["distinct"] <= RARE_MAX_DISTINCT * (1 + SKETCH_SLACK)]
     if not maybe:
         return []
-    # At most about RARE_MAX_DISTINCT values per column reach the windows.
+    # At most about RARE_MAX_DISTINCT values per column reach the windows, and
+    # no more than that the driver.
     per_column = Window.partitionBy("column")
-    seldom = F.col("n") <= F.lit(n)
-    listed = (value_counts(df, maybe)
+    seldom = (value_counts(df, maybe)
               .withColumn("distinct", F.count(F.lit(1)).over(per_column))
-              .withColumn("total", F.sum(seldom.cast("long")).over(per_column))
-              .withColumn("place", F.row_number().over(per_column.orderBy("n", "value")))
-              .filter(seldom & (F.col("place") <= RARE_LIST_LIMIT)))
+              .filter((F.col("n") <= F.lit(n)) & (F.col("distinct") <= RARE_MAX_DISTINCT)))
     found: dict[str, Rare] = {}
-    for row in listed.orderBy("column", "place").collect():
+    for row in seldom.orderBy("column", "n", "value").collect():
         c, distinct = row["column"], row["distinct"]
-        if not 1 < distinct <= RARE_MAX_DISTINCT or distinct >= KEY_UNIQUE_RATIO * facts.columns[c]["n"]:
+        if distinct == 1 or distinct >= KEY_UNIQUE_RATIO * facts.columns[c]["n"]:
             continue
-        f = found.setdefault(c, Rare(c, 0, "", total_values=row["total"]))
-        f.values.append(Counted(row["value"], row["n"]))
+        f = found.setdefault(c, Rare(c, 0, ""))
+        if len(f.values) < listed:
+            f.values.append(Counted(row["value"], row["n"]))
+        f.every.append(row["value"])
         f.count += row["n"]
+        f.total_values += 1
     for f in found.values():
         more = f"; the {len(f.values)} rarest are listed" if f.total_values > len(f.values) else ""
         f.summary = f"{f.column}: {f.total_values:,} values occur {n} times or fewer{more}"

@@ -14,10 +14,9 @@ from pyspark.sql import types as T
 from ..functions.columns import (INTEGERS, NUMBER, TEMPORAL, TEXT, as_micros, as_number, batches, col, families,
                                  group_key)
 from ..session import at_hand
-from .quantiles import exact_quantiles, sketch_quantiles
+from .quantiles import IN_TASK_VALUES, quantiles, sketch_brackets, sketch_quantiles
 
 # Limits and thresholds of the profile.
-EXACT_LIMIT = 200_000
 HIST_BINS = 24
 TOP_VALUES = 5
 TOP_DISTINCT_LIMIT = 1_000
@@ -145,29 +144,29 @@ def _hashable(dtype: T.DataType, c: Column) -> Column:
     return c.cast("string") if isinstance(dtype, (T.MapType, T.VariantType, T.StructType)) else c
 
 
-def profile(df: DataFrame, rejected: int = 0) -> Profile:
+def profile(df: DataFrame, rejected: int = 0, approximate: bool = False) -> Profile:
     """Profile every column of ``df``.
 
-    A handful of jobs over all columns, never one per column: counts, ranges
-    and sketches; up to ``EXACT_LIMIT`` rows exact distinct counts and
-    quartiles; all histograms; all common values (each column is in just one
-    of the two). Only a text that looks like a key takes a job of its own, for
-    its repeats. Above the limit distinct counts and quartiles come from
-    sketches and say so.
+    A handful of jobs over all columns, never one per column: counts and
+    ranges; exact distinct counts and quartiles at any size; all histograms;
+    all common values (each column is in just one of the two).
+
+    With ``approximate`` distinct counts and quartiles come from sketches of
+    the first scan and say so. A text that then looks like a key takes a job of
+    its own, for its repeats.
     """
     with at_hand(df) as held:
-        # Counting a table held in memory is free; any other learns its size
-        # in the same scan as its sketches.
-        few = held is not df and held.count() <= EXACT_LIMIT
-        return _profile(held, rejected, sketches=not few)
+        # Counting a table held in memory is free, and tells whether brackets
+        # around the quartiles are worth a sketch.
+        few = held is not df and held.count() <= IN_TASK_VALUES
+        return _profile(held, rejected, approximate, brackets=not few)
 
 
-def _profile(df: DataFrame, rejected: int, sketches: bool) -> Profile:
+def _profile(df: DataFrame, rejected: int, approximate: bool, brackets: bool) -> Profile:
     fams = families(df)
-    first = _facts(df, fams, sketches)
-    rows = first["rows"]
-    exact = rows <= EXACT_LIMIT
-    precise = _exact(df, fams) if exact and fams else None
+    first = _facts(df, fams, approximate, brackets)
+    rows, exact = first["rows"], not approximate
+    precise = _exact(df, fams, first) if exact and fams else None
 
     columns = []
     for i, (name, fam) in enumerate(fams):
@@ -193,14 +192,14 @@ def seconds(value) -> float:
     return (value - dt.datetime(1970, 1, 1)).total_seconds() if isinstance(value, dt.datetime) else float(value)
 
 
-def _facts(df: DataFrame, fams, sketches: bool = True) -> dict:
+def _facts(df: DataFrame, fams, approximate: bool, brackets: bool) -> dict:
     out: dict = {}
     aggs = [F.count(F.lit(1)).alias("rows")]
     for batch in batches(enumerate(fams)) or [[]]:
         for i, (name, fam) in batch:
             c, dtype = col(name), df.schema[name].dataType
             aggs.append(F.count(c).alias(f"n{i}"))
-            if sketches:
+            if approximate:
                 aggs.append(distinct_sketch(_hashable(dtype, c)).alias(f"d{i}"))
             if fam in (NUMBER, TEMPORAL):
                 lo, hi = F.min(c), F.max(c)
@@ -210,19 +209,22 @@ def _facts(df: DataFrame, fams, sketches: bool = True) -> dict:
             if fam == NUMBER:
                 x = c.cast("double")
                 aggs.append(F.avg(x).alias(f"avg{i}"))
-                if sketches:
+                if approximate:
                     aggs.append(sketch_quantiles(x, QUARTILES).alias(f"q{i}"))
+                elif brackets:
+                    aggs.append(sketch_brackets(x, QUARTILES).alias(f"b{i}"))
         out.update(df.agg(*aggs).first().asDict())
         aggs = []
     return out
 
 
-def _exact(df: DataFrame, fams) -> dict:
-    """Exact distinct counts and quartiles; only for few enough rows."""
+def _exact(df: DataFrame, fams, first: dict) -> dict:
+    """Exact distinct counts and quartiles, at any size."""
     out = _exact_distinct(df, fams)
-    for batch in batches((i, name) for i, (name, fam) in enumerate(fams) if fam == NUMBER):
-        out.update(df.agg(*[exact_quantiles(col(name), QUARTILES).alias(f"q{i}") for i, name in batch])
-                   .first().asDict())
+    place = {name: i for i, (name, fam) in enumerate(fams) if fam == NUMBER}
+    facts = {name: {"n": first[f"n{i}"], "min": first[f"lo{i}"], "max": first[f"hi{i}"], "brackets": first.get(f"b{i}")}
+             for name, i in place.items()}
+    out.update({f"q{place[name]}": found for name, found in quantiles(df, facts, QUARTILES).items()})
     return out
 
 
@@ -230,7 +232,8 @@ def _exact_distinct(df: DataFrame, fams) -> dict:
     """Distinct non-null values of every column, in one job.
 
     Columns become (column, value) rows of three kinds: whole numbers and
-    times, other numbers, and everything else as text.
+    times, other numbers, and everything else as text, long ones by digest.
+    Values are made distinct where they lie before they are shuffled.
     """
     kinds: dict[str, list] = {"long": [], "double": [], "string": []}
     for i, (name, fam) in enumerate(fams):
@@ -242,7 +245,7 @@ def _exact_distinct(df: DataFrame, fams) -> dict:
         elif isinstance(dtype, (T.FloatType, T.DoubleType)):
             kinds["double"].append((i, c.cast("double")))
         else:
-            kinds["string"].append((i, c.cast("string")))
+            kinds["string"].append((i, (group_key(name, dtype) if fam == TEXT else c).cast("string")))
     parts = []
     for columns in filter(None, kinds.values()):
         number = F.array(*[F.lit(i) for i, _ in columns])

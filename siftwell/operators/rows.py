@@ -155,12 +155,18 @@ def preview_sample(spark: SparkSession, path: str, size: int = 500, seed: int =
     """
     _checked_size(size)
     whole = spark.read.parquet(path)
-    file, index = F.col("_metadata.file_path"), F.col("_metadata.row_index")
-    picked = (whole.select(file.alias("file"), index.alias("index"))
-              .withColumn("draw", F.xxhash64("file", "index", F.lit(seed)))
-              .orderBy("draw", "file", "index").limit(size).collect())
-    if not picked:
+    total = whole.count()    # from the footers
+    if not total:
         return whole.limit(0)
+    file, index = F.col("_metadata.file_path"), F.col("_metadata.row_index")
+    drawn = (whole.select(file.alias("file"), index.alias("index"))
+             .withColumn("draw", F.xxhash64("file", "index", F.lit(seed))))
+    # Draws are even over all longs, so the smallest ones lie below a bound that
+    # about twice as many rows fall under; no split sends up more than its share.
+    bound = int(min(1.0, (2 * size + 100) / total) * (1 << 64)) - (1 << 63) - 1
+    picked = drawn.filter(F.col("draw") <= F.lit(bound)).orderBy("draw", "file", "index").limit(size).collect()
+    if len(picked) < min(size, total):
+        picked = drawn.orderBy("draw", "file", "index").limit(size).collect()
     chosen = spark.createDataFrame([tuple(r) for r in picked], "__file string, __index long, __draw long")
     part = _reading(whole, path, sorted({r["file"] for r in picked}))
     return (part.withColumns({"__f": file, "__i": index})

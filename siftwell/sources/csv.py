@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv as csv_text
 from dataclasses import dataclass
 from typing import NamedTuple
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,16 +65,20 @@ def looks_like_id(name: str, kind: Kind) -> bool:
     return kind != TEXT_KIND and any(hint in name.lower() for hint in ID_HINTS)
 
 
-def detect_types(spark: SparkSession, path: str, delim: str = ",", marker: str = BLANK_MARKER) -> Detected:
-    """Column names and types from the first rows, without loading the file.
+def detect_types(spark: SparkSession, path: str, delim: str = ",", marker: str = BLANK_MARKER,
+                 rows: int = DETECT_ROWS) -> Detected:
+    """Column names and types from the first ``rows`` rows, without loading the file.
 
     A preview: the load reads every value and may decide otherwise. Records
-    that do not parse are left out.
+    that do not parse are left out. Of several files the first by name is read,
+    and of that only the splits it takes to see so many rows.
     """
     header = _first_line(spark, path)
     names = column_names(header, delim)
     cells = _cells(F.col("text"), len(names), delim)
-    sample = (records.lines(spark, path).limit(DETECT_ROWS + 1).filter(F.col("text") != header)
+    first = min(spark.read.text(path).inputFiles())
+    seen = [(r[0],) for r in spark.read.text(unquote(first)).head(rows + 1)]
+    sample = (spark.createDataFrame(seen, "text string").filter(F.col("text") != header)
               .select(cells.alias("cells")).filter(F.col("cells.broken").isNull())
               .select([_blank_to_null(F.col(f"cells.c{i}"), marker).alias(n) for i, n in enumerate(names)]))
     kinds = infer_kinds(sample, names)

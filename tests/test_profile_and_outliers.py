@@ -46,11 +46,28 @@ def test_constant_and_empty_columns(spark):
     assert empty.rows == 0 and empty.columns[0].null_pct == 0.0 and empty.leads == []
 
 
-def test_sketches_above_the_limit_are_labelled_and_close(spark, monkeypatch):
-    monkeypatch.setattr(P, "EXACT_LIMIT", 100)
-    df = spark.range(30_000).select((F.col("id") % 10_000).alias("a"), (F.col("id") % 7).cast("string").alias("t"),
-                                    F.when(F.col("id") < 29_990, F.col("id")).otherwise(1).cast("string").alias("k"))
+def test_a_large_profile_is_exact_unless_asked(spark):
+    """One column 95.1 % different: a sketch may put it on either side of the gate."""
+    rows = 210_000
+    df = spark.range(rows).select(F.when(F.col("id") < int(rows * .951), F.col("id")).otherwise(7).cast("string").alias("k"),
+                                  F.col("id").alias("n"))
     p = P.profile(df)
+    k, n = p.columns
+    assert not p.approx and (k.distinct, n.distinct) == (int(rows * .951), rows)
+    assert (n.q1, n.median, n.q3) == ((rows - 1) * .25, (rows - 1) * .5, (rows - 1) * .75)
+    assert {x.check: x.extra for x in p.leads if x.column == "k"} == {"duplicates": rows - int(rows * .951)}
+
+
+def test_rare_values_are_all_counted_and_opened(spark):
+    df = spark.range(10_000).select(F.when(F.col("id") < 300, F.col("id")).otherwise(-1).cast("string").alias("t"))
+    (r,) = O.outliers(df, listed=10).rare
+    assert (r.count, r.total_values, len(r.values)) == (300, 300, 10) and r.rows(df).count() == 300
+
+
+def test_sketches_are_labelled_and_close(spark):
+    df =spark.range(30_000).select((F.col("id") % 10_000).alias("a"), (F.col("id") % 7).cast("string").alias("t"),
+                                    F.when(F.col("id") < 29_990, F.col("id")).otherwise(1).cast("string").alias("k"))
+    p = P.profile(df, approximate=True)
     a, t, k = p.columns
     assert p.approx and a.distinct_approx and a.quartiles_approx and not t.quartiles_approx
     assert a.distinct == pytest.approx(10_000, rel=.03) and t.distinct == 7
