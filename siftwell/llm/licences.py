@@ -7,12 +7,14 @@ steps, so two texts match exactly if they say the same. Entire texts are
 compared; besides, every line that could be a short notice (``HINT``, which all
 notices hold) is compared as a text of its own.
 
-The catalogue is a constant of this module, a few kilobytes, so it is
-broadcast; the documents are neither shuffled nor seen by Python.
+Texts are read once and only their digests are written and joined, so no text
+is shuffled or seen by Python. Spark broadcasts the catalogue while it is small
+and splits a hot digest where it is not, as all joins are between written tables.
 
 Defined results: a null text is empty; an empty canonical text is no licence.
-Rows are independent: ties, repeated rows, null ids and empty tables need no
-rule. ``scan`` returns the id and its findings only, so no column can clash.
+Rows with the same id and text share their findings, each row keeping its own
+line; null ids are ids; an empty table gives an empty result. ``scan`` returns
+the id and its findings only, so no column can clash.
 """
 
 from __future__ import annotations
@@ -20,6 +22,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftwell.session import written
+
+from .common import text_key
+
 #: Pattern and replacement, in order, after lower-casing A-Z and the like.
 STEPS = (
     (r"(^|\n)[\s#*/;-]*(copyright|\(c\)|©)[^\n]*", r"\n"),
@@ -94,17 +100,20 @@ def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", known: Dat
 
     ``licence`` is that of the entire text, ``notices`` the sorted licences that
     single lines name, comma-joined, ``n_notices`` how many lines do. ``known``
-    is a catalogue of (digest, licence); it must be small enough to broadcast,
-    as it is sent to every task.
+    is a catalogue of (digest, licence) of any size; a digest with several names
+    goes by the first of them.
     """
     known = catalogue(docs.sparkSession) if known is None else known
-    names = known.agg(F.map_from_entries(F.collect_list(F.struct("digest", "licence"))).alias("names"))
+    known = written(known.groupBy(F.col("digest").alias("known")).agg(F.min("licence").alias("licence")))
     body = F.coalesce(docs[f"`{text}`"], F.lit(""))
     lines = F.transform(F.filter(F.split(body, "\n"), lambda x: x.rlike(HINT)), digest)
-    rows = docs.select(docs[f"`{doc_id}`"].alias("doc_id"), digest(body).alias("text_sha256"),
-                       F.when(body.rlike(HINT), lines).otherwise(F.array().cast("array<string>")).alias("lines"))
-    rows = rows.join(F.broadcast(known), rows["text_sha256"] == known["digest"], "left").drop("digest")
-    rows = rows.crossJoin(F.broadcast(names))  # one row: the catalogue as a map
-    said = F.filter(F.transform("lines", lambda x: F.col("names")[x]), lambda x: x.isNotNull())
-    return rows.select("doc_id", "text_sha256", "licence", F.array_join(F.array_sort(F.array_distinct(said)), ",").alias("notices"),
-                       F.size(said).cast("long").alias("n_notices"))
+    rows = written(docs.select(*text_key(docs, text, doc_id), digest(body).alias("text_sha256"),
+                               F.when(body.rlike(HINT), lines).otherwise(F.array().cast("array<string>")).alias("lines")))
+    each = rows.where(F.size("lines") > 0).dropDuplicates(["doc_id", "text_key"]).select(
+        F.col("doc_id").alias("__d"), F.col("text_key").alias("__k"), F.explode("lines").alias("line"))
+    said = written(each.join(known, F.col("line") == F.col("known")).groupBy("__d", "__k").agg(
+        F.array_join(F.array_sort(F.collect_set("licence")), ",").alias("notices"), F.count("*").alias("n_notices")))
+    return rows.join(known, F.col("text_sha256") == F.col("known"), "left").join(
+        said, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("text_key") == F.col("__k")), "left").select(
+        "doc_id", "text_sha256", "licence", F.coalesce("notices", F.lit("")).alias("notices"),
+        F.coalesce("n_notices", F.lit(0)).cast("long").alias("n_notices"))
