@@ -201,8 +201,7 @@ def test_licences(spark, none):
     assert licences.scan(none).count() == 0
 
 
-def test_every_notice_passes_the_hint():
-    import re
+def test_licences_of_repeated_rows_and_null_ids(spark):
     # Repeated rows keep a line each, null ids are ids, and a digest with two names goes by the first.
     again = spark.createDataFrame([(9, "x\nMIT licence"), (9, "x\nMIT licence"), (None, "MIT licence\n\nMIT License")],
                                   "doc_id long, text string")
@@ -211,6 +210,10 @@ def test_every_notice_passes_the_hint():
     got = licences.scan(again, known=own).orderBy("doc_id").collect()
     assert [(r["doc_id"], r["licence"], r["notices"], r["n_notices"]) for r in got] == [
         (None, None, "a", 2), (9, None, "a", 1), (9, None, "a", 1)]
+
+
+def test_every_notice_passes_the_hint():
+    import re
     assert all(re.search(licences.HINT, text) or len(text) > 300 or "Permission" in text for _, text in licences.CATALOGUE)
 
 
