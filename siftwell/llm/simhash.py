@@ -18,8 +18,8 @@ they differ in at most ``max_distance`` bits, found in three steps:
 The search is exact: the sample decides only how even the shards are.
 
 Defined results: a null or wordless text has fingerprint zero and is linked as
-any other. Rows with the same id and text are one document: they stay or go
-together. Null ids take part; a class of nothing else has a null id. Extra
+any other. Rows with the same id and text are one document, of which
+``drop_copies`` leaves one row (any, if other columns differ). Null ids take part; a class of nothing else has a null id. Extra
 columns are handed through by ``drop_copies``; an empty table gives none.
 """
 
@@ -249,6 +249,19 @@ def drop_copies(docs: DataFrame, max_distance: int = MAX_DISTANCE, text: str = "
                 doc_id: str = "doc_id") -> DataFrame:
     """The documents without near copies: the one of the smallest id (then text hash) of each class stays."""
     prints = written(fingerprints(docs, text, doc_id))
-    stay = written(classes(prints, max_distance).select("keeper_id", "keeper_key").distinct())
-    return docs.join(stay, docs[f"`{doc_id}`"].eqNullSafe(stay["keeper_id"])
-                     & (F.xxhash64(docs[f"`{text}`"]) == stay["keeper_key"]), "left_semi")
+    stay = classes(prints, max_distance).select("keeper_id", "keeper_key").distinct()
+    return one_row_each(docs, prints, stay, text, doc_id)
+
+
+def one_row_each(docs: DataFrame, prints: DataFrame, stay: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """One row of ``docs`` for each (keeper_id, keeper_key) of ``stay``; only repeated keepers are shuffled."""
+    rows = prints.groupBy("doc_id", "text_key").count()
+    stay = written(stay.join(rows, F.col("keeper_id").eqNullSafe(F.col("doc_id")) & (F.col("keeper_key") == F.col("text_key")))
+                   .select("keeper_id", "keeper_key", "count"))
+
+    def of(keepers):
+        return docs.join(keepers, docs[f"`{doc_id}`"].eqNullSafe(keepers["keeper_id"])
+                         & (F.xxhash64(docs[f"`{text}`"]) == keepers["keeper_key"]), "left_semi")
+
+    many = stay.where("count > 1")
+    return of(stay) if many.isEmpty() else of(stay.where("count = 1")).union(of(many).dropDuplicates([doc_id, text]))

@@ -5,7 +5,7 @@ import random
 import numpy as np
 
 import corpus_pipeline
-from siftwell.llm import jaccard
+from siftwell.llm import jaccard, simhash
 
 
 def shingle_set(text):
@@ -69,3 +69,14 @@ def test_similar_sets_share_a_shingle_of_both_prefixes():
         y = np.unique(np.append(rng.choice(x, max(1, int(len(x) * .92)), replace=False), rng.integers(0, 90, 2).astype(np.uint64)))
         if similar(set(x.tolist()), set(y.tolist())):
             assert np.isin(jaccard.prefix(x, frequent, ranks), jaccard.prefix(y, frequent, ranks)).any()
+
+
+def test_one_row_of_a_repeated_id_and_text_stays(spark):
+    long = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, long, "a"), (1, long, "a"), (2, long, "b"), (None, "lone words", "c"), (None, "lone words", "c"), (3, None, "d"), (3, None, "d"),
+            (4, "another text of six words", "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for drop in (jaccard.drop_copies, simhash.drop_copies):
+        kept = drop(docs)
+        assert kept.columns == docs.columns
+        assert sorted(map(repr, map(tuple, kept.collect()))) == sorted(map(repr, {rows[0], rows[3], rows[5], rows[7]}))
