@@ -53,6 +53,20 @@ def profile_columns_of_five_copies(spark, sf):
     return _profiled(spark, copies).drop("mean")
 
 
+@register("profile_means_of_five_copies", " UNION ALL ".join(f"""
+SELECT '{n}' AS name, CAST(sum(CAST(round({n} * 100) AS HUGEINT)) AS BIGINT) AS hundredths, true AS mean_agrees
+FROM lineitem, range(5)""" for n in NUMBERS))
+def profile_means_of_five_copies(spark, sf):
+    """The means that ``profile_columns_of_five_copies`` leaves out, beside whole
+    sums: these do not depend on the order, and a mean agrees to 12 digits."""
+    copies = table(spark, sf, "lineitem").withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(5)))).drop("copy")
+    sums = copies.agg(F.count("*").alias("rows"), *[F.sum(F.round(F.col(n) * 100).cast("long")).alias(n) for n in NUMBERS]).first()
+    means = {r["name"]: r["mean"] for r in profile(copies.select(*NUMBERS)).columns_frame(spark).collect()}
+    return spark.createDataFrame(
+        [(n, sums[n], abs(means[n] * 100 * sums["rows"] - sums[n]) <= 1e-12 * abs(sums[n])) for n in NUMBERS],
+        "name string, hundredths long, mean_agrees boolean")
+
+
 def _profiled(spark, df):
     found = profile(df).columns_frame(spark)
     found = rounded(found.withColumnRenamed("distinct", "distinct_values"), 9, "mean")
