@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import chat, credentials, debruijn, decontaminate, licences, mixing, pieces, quality, simhash, tokentrie
-from .sql import OP4, OP7, OP8, OP9, OP10
+from . import chat, codes, credentials, debruijn, decontaminate, licences, mixing, pieces, quality, simhash, tokentrie
+from .sql import OP4, OP7, OP8, OP9, OP10, OP13
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -110,3 +110,9 @@ def op10(spark, sf_dir):
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                         (F.col("failures").bitwiseAND(F.lit(quality.mask("v1"))) != 0).alias("base_failed"),
                         "kept", "failures")
+
+
+@register("op13_vector_codes", OP13)
+def op13(spark, sf_dir):
+    coded, books = codes.encode(table(spark, sf_dir, "embeddings"))
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(codes.codebooks_digest(books)).alias("codebooks_sha256"))

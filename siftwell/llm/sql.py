@@ -92,3 +92,26 @@ f AS (SELECT *, CAST({_FAILED} AS BIGINT) AS failures FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
   (failures & {quality.mask(quality.CURRENT)}) = 0 AS kept, failures FROM f"""
+
+
+def _op13() -> str:
+    """Rounds written out: distances to every entry, then the floor of each entry's mean."""
+    steps = ["""WITH k AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding, label NULLS LAST) - 1 AS r, vec_id, label, embedding
+  FROM embeddings WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+e AS MATERIALIZED (SELECT r, p, j, CAST(floor(256 * CAST(embedding[p * (len(embedding) // 16) + j + 1] AS DOUBLE)) AS BIGINT) AS x
+  FROM (SELECT *, unnest(range(len(embedding) // 16)) AS j FROM k), (SELECT unnest(range(16)) AS p)),
+b0 AS MATERIALIZED (SELECT r AS c, p, j, x AS v FROM e WHERE r < 64)"""]
+    for i in range(3):
+        steps.append(f"""a{i} AS MATERIALIZED (SELECT r, p, min(d * 64 + c) AS m FROM (
+  SELECT r, p, c, sum((x - v) * (x - v)) AS d FROM e JOIN b{i} USING (p, j) GROUP BY r, p, c) GROUP BY r, p)""")
+        if i < 2:
+            steps.append(f"""b{i + 1} AS MATERIALIZED (SELECT c, p, j, coalesce(CAST((s - ((s % n) + n) % n) // n AS BIGINT), v) AS v FROM b{i} LEFT JOIN (
+  SELECT m % 64 AS c, p, j, sum(x) AS s, count(*) AS n FROM e JOIN a{i} USING (r, p) GROUP BY m % 64, p, j) USING (c, p, j))""")
+    return ",\n".join(steps) + """,
+f AS (SELECT r, string_agg(lower(printf('%02x', CAST(m % 64 AS INTEGER))), '' ORDER BY p) AS code, CAST(sum(m // 64) AS BIGINT) AS error FROM a2 GROUP BY r)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY p, c, j)) FROM b2) AS codebooks_sha256
+FROM f JOIN k USING (r)"""
+
+
+OP13 = _op13()
