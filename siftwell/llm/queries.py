@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import chat, codes, credentials, debruijn, decontaminate, licences, mixing, pieces, quality, simhash, tokentrie
-from .sql import OP4, OP7, OP8, OP9, OP10, OP13
+from . import chat, codes, credentials, debruijn, decontaminate, licences, mixing, pieces, prefixtrie, quality, simhash, tokentrie
+from .sql import OP4, OP7, OP8, OP9, OP10, OP11, OP13
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -112,6 +112,14 @@ def op10(spark, sf_dir):
                         "kept", "failures")
 
 
+@register("op11_conversation_trie", OP11)
+def op11(spark, sf_dir):
+    paths, convs = prefixtrie.with_shared_openings(*prefixtrie.sequences(table(spark, sf_dir, "conversations")))
+    nodes, _ = prefixtrie.trie(paths, convs)
+    return nodes.select(F.col("name").alias("conv_id"), "depth", F.col("parent").alias("parent_conv_id"), "n_convs", "n_children",
+                        "n_leaves", F.col("saved").alias("saved_tokens"), F.col("ends").alias("ends_sha256"))
+
+
 @register("op13_vector_codes", OP13)
 def op13(spark, sf_dir):
     coded, books = codes.encode(table(spark, sf_dir, "embeddings"))

@@ -94,6 +94,30 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   (failures & {quality.mask(quality.CURRENT)}) = 0 AS kept, failures FROM f"""
 
 
+# Bit by bit, over the digits of a whole number.
+_CRC32 = """(xor(4294967295, list_reduce(list_prepend(4294967295, [CAST(ascii(substr({0}, i, 1)) AS BIGINT) FOR i IN range(1, length({0}) + 1)]),
+  lambda a, b: list_reduce(list_prepend(xor(a, b), [CAST(0 AS BIGINT) FOR i IN range(8)]),
+    lambda x, z: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END))))"""
+
+OP11 = f"""
+WITH o AS (SELECT conv_id AS c, {{'r': coalesce(role, ''), 't': coalesce(text, '')}} AS s,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS p
+  FROM conversations WHERE conv_id IS NOT NULL),
+g AS (SELECT c, list(s ORDER BY p) AS own, {_CRC32.format("CAST(c AS VARCHAR)")} % 6 AS h FROM o GROUP BY c),
+q AS MATERIALIZED (SELECT g.c, list_concat(coalesce(b.own[1:g.h], []), g.own[g.h + 1:]) AS s FROM g LEFT JOIN g AS b ON b.c = g.c - g.c % 100),
+m AS MATERIALIZED (SELECT *, min(c) OVER (PARTITION BY d, prefix) AS v FROM (SELECT c, len(s) AS n, d, s[1:d] AS prefix, s[d].t AS last
+  FROM (SELECT *, unnest(range(len(s) + 1)) AS d FROM q))),
+n AS (SELECT d, v, count(*) AS n_convs, (count(*) - 1) * coalesce(length(any_value(last)), 0) AS w,
+  sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (n = d), '')) AS ends FROM m GROUP BY d, v),
+p AS (SELECT DISTINCT a.d, a.v, b.v AS up FROM m AS a JOIN m AS b ON a.c = b.c AND b.d = a.d - 1),
+k AS (SELECT d - 1 AS d, up AS v, count(*) AS n_children FROM p GROUP BY d, up),
+below AS (SELECT DISTINCT a.d, a.v, b.d AS bd, b.v AS bv FROM m AS a JOIN m AS b ON a.c = b.c AND b.d >= a.d),
+sums AS (SELECT below.d, below.v, count(*) FILTER (k.v IS NULL) AS n_leaves, CAST(sum(w) AS BIGINT) AS saved_tokens
+  FROM below JOIN n ON n.d = bd AND n.v = bv LEFT JOIN k ON k.d = bd AND k.v = bv GROUP BY below.d, below.v)
+SELECT v AS conv_id, n.d AS depth, up AS parent_conv_id, n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, ends AS ends_sha256
+FROM n JOIN sums USING (d, v) LEFT JOIN p USING (d, v) LEFT JOIN k USING (d, v)"""
+
+
 def _op13() -> str:
     """Rounds written out: distances to every entry, then the floor of each entry's mean."""
     steps = ["""WITH k AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding, label NULLS LAST) - 1 AS r, vec_id, label, embedding
