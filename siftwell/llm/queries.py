@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import chat, codes, credentials, debruijn, decontaminate, licences, mixing, pieces, prefixtrie, quality, simhash, tokentrie
-from .sql import OP4, OP7, OP8, OP9, OP10, OP11, OP13
+from . import chat, codes, credentials, debruijn, decontaminate, licences, minhash, mixing, pieces, prefixtrie, quality, simhash, tokentrie
+from .sql import OP4, OP7, OP8, OP9, OP10, OP11, OP12, OP13
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -120,6 +120,11 @@ def op11(spark, sf_dir):
                         "n_leaves", F.col("saved").alias("saved_tokens"), F.col("ends").alias("ends_sha256"))
 
 
+@register("op12_minhash_near_duplicates", OP12)
+def op12(spark, sf_dir):
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @register("op13_vector_codes", OP13)
 def op13(spark, sf_dir):
     coded, books = codes.encode(table(spark, sf_dir, "embeddings"))

@@ -118,6 +118,20 @@ SELECT v AS conv_id, n.d AS depth, up AS parent_conv_id, n_convs, coalesce(n_chi
 FROM n JOIN sums USING (d, v) LEFT JOIN p USING (d, v) LEFT JOIN k USING (d, v)"""
 
 
+OP12 = f"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, w FROM (
+  SELECT doc_id, regexp_extract_all({_AZ.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS w FROM documents)),
+s AS MATERIALIZED (SELECT DISTINCT r, CASE WHEN len(w) < 3 THEN w ELSE w[p:p + 2] END AS shingle
+  FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 1, 2))) AS p FROM d WHERE len(w) > 0)),
+n AS MATERIALIZED (SELECT r, count(*) AS n FROM s GROUP BY r),
+links AS MATERIALIZED (SELECT a, b FROM (SELECT x.r AS a, y.r AS b, count(*) AS c FROM s AS x JOIN s AS y ON x.shingle = y.shingle GROUP BY x.r, y.r)
+  JOIN n AS na ON na.r = a JOIN n AS nb ON nb.r = b WHERE 100 * c >= 85 * (na.n + nb.n - c)),
+reach AS (SELECT r, r AS t FROM d UNION SELECT reach.r, b FROM reach JOIN links ON a = t),
+m AS (SELECT reach.r, min(t.doc_id) AS component_id FROM reach JOIN d AS t ON t.r = reach.t GROUP BY reach.r)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id IS NOT DISTINCT FROM component_id AS kept
+FROM d JOIN m USING (r) LEFT JOIN n USING (r)"""
+
+
 def _op13() -> str:
     """Rounds written out: distances to every entry, then the floor of each entry's mean."""
     steps = ["""WITH k AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding, label NULLS LAST) - 1 AS r, vec_id, label, embedding
