@@ -13,12 +13,13 @@ a pair is farther apart with a probability of 3e-7; that is the only loss.
   chunk's keys are its symbols without each one in turn: they meet for every
   pair with one error there. The join of equal keys finds all pairs in reach.
 * A key of at most ``SMALL`` sets compares its signatures directly.
-* In a larger one every set first meets the one set that has most in common
-  with the others, and what is linked becomes a component; n copies of a text
-  cost n comparisons. If few sets are then left outside a key's largest
-  component, they meet all others of the key; if many are, the key is opened by
-  a second chunk (the pigeonhole promises one further on), which parts sets
-  that merely share a passage.
+* In a larger one every set first meets the key's hub, the set that has most in
+  common with others; what is linked becomes a component, so n copies of a text
+  cost n comparisons. Sets in reach of the hub but not linked with it can only
+  be linked with sets that share edits of the hub with them (``setpairs.edits``):
+  they meet by those. Sets out of the hub's reach meet all others of the key if
+  they are few; if they are many, the key is opened by a second chunk (the
+  pigeonhole promises one further on), which parts sets that merely share a passage.
 * Pairs in reach are confirmed on the whole sets (``setpairs``), and links are
   joined into components by alternating stars. Equal sets are one class from
   the start; links between different texts of a component are implied by it.
@@ -40,9 +41,10 @@ from pyspark.sql import functions as F
 
 from siftwell.session import written
 
+from . import setpairs
 from .common import text_key, texts_in
-from .setpairs import SEED, bodies, confirmed, set_id, text_set
-from .simhash import components
+from .setpairs import SEED, bodies, set_id, text_set
+from .simhash import components, one_row_each
 
 SHINGLE = 3
 PERCENT = 85
@@ -155,24 +157,35 @@ def pairs_within(members: DataFrame, percent: int) -> DataFrame:
             .mapInArrow(run, "u long, v long").distinct())
 
 
-def pairs_in_reach(joined: DataFrame, percent: int) -> DataFrame:
-    """(u, v) of those of ``joined`` (sid, n, sig and sid2, n2, sig2) that are in reach."""
+def aimed_at(members: DataFrame, hubs: DataFrame, percent: int) -> DataFrame:
+    """(key, chunk, sid, hub, near) of every member: whether it is in reach of its key's hub."""
     def run(batches):
         for b in batches:
-            u, nu, v, nv = (b.column(i).to_numpy() for i in (0, 1, 3, 4))
-            fits = _close(nu, nv, _symbols(b.column(2)), _symbols(b.column(5)), percent) & (u != v)
-            yield _pair_batch(u[fits], v[fits])
+            nu, nv = b.column(3).to_numpy(), b.column(6).to_numpy()
+            near = _close(nu, nv, _symbols(b.column(4)), _symbols(b.column(7)), percent)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), b.column(5), pa.array(near)],
+                                             ["key", "chunk", "sid", "hub", "near"])
 
-    return joined.select("sid", "n", "sig", "sid2", "n2", "sig2").mapInArrow(run, "u long, v long").distinct()
+    joined = members.join(hubs, "key").select("key", "chunk", "sid", "n", "sig", *[F.col(f"hub.{c}").alias(f"hub_{c}") for c in ("sid", "n", "sig")])
+    return joined.mapInArrow(run, "key long, chunk int, sid long, hub long, near boolean")
 
 
-def _other(members: DataFrame, *more: str) -> DataFrame:
-    return members.select("key", *[F.col(c).alias(f"{c}2") for c in ("sid", "n", "sig", *more)])
+def pairs_in_reach(far: DataFrame, others: DataFrame, percent: int) -> DataFrame:
+    """(u, v) in reach between far members (key, sid, n, sig, root) and any others of their key, of different components."""
+    def run(batches):
+        for b in batches:
+            u, nu, v, nv = (b.column(i).to_numpy() for i in (0, 1, 3, 4))
+            fits = _close(nu, nv, _symbols(b.column(2)), _symbols(b.column(5)), percent)
+            yield _pair_batch(u[fits], v[fits])
+
+    a, o = far.alias("a"), others.alias("o")
+    return (a.join(o, "key").where((F.col("a.root") != F.col("o.root")) & (~F.col("o.far") | (F.col("a.sid") > F.col("o.sid"))))
+            .select(*[F.col(f"{side}.{c}").alias(f"{side}_{c}") for side in "ao" for c in ("sid", "n", "sig")]).mapInArrow(run, "u long, v long").distinct())
 
 
 def _opened(members: DataFrame) -> DataFrame:
-    """Members of keys that are too full, each under the keys of a second, later chunk."""
-    names = ["sid", "n", "sig", "root"]
+    """Members of keys with many far ones, each under the keys of a second, later chunk."""
+    names = ["sid", "n", "sig", "root", "far"]
 
     def run(batches):
         for b in batches:
@@ -185,22 +198,25 @@ def _opened(members: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), *[rows.column(rows.schema.get_field_index(x)) for x in names]],
                                                      ["key", *names])
 
-    return members.select("key", "chunk", "sid", "n", "sig", "root").mapInArrow(run, "key long, sid long, n long, sig binary, root long")
-
+    return members.select("key", "chunk", *names).mapInArrow(run, "key long, sid long, n long, sig binary, root long, far boolean")
 
-def _parted(members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members (with root) of keys that hold several components: the key's largest component and the sets outside it."""
-    parts = members.groupBy("key", "root").count()
-    main = written(parts.groupBy("key").agg(F.max(F.struct("count", "root")).alias("m"), F.sum("count").alias("all"))
-                   .where("all > m.count").select("key", F.col("m.root").alias("main"), (F.col("all") - F.col("m.count")).alias("outside"), "all"))
-    return members.join(main, "key"), main
 
-
-def _across(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs in reach of different components of a key: each set outside the largest meets the others."""
-    rest, all_ = members.where("root <> main"), _other(members, "root")
-    return pairs_in_reach(rest.join(all_, "key").where(
-        (F.col("root") != F.col("root2")) & ((F.col("root2") == F.col("main")) | (F.col("sid") > F.col("sid2")))), percent)
+def _edited_alike(aimed: DataFrame, roots: DataFrame, texts: DataFrame, percent: int, k: int) -> DataFrame:
+    """(u, v) of partners (hub, sid, root) of one hub that may be linked past it: one is not linked with the hub."""
+    partners = written(aimed.where("near and sid <> hub").select("hub", "sid", "root").distinct())
+    of_hub = roots.select(F.col("sid").alias("hub"), F.col("root").alias("hub_root"))
+    outside = partners.join(of_hub, "hub", "left").where(F.col("root") != F.coalesce("hub_root", "hub"))
+    outside = written(outside.select("hub", "sid", "root"))
+    if outside.isEmpty():
+        return outside.select(F.col("sid").alias("u"), F.col("sid").alias("v"))
+    near = partners.join(outside.select("hub").distinct(), "hub", "left_semi")
+    each = setpairs.edits(near.select(F.col("hub").alias("place"), "sid"), texts, percent, k)
+    each = written(each.join(near.select(F.col("hub").alias("place"), "sid", "root"), ["place", "sid"]))
+    x, y = each.where("weight > slack").alias("x"), each.alias("y")
+    need = F.col("x.weight") + F.col("y.weight") - F.col("x.slack")
+    met = x.join(y, ["place", "token"]).where((F.col("x.root") != F.col("y.root"))
+                                              & (F.least("x.left", "y.left") * (100 + percent) >= need))
+    return met.select(F.greatest("x.sid", "y.sid").alias("u"), F.least("x.sid", "y.sid").alias("v")).distinct()
 
 
 def links(reps: DataFrame, texts_of, percent: int = PERCENT, k: int = SHINGLE) -> DataFrame:
@@ -211,39 +227,58 @@ def links(reps: DataFrame, texts_of, percent: int = PERCENT, k: int = SHINGLE) -
     facts = written(reps.join(weights, "sid").select("sid", "n", "sig", "weight"))
     texts = written(texts_of(facts.select("sid")))
     few = members.where(F.col("size") <= SMALL).select("key", "sid").join(facts, "sid")
-    many = written(members.where(F.col("size") > SMALL).join(facts, "sid"))
-    hubs = many.groupBy("key").agg(F.max_by(F.struct("sid", "n", "sig"), F.struct("weight", "sid")).alias("hub")).select(
-        "key", F.col("hub.sid").alias("sid2"), F.col("hub.n").alias("n2"), F.col("hub.sig").alias("sig2"))
-    tried = written(pairs_within(few, percent).union(pairs_in_reach(many.join(hubs, "key"), percent)).distinct())
-    near = confirmed(tried, texts, percent, k)
+    tried = pairs_within(few, percent)
+    many = members.where(F.col("size") > SMALL)
     if many.isEmpty():
-        return near
+        return setpairs.confirmed(written(tried), texts, percent, k)
+    many = many.select("key", "chunk", "sid").join(facts, "sid")
+    # The whole row of a hub joins later; only ids are compared here.
+    hubs = many.groupBy("key").agg(F.max(F.struct("weight", "sid")).alias("m")).select("key", F.col("m.sid").alias("sid"))
+    hubs = hubs.join(facts, "sid").select("key", F.struct("sid", "n", "sig").alias("hub"))
+    aimed = written(aimed_at(many, hubs, percent))
+    stars = aimed.where("near and sid <> hub").select(F.greatest("sid", "hub").alias("u"), F.least("sid", "hub").alias("v"))
+    tried = written(tried.union(stars).distinct())
+    near = setpairs.confirmed(tried, texts, percent, k)
     roots = written(components(near)).withColumnRenamed("node", "sid")
-    held = many.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    open_, _ = _parted(held)
-    open_ = written(open_)
-    direct = _across(open_.where(F.col("outside") <= SMALL), percent)
-    inner, _ = _parted(written(_opened(open_.where(F.col("outside") > SMALL).drop("main", "outside", "all"))))
-    more = direct.union(_across(inner, percent)).distinct().join(tried, ["u", "v"], "left_anti")
-    return near.union(confirmed(written(more), texts, percent, k))
-
-
-def classes(docs: DataFrame, percent: int = PERCENT, text: str = "text", doc_id: str = "doc_id", k: int = SHINGLE) -> DataFrame:
-    """(doc_id, text_key, n, component_id) of every document."""
+    held = written(aimed.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid")))
+    more = _edited_alike(held, roots, texts, percent, k)
+    far = held.where(~F.col("near")).groupBy("key").agg(F.count(F.lit(1)).alias("n_far"))
+    loose = held.join(far, "key").join(facts.select("sid", "n", "sig"), "sid").withColumn("far", ~F.col("near"))
+    direct, full = loose.where(F.col("n_far") <= SMALL), written(_opened(loose.where(F.col("n_far") > SMALL)))
+    for found in (direct, full):
+        more = more.union(pairs_in_reach(found.where("far"), found.select("key", "sid", "n", "sig", "root", "far"), percent))
+    return near.union(setpairs.confirmed(written(more.distinct().join(tried, ["u", "v"], "left_anti")), texts, percent, k))
+
+
+def rooted(docs: DataFrame, percent: int, text: str, doc_id: str, k: int) -> tuple[DataFrame, DataFrame]:
+    """The prints of every document, and (sid, first, least_id, root) of every set that has words."""
     every = written(prints(docs, text, doc_id, k))
     reps = written(every.where("n > 0").groupBy("sid").agg(
         F.min(F.struct("doc_id", "text_key")).alias("first"), F.min("doc_id").alias("least_id"),
         F.first("n").alias("n"), F.first("sig").alias("sig")))
     found = links(reps, lambda sids: bodies(docs, reps.join(sids, "sid", "left_semi"), text, doc_id), percent, k)
     roots = written(components(found))
-    held = reps.join(roots, reps["sid"] == roots["node"], "left").select("sid", "least_id", F.coalesce("root", "sid").alias("root"))
-    least = held.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    of_set = written(held.join(least, "root").select("sid", "component_id"))
-    whole = every.where("n > 0").join(of_set, "sid").select("doc_id", "text_key", "n", "component_id")
-    return whole.union(every.where("n = 0").select("doc_id", "text_key", "n", "doc_id"))
+    return every, reps.join(roots, reps["sid"] == roots["node"], "left").select(
+        "sid", "first", "least_id", F.coalesce("root", "sid").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, text: str = "text", doc_id: str = "doc_id", k: int = SHINGLE) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row for each document."""
-    return classes(docs, percent, text, doc_id, k).select(
+    every, held = rooted(docs, percent, text, doc_id, k)
+    least = held.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    of_set = written(held.select("sid", "root").join(least, "root").select("sid", "component_id"))
+    whole = every.where("n > 0").join(of_set, "sid").select("doc_id", "n", "component_id")
+    return whole.union(every.where("n = 0").select("doc_id", "n", "doc_id")).select(
         "doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def drop_copies(docs: DataFrame, percent: int = PERCENT, text: str = "text", doc_id: str = "doc_id", k: int = SHINGLE) -> DataFrame:
+    """The documents without near copies: of each component one row of the smallest id (then text hash) stays.
+
+    Of documents without words, rows that repeat id and text leave one (any, if other columns differ).
+    """
+    every, held = rooted(docs, percent, text, doc_id, k)
+    stay = held.groupBy("root").agg(F.min("first").alias("first")).select("first.*").union(
+        every.where("n = 0").select("doc_id", "text_key").distinct())
+    stay = stay.select(F.col("doc_id").alias("keeper_id"), F.col("text_key").alias("keeper_key"))
+    return one_row_each(docs, every, stay, text, doc_id)

@@ -3,7 +3,7 @@
 Pairs travel as ids. Texts move instead of sets (they compress, hashes do not)
 and only those of ids that stand in a pair: one text of each pair goes to the
 other's place, which makes both sets again, counts what they share and sends
-back the pairs that are similar enough. An id in many pairs is the place of
+back the pairs that are similar enough, or what parts them. An id in many pairs is the place of
 them all; its pairs are dealt over several tasks of ``PAIRS_EACH`` at most.
 """
 
@@ -73,35 +73,71 @@ def bodies(docs: DataFrame, reps: DataFrame, text: str = "text", doc_id: str = "
     return rows.join(wanted, (F.col("key") == F.col("text_key")) & F.col("d").eqNullSafe(F.col("w"))).select("sid", "body").dropDuplicates(["sid"])
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, k: int) -> DataFrame:
-    """The (u, v), u > v, of distinct ``pairs`` whose sets have a Jaccard similarity of ``percent`` hundredths or more."""
-    degree = written(pairs.select(F.explode(F.array("u", "v")).alias("sid")).groupBy("sid").count())
-    aimed = (pairs.join(degree.withColumnsRenamed({"sid": "u", "count": "of_u"}), "u")
-             .join(degree.withColumnsRenamed({"sid": "v", "count": "of_v"}), "v"))
-    swap = F.col("of_u") > F.col("of_v")
-    aimed = written(aimed.select(F.when(swap, F.col("u")).otherwise(F.col("v")).alias("place"),
-                                 F.when(swap, F.col("v")).otherwise(F.col("u")).alias("sid")))
+def _met(aimed: DataFrame, texts: DataFrame, use, schema: str) -> DataFrame:
+    """``use(place, its set, sid, the partner's set)`` for every (place, sid) of ``aimed``, as rows of ``schema``."""
     parts = written(aimed.groupBy("place").count().select("place", F.ceil(F.col("count") / PAIRS_EACH).alias("parts")))
     dealt = aimed.join(parts, "place").select("place", F.pmod(F.xxhash64("sid"), F.col("parts")).alias("part"), "sid")
     there = parts.select("place", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
     own = texts.withColumnsRenamed({"sid": "place"}).join(there, "place").select("place", "part", F.lit(None).cast("long").alias("sid"), "body")
     sent = texts.join(dealt, "sid").select("place", "part", "sid", "body")
+    k, run_one = use
 
     def run(batches):
         place, mine = None, None
         for b in batches:
-            us, vs = [], []
             for p, sid, body in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3)):
                 held = text_set(body.as_py(), k)
                 if sid is None:
                     place, mine = p, held
                 elif p == place:
-                    common = shared(mine, held)
-                    if common * (100 + percent) >= (len(mine) + len(held)) * percent:
-                        us.append(max(p, sid)), vs.append(min(p, sid))
+                    found = run_one(p, mine, sid, held)
+                    if found is not None:
+                        yield found
                 else:
                     raise RuntimeError("a pair came without the text of its place")
-            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
 
-    return written(own.union(sent).repartition("place", "part").sortWithinPartitions("place", "part", F.col("sid").asc_nulls_first())
-                   .mapInArrow(run, "u long, v long"))
+    return (own.union(sent).repartition("place", "part").sortWithinPartitions("place", "part", F.col("sid").asc_nulls_first())
+            .mapInArrow(run, schema))
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, k: int) -> DataFrame:
+    """The (u, v), u > v, of distinct ``pairs`` whose sets have a Jaccard similarity of ``percent`` hundredths or more."""
+    degree = written(pairs.select(F.explode(F.array("u", "v")).alias("sid")).groupBy("sid").count())
+    aimed = (pairs.join(degree.withColumnsRenamed({"sid": "u", "count": "of_u"}), "u")
+             .join(degree.withColumnsRenamed({"sid": "v", "count": "of_v"}), "v"))
+    swap = F.col("of_u") > F.col("of_v")
+    aimed = written(aimed.select(F.when(swap, F.col("u")).otherwise(F.col("v")).alias("place"),
+                                 F.when(swap, F.col("v")).otherwise(F.col("u")).alias("sid")))
+
+    def similar(place, mine, sid, held):
+        if shared(mine, held) * (100 + percent) >= (len(mine) + len(held)) * percent:
+            return pa.RecordBatch.from_arrays([pa.array([max(place, sid)]), pa.array([min(place, sid)])], ["u", "v"])
+
+    return written(_met(aimed, texts, (k, similar), "u long, v long"))
+
+
+def edits(aimed: DataFrame, texts: DataFrame, percent: int, k: int) -> DataFrame:
+    """(place, token, sid, left, weight, slack): what parts each partner from its place.
+
+    Let x and y be partners of a place with n values, which lack a and add b
+    values each. By inclusion and exclusion they are similar enough only if
+    they share at least (w(x) + w(y) - slack) / (100 + percent) of these edits,
+    with w = 100 a + percent b and slack = (100 - percent) n; x is similar to
+    the place itself if w(x) <= slack. So a partner that is not similar to the
+    place can only be linked with one that has edits in common with it. Edits
+    are in one order, added values first, as those are rare; only so many of the
+    first are given as the first shared one can be among. ``left`` counts those
+    from it on.
+    """
+    def parted(place, mine, sid, held):
+        added, gone = np.setdiff1d(held, mine, assume_unique=True), np.setdiff1d(mine, held, assume_unique=True)
+        weight, slack = 100 * len(gone) + percent * len(added), (100 - percent) * len(mine)
+        token = np.concatenate([added, gone ^ np.uint64(0x9E3779B97F4A7C15)]).view(np.int64)
+        left = len(token) - np.arange(len(token))
+        first = int(np.count_nonzero(left * (100 + percent) >= (weight - slack if weight > slack else weight + 1)))
+        if first:
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.full(first, place)), pa.array(token[:first]), pa.array(np.full(first, sid)), pa.array(left[:first]),
+                 pa.array(np.full(first, weight)), pa.array(np.full(first, slack))], ["place", "token", "sid", "left", "weight", "slack"])
+
+    return _met(aimed, texts, (k, parted), "place long, token long, sid long, left long, weight long, slack long")
