@@ -16,7 +16,8 @@ regular expressions find and of the gaps between.
 
 Defined results: null is empty. Rows with the same id and text share their
 finds, each row keeping its own line in the result. Places are code points,
-ends exclusive. Extra columns are left out of ``find`` and handed through by
+ends exclusive. Texts of any length are read whole; work grows with the parts of
+a text, not with their pairs. Equal places are ordered by kind. Extra columns are left out of ``find`` and handed through by
 ``redact``. Empty tables give empty results.
 """
 
@@ -92,7 +93,8 @@ def link(found: DataFrame, scope: int = SCOPE) -> DataFrame:
     doc = ["doc_id", "text_key"]
     order = [F.col("start"), F.array_position(kind_order(), F.col("kind"))]
     before = Window.partitionBy(*doc).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    after = Window.partitionBy(*doc).orderBy(*order).rowsBetween(1, Window.unboundedFollowing)
+    # The same running sums from the other end: frames that reach forward would be worked out anew for each row.
+    after = Window.partitionBy(*doc).orderBy(*[o.desc() for o in order]).rowsBetween(Window.unboundedPreceding, -1)
     found = found.withColumns({"role": role[F.col("kind")], "weak": weak})
     strong_end = F.when(~F.col("weak"), F.col("end"))
     strong_start = F.when(~F.col("weak"), F.col("start"))
