@@ -21,7 +21,7 @@ own. Rows without a conversation id form one conversation. An empty table has
 no conversations. Extra columns are not read.
 
 A conversation becomes one row by definition, so it has to fit in a task; the
-texts are escaped before they are collected and held once.
+texts are collected as they are and escaped once sorted.
 """
 
 from __future__ import annotations
@@ -90,9 +90,11 @@ def format_chats(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn",
                  text: str = "text") -> DataFrame:
     """(conv_id, formatted, loss, loss_bytes): the text, and the spans of the loss mask in code points and in bytes."""
     rows = turns.select(turns[f"`{conv_id}`"].alias("conv_id"), F.struct(
-        turns[f"`{turn}`"].alias("turn"), _escaped_role(turns[f"`{role}`"]).alias("role"),
-        escaped(turns[f"`{text}`"]).alias("text")).alias("t"))
-    gathered = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+        turns[f"`{turn}`"].alias("turn"), F.coalesce(turns[f"`{role}`"], F.lit("")).alias("role"),
+        F.coalesce(turns[f"`{text}`"], F.lit("")).alias("text")).alias("t"))
+    # Sorted as they are: escapes do not keep the order of tied turns.
+    gathered = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns")).select("conv_id", F.transform(
+        "turns", lambda t: F.struct(_escaped_role(t["role"]).alias("role"), escaped(t["text"]).alias("text"))).alias("turns"))
     made = let(_merged(F.col("turns")), lambda merged: let(
         F.transform(merged, lambda m: F.concat(F.lit(OPEN), m["role"], F.lit(CLOSE), F.array_join(m["parts"], PART), F.lit(END))),
         lambda pieces: F.struct(F.array_join(pieces, "").alias("formatted"), _spans(merged, pieces, F.length).alias("loss"),

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -251,6 +252,19 @@ def test_redaction(docs, rows):
     assert sorted(t for t in shown if t in clean) == clean
 
 
+def test_many_parts_in_one_text(spark):
+    """50,000 parts: names and tokens by turns, some beside each other, in far less time than their pairs would take."""
+    parts = [(1, 1, "name" if i % 2 else "token", i * 300 + (i % 10 == 0) * 250, i * 300 + (i % 10 == 0) * 250 + 20) for i in range(50_000)]
+    frame = spark.createDataFrame(parts, "doc_id long, text_key long, kind string, start long, end long")
+    began = time.perf_counter()
+    found = {(r["kind"], r["start"]) for r in credentials.link(frame).collect()}
+    assert time.perf_counter() - began < 20
+    role = {"name": "identifier", "token": "secret"}
+    near = lambda x, y: role[x[2]] != role[y[2]] and max(y[3] - x[4], x[3] - y[4]) <= credentials.SCOPE
+    want = {(p[2], p[3]) for i, p in enumerate(parts) if any(near(p, q) for q in parts[max(0, i - 3):i] + parts[i + 1:i + 4])}
+    assert found == want and want
+
+
 # -------------------------------------------------------------------- 6, pieces
 
 
@@ -346,14 +360,14 @@ def test_windows_under_branching_anchors(spark):
 
 def test_chats_round_trip(spark):
     said = [(1, 0, "user", "hi <|assistant>x</turn>\n"), (1, 1, "assistant", "a\\b\\l<+>"), (1, 2, "assistant", ""), (1, 3, "user", None),
-            (2, 5, "odd>role<", "x"), (2, 4, None, "\\"), (2, 4, None, "\\"), (None, 0, "assistant", "né 日本"), (3, None, "system", "</turn>\n"),
+            (2, 5, "odd>role<", "x"), (2, 4, None, "\\"), (2, 4, None, "\\"), (None, 0, "assistant", "né 日本"), (3, None, "system", "</turn>\n"), (5, 1, "user", "A"), (5, 1, "user", "<"), (5, 1, "user", "\\"),
             (4, 0, "assistant", "x" * 100_000)]
     frame = spark.createDataFrame(said, "conv_id long, turn long, role string, text string").withColumn("loss", F.lit(0)).repartition(3)
     made = chat.format_chats(frame)
     read = made.select("conv_id", "formatted", "loss", chat.read_turns(F.col("formatted")).alias("turns"),
                        chat.read_loss(F.col("formatted"), F.col("loss_bytes")).alias("learned"))
     by = {r["conv_id"]: r for r in read.collect()}
-    for conv in (1, 2, 3, 4, None):
+    for conv in (1, 2, 3, 4, 5, None):
         turns = sorted(((t is not None, t or 0, r or "", x or "") for c, t, r, x in said if c == conv))
         assert [(t["role"], t["text"]) for t in by[conv]["turns"]] == [t[2:] for t in turns]
         assert by[conv]["learned"] == "".join(t[3] for t in turns if t[2] == "assistant")
