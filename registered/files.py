@@ -123,16 +123,57 @@ def csv_line_accounting(spark, sf):
                           "rejected": F.lit(done.rejected).cast("long")}))
 
 
-@register("csv_quoted_line_breaks", """
-SELECT doc_id, replace(replace(text, chr(13), ' '), '\\N', 'N') AS text, lang FROM documents""")
-def csv_quoted_line_breaks(spark, sf):
-    """Whole documents with their line breaks, as quoted fields."""
-    text = F.replace(F.replace(F.col("text"), F.lit("\r"), F.lit(" ")), F.lit("\\N"), F.lit("N"))
+# What a text may hold besides: every line terminator, the blank marker inside it, quotes and delimiters at its ends.
+_PLANTED = [("\r", "chr(13)"), ("\r\n", "chr(13) || chr(10)"), ("\n", "chr(10)"), ("\\N", "'\\N'"), ('"', "'\"'"), (",", "','")]
+_DOCS_SQL = "SELECT doc_id, CASE doc_id % 9 " + " ".join(
+    f"WHEN {i} THEN {sql} || 'head' || {sql} || text || {sql} || 'tail' || {sql}" for i, (_, sql) in enumerate(_PLANTED)) + " ELSE text END AS text, lang FROM documents"
+_LONG = 6_000
+
+
+def _document_texts(spark, sf):
+    """Documents with their own texts, some with planted terminators, markers and quotes at both ends."""
+    text = F.col("text")
+    for i, (said, _) in enumerate(_PLANTED):
+        text = F.when(F.col("doc_id") % 9 == i, F.concat(F.lit(said + "head" + said), "text", F.lit(said + "tail" + said))).otherwise(text)
+    return table(spark, sf, "documents").select("doc_id", text.alias("text"), "lang")
+
+
+def _document_lines(spark, sf):
+    """A CSV of the documents with every field quoted."""
     path = scratch_path(spark, "documents-csv")
-    sinks.export_csv(table(spark, sf, "documents").select("doc_id", text.alias("text"), "lang"), path)
+    _document_texts(spark, sf).write.options(header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False,
+                                             ignoreTrailingWhiteSpace=False).csv(path)
+    return path
+
+
+@register("csv_quoted_line_breaks", _DOCS_SQL)
+def csv_quoted_line_breaks(spark, sf):
+    """Whole documents as quoted fields, each line terminator as it was."""
+    return spark.read.parquet(_loaded(spark, _document_lines(spark, sf), force_text=["text"]).path)
+
+
+@register("csv_exported_texts_read_back", _DOCS_SQL)
+def csv_exported_texts_read_back(spark, sf):
+    """The same texts through the library's own export."""
+    path = scratch_path(spark, "documents-exported")
+    sinks.export_csv(_document_texts(spark, sf), path)
     return spark.read.parquet(_loaded(spark, path, force_text=["text"]).path)
 
 
+@register("csv_overlong_records", rf"""
+SELECT sha256(line) AS csv_sha256, length(line) AS chars FROM (
+  SELECT '"' || doc_id || '","' || replace(text, '"', '""') || '","' || lang || '"' AS line FROM ({_DOCS_SQL}))
+WHERE length(line) > {_LONG}""")
+def csv_overlong_records(spark, sf):
+    """Records over the limit, on one line or many: all of their text is in the rejects."""
+    done = _loaded(spark, _document_lines(spark, sf), force_text=["text"], max_record_chars=_LONG)
+    parts = spark.read.schema(csv.REJECT_SCHEMA).parquet(done.rejects_path).where("error_type = 'LINE SIZE OVER MAXIMUM'")
+    part = F.regexp_extract("error_message", r"part (\d+) of", 1).cast("int")
+    whole = parts.groupBy("file", "line").agg(F.array_sort(F.collect_list(F.struct(part.alias("part"), "csv_line"))).alias("p"))
+    text = F.array_join("p.csv_line", "")
+    return whole.select(F.sha2(text, 256).alias("csv_sha256"), F.length(text).cast("long").alias("chars"))
+
+
 @register("export_parquet", f"SELECT * FROM {_ORDER_TEXT}")
 def export_parquet(spark, sf):
     path = scratch_path(spark, "export")

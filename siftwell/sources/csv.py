@@ -101,8 +101,9 @@ class CsvLoad:
     """
 
     def __init__(self, spark: SparkSession, path: str, delim: str = ",", marker: str = BLANK_MARKER,
-                 force_text=()):
+                 force_text=(), max_record_chars: int = records.MAX_RECORD_CHARS):
         self.spark, self.path, self.delim, self.marker = spark, path, delim, marker
+        self.limit = max_record_chars
         self._scratch: list[str] = []
         header = _first_line(spark, path)
         self.staged = self._stage(records.lines(spark, path).withColumn("number", F.lit(None).cast("long")),
@@ -127,7 +128,7 @@ class CsvLoad:
         self.names = column_names(header, self.delim)
         width = len(self.names)
         if not numbered:
-            found = found.withColumn("oversize", F.lit(False))
+            found = found.withColumns({"oversize": F.length("text") > self.limit, "part": F.lit(1), "parts": F.lit(1)})
         is_head = ((F.col("number") == 1) if numbered else
                    (F.col("block") == 0) & (F.col("text") == F.lit(header)))
         # A file with one column may hold empty lines that mean a blank value.
@@ -140,7 +141,7 @@ class CsvLoad:
         place = [c for c in ("file", "block", "pos", "number") if c in found.columns]
         keep_text = bad | F.col("head")
         return self._write(parsed.select(
-            *place, "head", "empty", "opens", "oversize", bad.alias("bad"),
+            *place, "head", "empty", "opens", "oversize", "part", "parts", bad.alias("bad"),
             F.when(keep_text, F.col("text")).alias("text"),
             *[_blank_to_null(F.col(f"cells.c{i}"), self.marker).alias(f"c{i}") for i in range(width)]),
             "csv-records")
@@ -148,7 +149,7 @@ class CsvLoad:
     def _stage_multiline(self) -> str:
         """Quoted line breaks: put physical lines together into records first."""
         raw = self._write(records.lines(self.spark, self.path), "csv-lines")
-        found = self._write(records.assemble(raw, self.delim), "csv-assembled")
+        found = self._write(records.assemble(raw, self.delim, self.limit), "csv-assembled")
         header = found.filter("number = 1").orderBy("file").first()["text"]
         self.staged = self._stage(found, header, numbered=True)
         return header
@@ -214,8 +215,9 @@ class CsvLoad:
         extra = F.when(found > width, F.transform(F.sequence(F.lit(width + 1), found), lambda j: error(
             none, "TOO MANY COLUMNS",
             F.concat(F.lit(f"expected {width} columns, found "), j.cast("string"))))).otherwise(nothing)
-        oversize = F.array(error(none, "LINE SIZE OVER MAXIMUM", F.lit(
-            f"longer than {records.MAX_RECORD_CHARS} characters; an unclosed quote?")))
+        oversize = F.array(error(none, "LINE SIZE OVER MAXIMUM", F.concat(
+            F.lit(f"longer than {self.limit} characters; an unclosed quote? part "), F.col("part").cast("string"),
+            F.lit(" of "), F.col("parts").cast("string"))))
         unclosed = F.array(error(none, "UNQUOTED VALUE", F.lit("a quoted field is not closed as expected")))
         errors = F.concat(cast_errors, missing, extra)
         errors = (F.when(F.col("oversize"), oversize).when(F.size(errors) == 0, unclosed).otherwise(errors))
@@ -241,9 +243,14 @@ class Loaded:
 
 
 def load_csv(spark: SparkSession, path: str, target: str, rejects_target: str, delim: str = ",",
-             marker: str = BLANK_MARKER, force_text=()) -> Loaded:
-    """Convert CSV to zstd Parquet at ``target``, a path not yet in use."""
-    load = CsvLoad(spark, path, delim, marker, force_text)
+             marker: str = BLANK_MARKER, force_text=(), max_record_chars: int = records.MAX_RECORD_CHARS) -> Loaded:
+    """Convert CSV to zstd Parquet at ``target``, a path not yet in use.
+
+    A record of more than ``max_record_chars`` characters, on one line or on
+    several, is refused; its text is in the rejects, in parts of about that
+    length if it has several lines.
+    """
+    load = CsvLoad(spark, path, delim, marker, force_text, max_record_chars)
     try:
         load.rows.write.option("compression", "zstd").parquet(target)
         load.rejects().write.option("compression", "zstd").parquet(rejects_target)

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from siftwell import SpecError
 from siftwell.sources import csv as C
@@ -152,11 +153,47 @@ def test_line_numbers_across_blocks(spark, csv_file, tmp_path):
     assert got == {(i + 1, str(i)) for i in range(97, 3001, 97)} and done.rows + done.rejected_lines == 3000
 
 
-def test_oversize_records_are_refused_not_built(load, monkeypatch):
-    monkeypatch.setattr(csv_records, "MAX_RECORD_CHARS", 20)
-    _, rows, rejects = load('a,b\n1,"x\ny"\n2,"' + "long line\n" * 5 + '"\n3,z\n')
+def test_oversize_records_are_refused_with_their_text(load):
+    long = '2,"' + "long line\r\n" * 5 + 'end"'
+    wide = "4," + "w" * 40
+    _, rows, rejects = load(f'a,b\n1,"x\ny"\n{long}\n3,z\n{wide}\n', max_record_chars=30)
     assert sorted(rows) == [(1, "x\ny"), (3, "z")]
-    assert [(r[0], r[2]) for r in rejects] == [(3, "LINE SIZE OVER MAXIMUM")]
+    assert {(r[0], r[2]) for r in rejects} == {(3, "LINE SIZE OVER MAXIMUM"), (5, "LINE SIZE OVER MAXIMUM")}
+    texts = [r[3] for r in rejects]
+    assert wide in texts and sorted(len(t) for t in texts if t != wide)[0] > 0
+    assert sum(map(len, texts)) == len(long) + len(wide) and all(t in long for t in texts if t != wide)
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\r"])
+def test_terminators_inside_quotes_stay(load, end):
+    texts = ["x\ry", "x\r\ny", "x\ny", "\r", "\r\n\r", "a\r\r\nb", "say \"\"hi\"\"\r", "\\N in", "plain"]
+    body = end.join(f'{i},"{t}",z' for i, t in enumerate(texts))
+    _, rows, rejects = load(f"n,t,u{end}{body}{end}")
+    assert sorted(rows) == [(i, t.replace('""', '"'), "z") for i, t in enumerate(texts)] and not rejects
+
+
+def test_no_file_meets_in_one_task(spark, csv_file):
+    """One file in 18 splits: no partition of the records holds more than three splits' rows."""
+    text = "n,t\n" + "".join(f'{i},"line\r\n{i}"\n' if i % 4 == 0 else f"{i},row {i}\n" for i in range(9000))
+    path = csv_file("splits.csv", text)
+    conf = {"spark.sql.files.maxPartitionBytes": str(len(text) // 18 + 1), "spark.sql.files.openCostInBytes": "1",
+            "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "64",
+            "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        load = C.CsvLoad.__new__(C.CsvLoad)
+        load.spark, load._scratch = spark, []
+        raw = load._write(csv_records.lines(spark, path), "csv-lines")
+        assert raw.select("block").distinct().count() >= 18
+        found = csv_records.assemble(raw, ",")
+        sizes = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+        load.close()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sum(sizes) == 9001 and max(sizes) <= 3 * 9001 / 18
 
 
 def test_folders_need_one_header(spark, tmp_path):
