@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import (INTEGERS, NUMBER, TEMPORAL, TEXT, as_micros, as_number, batches, col, families,
+from ..functions.columns import (INTEGERS, KEY_BYTES, NUMBER, TEMPORAL, TEXT, as_micros, as_number, batches, col, families,
                                  group_key)
 from ..session import at_hand
 from .quantiles import IN_TASK_VALUES, quantiles, sketch_brackets, sketch_quantiles
@@ -27,6 +27,9 @@ RARE_COUNT = 5
 RARE_MAX_DISTINCT = 1_000
 
 QUARTILES = (0.25, 0.5, 0.75)
+# Columns of about this many distinct values are counted value by value in one
+# job, and everything else about them is read from those counts.
+LOW_DISTINCT = 50_000
 # log2 of the distinct-count sketch's registers: a standard error near 0.8 %.
 SKETCH_LOG2 = 14
 
@@ -139,6 +142,12 @@ def distinct_sketch(c: Column) -> Column:
     return F.hll_sketch_estimate(F.hll_sketch_agg(F.when(c.isNotNull(), F.xxhash64(c)), F.lit(SKETCH_LOG2)))
 
 
+def distinct_guess(c: Column) -> Column:
+    """About how many values there are, from the sixteenth whose hashes end in zero: cheap, and good enough to choose a way."""
+    h = F.xxhash64(c)
+    return F.hll_sketch_estimate(F.hll_sketch_agg(F.when(c.isNotNull() & (h.bitwiseAND(F.lit(15)) == 0), h), F.lit(SKETCH_LOG2))) * 16
+
+
 def _hashable(dtype: T.DataType, c: Column) -> Column:
     """A column in a form that can be counted distinct: nested maps as text."""
     return c.cast("string") if isinstance(dtype, (T.MapType, T.VariantType, T.StructType)) else c
@@ -148,8 +157,10 @@ def profile(df: DataFrame, rejected: int = 0, approximate: bool = False) -> Prof
     """Profile every column of ``df``.
 
     A handful of jobs over all columns, never one per column: counts and
-    ranges; exact distinct counts and quartiles at any size; all histograms;
-    all common values (each column is in just one of the two).
+    ranges; the values of all columns with few of them, counted, from which
+    their distinct counts, quartiles, histograms and common values follow; for
+    the others distinct counts as bit sets, quartiles by narrowing brackets,
+    and histograms. Everything is exact at any size.
 
     With ``approximate`` distinct counts and quartiles come from sketches of
     the first scan and say so. A text that then looks like a key takes a job of
@@ -164,27 +175,105 @@ def profile(df: DataFrame, rejected: int = 0, approximate: bool = False) -> Prof
 
 def _profile(df: DataFrame, rejected: int, approximate: bool, brackets: bool) -> Profile:
     fams = families(df)
-    first = _facts(df, fams, approximate, brackets)
+    first = _facts(df, fams, approximate)
     rows, exact = first["rows"], not approximate
-    precise = _exact(df, fams, first) if exact and fams else None
+    low = _low_columns(df, fams, first) if exact else {}
+    counted = _value_table(df, low).persist() if low else None
+    try:
+        precise = _exact(df, fams, first, low, counted, brackets) if exact and fams else None
+
+        columns = []
+        for i, (name, fam) in enumerate(fams):
+            n = first[f"n{i}"]
+            c = ColumnProfile(name, df.schema[name].dataType.simpleString(), fam, rows, n, pct(rows - n, rows))
+            c.distinct = precise[f"d{i}"] if precise else min(first[f"d{i}"], n)
+            c.distinct_approx = not exact
+            if fam in (NUMBER, TEMPORAL):
+                c.min, c.max = first[f"lo{i}"], first[f"hi{i}"]
+                if n:
+                    c.span = (seconds(c.min), seconds(c.max))
+            if fam == NUMBER:
+                c.mean = first[f"avg{i}"]
+                c.q1, c.median, c.q3 = (precise or first)[f"q{i}"] or [None] * 3
+                c.quartiles_approx = not exact
+            columns.append(c)
+        _distributions(df, columns, low, counted)
+        return Profile(rows, rejected, not exact, columns, _leads(df, columns))
+    finally:
+        if counted is not None:
+            counted.unpersist()
 
-    columns = []
+
+@dataclass
+class _Low:
+    """A column of few values: its number, and which field of a counted value holds them."""
+
+    at: int
+    family: str
+    dtype: T.DataType
+    kind: str
+    whole: bool = True    # whether the values themselves are kept, not digests of long ones
+
+
+def _kind(dtype: T.DataType, fam: str) -> str:
+    if isinstance(dtype, (*INTEGERS, T.BooleanType)) or fam == TEMPORAL:
+        return "long"
+    return "double" if isinstance(dtype, (T.FloatType, T.DoubleType)) else "string"
+
+
+def _as_kind(name: str, dtype: T.DataType, fam: str) -> Column:
+    kind = _kind(dtype, fam)
+    if fam == TEMPORAL:
+        return as_micros(name, dtype)
+    if kind == "string":
+        return (group_key(name, dtype) if fam == TEXT else col(name)).cast("string")
+    return col(name).cast(kind)
+
+
+def _low_columns(df: DataFrame, fams, first: dict) -> dict[str, _Low]:
+    """Columns that by the first scan's sketch have few values. A wrong guess costs time, not exactness."""
+    out = {}
     for i, (name, fam) in enumerate(fams):
-        n = first[f"n{i}"]
-        c = ColumnProfile(name, df.schema[name].dataType.simpleString(), fam, rows, n, pct(rows - n, rows))
-        c.distinct = precise[f"d{i}"] if precise else min(first[f"d{i}"], n)
-        c.distinct_approx = not exact
-        if fam in (NUMBER, TEMPORAL):
-            c.min, c.max = first[f"lo{i}"], first[f"hi{i}"]
-            if n:
-                c.span = (seconds(c.min), seconds(c.max))
-        if fam == NUMBER:
-            c.mean = first[f"avg{i}"]
-            c.q1, c.median, c.q3 = (precise or first)[f"q{i}"] or [None] * 3
-            c.quartiles_approx = not exact
-        columns.append(c)
-    _distributions(df, columns)
-    return Profile(rows, rejected, not exact, columns, _leads(df, columns))
+        dtype = df.schema[name].dataType
+        if first[f"n{i}"] and first[f"d{i}"] <= LOW_DISTINCT and not (fam == NUMBER and _kind(dtype, fam) == "string"):
+            out[name] = _Low(i, fam, dtype, _kind(dtype, fam), fam != TEXT or (first[f"m{i}"] or 0) <= KEY_BYTES)
+    return out
+
+
+def _value_table(df: DataFrame, low: dict[str, _Low]) -> DataFrame:
+    """(i, long, double, string, n): every non-null value of the low columns and its rows."""
+    parts = []
+    for kind in ("long", "double", "string"):
+        for batch in batches((n, c) for n, c in low.items() if c.kind == kind):
+            number = F.array(*[F.lit(c.at) for _, c in batch])
+            each = df.select(F.posexplode(F.array(*[_as_kind(n, c.dtype, c.family) for n, c in batch])).alias("at", "value"))
+            counted = each.filter(F.col("value").isNotNull()).groupBy("at", "value").agg(F.count(F.lit(1)).alias("n"))
+            parts.append(counted.select(F.get(number, "at").alias("i"), *[
+                (F.col("value") if k == kind else F.lit(None).cast(k)).alias(k) for k in ("long", "double", "string")], "n"))
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def _from_counts(counted: DataFrame, low: dict[str, _Low], first: dict) -> dict:
+    """Distinct counts and quartiles of the low columns, each ranked over its few values."""
+    x = F.coalesce(F.col("long").cast("double"), F.col("double"))
+    ranked = counted.withColumn("x", x).withColumn("end", F.sum("n").over(Window.partitionBy("i").orderBy("x")))
+    start, aggs = F.col("end") - F.col("n"), [F.count(F.lit(1)).alias("d")]
+    numbers = [c for c in low.values() if c.family == NUMBER]
+    for q, p in enumerate(QUARTILES):
+        ranks = {c.at: int(p * (first[f"n{c.at}"] - 1)) for c in numbers}
+        for side, name in enumerate(("low", "high")):
+            rank = F.create_map(*[F.lit(v) for at, r in ranks.items() for v in (at, min(r + side, first[f"n{at}"] - 1))])[F.col("i")] if ranks else F.lit(None)
+            aggs.append(F.max(F.when((start <= rank) & (rank < F.col("end")), F.col("x"))).alias(f"{name}{q}"))
+    found, out = {r["i"]: r for r in ranked.groupBy("i").agg(*aggs).collect()}, {}
+    for c in low.values():
+        r = found[c.at]
+        out[f"d{c.at}"] = r["d"]
+        if c.family == NUMBER:
+            out[f"q{c.at}"] = []
+            for q, p in enumerate(QUARTILES):
+                lo, hi, n = r[f"low{q}"], r[f"high{q}"], first[f"n{c.at}"]
+                out[f"q{c.at}"].append(lo + (hi - lo) * (p * (n - 1) - int(p * (n - 1))) if lo != hi else lo)
+    return out
 
 
 def seconds(value) -> float:
@@ -192,15 +281,16 @@ def seconds(value) -> float:
     return (value - dt.datetime(1970, 1, 1)).total_seconds() if isinstance(value, dt.datetime) else float(value)
 
 
-def _facts(df: DataFrame, fams, approximate: bool, brackets: bool) -> dict:
+def _facts(df: DataFrame, fams, approximate: bool) -> dict:
     out: dict = {}
     aggs = [F.count(F.lit(1)).alias("rows")]
     for batch in batches(enumerate(fams)) or [[]]:
         for i, (name, fam) in batch:
             c, dtype = col(name), df.schema[name].dataType
             aggs.append(F.count(c).alias(f"n{i}"))
-            if approximate:
-                aggs.append(distinct_sketch(_hashable(dtype, c)).alias(f"d{i}"))
+            aggs.append((distinct_sketch if approximate else distinct_guess)(_hashable(dtype, c)).alias(f"d{i}"))
+            if fam == TEXT:
+                aggs.append(F.max(F.octet_length(c)).alias(f"m{i}"))
             if fam in (NUMBER, TEMPORAL):
                 lo, hi = F.min(c), F.max(c)
                 if fam == TEMPORAL:
@@ -211,49 +301,75 @@ def _facts(df: DataFrame, fams, approximate: bool, brackets: bool) -> dict:
                 aggs.append(F.avg(x).alias(f"avg{i}"))
                 if approximate:
                     aggs.append(sketch_quantiles(x, QUARTILES).alias(f"q{i}"))
-                elif brackets:
-                    aggs.append(sketch_brackets(x, QUARTILES).alias(f"b{i}"))
         out.update(df.agg(*aggs).first().asDict())
         aggs = []
     return out
 
 
-def _exact(df: DataFrame, fams, first: dict) -> dict:
+def _exact(df: DataFrame, fams, first: dict, low: dict[str, _Low], counted: DataFrame | None, brackets: bool) -> dict:
     """Exact distinct counts and quartiles, at any size."""
-    out = _exact_distinct(df, fams)
-    place = {name: i for i, (name, fam) in enumerate(fams) if fam == NUMBER}
-    facts = {name: {"n": first[f"n{i}"], "min": first[f"lo{i}"], "max": first[f"hi{i}"], "brackets": first.get(f"b{i}")}
+    out = _from_counts(counted, low, first) if low else {}
+    high = [(i, name, fam) for i, (name, fam) in enumerate(fams) if name not in low]
+    out.update(_exact_distinct(df, high))
+    place = {name: i for i, name, fam in high if fam == NUMBER}
+    near = {}
+    for batch in batches(place if brackets else []):
+        near.update(df.agg(*[sketch_brackets(col(n).cast("double"), QUARTILES).alias(n) for n in batch]).first().asDict())
+    facts = {name: {"n": first[f"n{i}"], "min": first[f"lo{i}"], "max": first[f"hi{i}"], "brackets": near.get(name)}
              for name, i in place.items()}
-    out.update({f"q{place[name]}": found for name, found in quantiles(df, facts, QUARTILES).items()})
+    out.update({f"q{place[name]}": found for name, found in quantiles(df, facts, QUARTILES).items()} if facts else {})
     return out
 
 
-def _exact_distinct(df: DataFrame, fams) -> dict:
-    """Distinct non-null values of every column, in one job.
+def _whole_number(name: str, dtype: T.DataType, fam: str) -> tuple[Column | None, Column]:
+    """(space, number): values told apart by a whole number within a space; a null number cannot be.
 
-    Columns become (column, value) rows of three kinds: whole numbers and
-    times, other numbers, and everything else as text, long ones by digest.
-    Values are made distinct where they lie before they are shuffled.
+    Whole numbers, dates and times are their own. Amounts of whole hundredths
+    are counted in hundredths, if that gives the same double back. Texts of up
+    to 18 digits are numbers, spaced by their length, so that zeros count.
     """
-    kinds: dict[str, list] = {"long": [], "double": [], "string": []}
-    for i, (name, fam) in enumerate(fams):
-        dtype, c = df.schema[name].dataType, col(name)
-        if isinstance(dtype, (*INTEGERS, T.BooleanType)):
-            kinds["long"].append((i, c.cast("long")))
-        elif fam == TEMPORAL:
-            kinds["long"].append((i, as_micros(name, dtype)))
-        elif isinstance(dtype, (T.FloatType, T.DoubleType)):
-            kinds["double"].append((i, c.cast("double")))
-        else:
-            kinds["string"].append((i, (group_key(name, dtype) if fam == TEXT else c).cast("string")))
+    value, kind = _as_kind(name, dtype, fam), _kind(dtype, fam)
+    if kind == "long":
+        return F.lit(0), F.unix_date(col(name)).cast("long") if isinstance(dtype, T.DateType) else value
+    if kind == "double":
+        near = F.abs(value) < 1e13
+        cents = F.when(near, F.round(value * 100).cast("long"))
+        return F.lit(0), F.when(cents / F.lit(100.0) == value, cents)
+    if fam == TEXT:
+        size = F.octet_length(col(name))
+        return F.coalesce(size, F.lit(0)), F.when(size.between(1, 18) & col(name).rlike("^[0-9]+$"), col(name).cast("long"))
+    return F.lit(0), F.lit(None).cast("long")
+
+
+def _exact_distinct(df: DataFrame, columns) -> dict:
+    """Distinct non-null values of (number, name, family) columns.
+
+    What a whole number tells apart becomes a bit of a 64-bit word: values
+    shuffle as (column, space, word) with their bits or-ed where they lie, up
+    to 64 to a row. The rest is made distinct as doubles or as text, long texts
+    by digest, before it is shuffled.
+    """
+    found: dict[int, int] = {i: 0 for i, *_ in columns}
     parts = []
-    for columns in filter(None, kinds.values()):
-        number = F.array(*[F.lit(i) for i, _ in columns])
-        values = df.select(F.posexplode(F.array(*[c for _, c in columns])).alias("at", "value"))
-        parts.append(values.filter(F.col("value").isNotNull()).select(F.get(number, "at").alias("i"), "value")
-                     .distinct().groupBy("i").count())
-    found = {row["i"]: row["count"] for row in functools.reduce(DataFrame.unionByName, parts).collect()}
-    return {f"d{i}": found.get(i, 0) for i, _ in enumerate(fams)}
+    for batch in batches(columns):
+        bits, rest = [], {"double": [], "string": []}
+        for i, name, fam in batch:
+            dtype = df.schema[name].dataType
+            space, number = _whole_number(name, dtype, fam)
+            bits.append(F.struct(F.lit(i).alias("i"), space.cast("int").alias("space"), F.shiftright(number, 6).alias("word"),
+                                 F.call_function("shiftleft", F.lit(1).cast("long"), number.bitwiseAND(F.lit(63)).cast("int")).alias("bit")))
+            if _kind(dtype, fam) != "long":
+                rest[_kind(dtype, fam)].append(F.struct(F.lit(i).alias("i"), F.when(number.isNull(), _as_kind(name, dtype, fam)).alias("value")))
+        words = (df.select(F.explode(F.array(*bits)).alias("e")).select("e.*").filter(F.col("word").isNotNull())
+                 .groupBy("i", "space", "word").agg(F.bit_or("bit").alias("bits")))
+        parts.append(words.groupBy("i").agg(F.sum(F.bit_count("bits")).cast("long").alias("n")))
+        for entries in filter(None, rest.values()):
+            each = df.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
+            parts.append(each.filter(F.col("value").isNotNull()).distinct().groupBy("i").agg(F.count(F.lit(1)).alias("n")))
+    if parts:
+        for row in functools.reduce(DataFrame.unionByName, parts).collect():
+            found[row["i"]] += row["n"]
+    return {f"d{i}": n for i, n in found.items()}
 
 
 def edges(span: tuple[float, float], i: int, bins: int) -> tuple[float, float]:
@@ -271,8 +387,12 @@ def has_spread(span) -> bool:
 
 def bin_of(name: str, dtype: T.DataType, span: tuple[float, float]) -> Column:
     """Which equal-width bin a value falls in; the last bin is closed."""
+    return bin_at(as_number(name, dtype), span)
+
+
+def bin_at(x: Column, span: tuple[float, float]) -> Column:
     lo, hi = span
-    place = F.floor((as_number(name, dtype) - F.lit(lo)) / F.lit((hi - lo) / HIST_BINS))
+    place = F.floor((x - F.lit(lo)) / F.lit((hi - lo) / HIST_BINS))
     return F.when(place < HIST_BINS, place.cast("int")).when(place.isNotNull(), F.lit(HIST_BINS - 1))
 
 
@@ -315,13 +435,33 @@ def value_counts(df: DataFrame, names: list[str]) -> DataFrame:
     return functools.reduce(DataFrame.unionByName, parts)
 
 
-def _distributions(df: DataFrame, columns: list[ColumnProfile]) -> None:
+def _counted_bins(counted: DataFrame, columns: dict[str, _Low], spans: dict) -> dict[str, dict[int, int]]:
+    """Rows per bin of low columns, from their counted values."""
+    out: dict[str, dict[int, int]] = {n: {} for n in columns if has_spread(spans[n])}
+    if not out:
+        return out
+    x = F.coalesce(F.col("long").cast("double"), F.col("double"))
+    x = F.when(F.col("i").isin([c.at for c in columns.values() if c.family == TEMPORAL]), x / F.lit(1e6)).otherwise(x)
+    place = F.lit(None).cast("int")
+    for n in out:
+        place = F.when(F.col("i") == columns[n].at, bin_at(x, spans[n])).otherwise(place)
+    names = {columns[n].at: n for n in out}
+    for row in (counted.filter(F.col("i").isin(list(names))).groupBy("i", place.alias("bin")).agg(F.sum("n").alias("n"))
+                .filter(F.col("bin").isNotNull()).collect()):
+        out[names[row["i"]]][row["bin"]] = row["n"]
+    return out
+
+
+def _distributions(df: DataFrame, columns: list[ColumnProfile], low: dict[str, _Low], counted: DataFrame | None) -> None:
     """Histograms, then commonest values and rare counts.
 
     Text columns take part only with few distinct values, so what is ranked
     per column is small.
     """
-    bins = histogram_counts(df, {c.name: c.span for c in columns if c.span})
+    spans = {c.name: c.span for c in columns if c.span}
+    bins = histogram_counts(df, {n: span for n, span in spans.items() if n not in low})
+    if counted is not None:
+        bins |= _counted_bins(counted, {n: c for n, c in low.items() if n in spans}, spans)
     for c in columns:
         if c.family in (NUMBER, TEMPORAL) and c.non_null:
             c.histogram = build_histogram(c, bins.get(c.name, {}))
@@ -329,8 +469,15 @@ def _distributions(df: DataFrame, columns: list[ColumnProfile]) -> None:
               if c.family == TEXT and c.non_null and (c.distinct or 0) <= TOP_DISTINCT_LIMIT}
     if not listed:
         return
+    parts, scanned = [], [n for n in listed if n not in low or not low[n].whole]
+    if scanned:
+        parts.append(value_counts(df, scanned))
+    known = {low[n].at: n for n in listed if n not in scanned}
+    if known:
+        name = F.create_map(*[F.lit(v) for item in known.items() for v in item])[F.col("i")]
+        parts.append(counted.filter(F.col("i").isin(list(known))).select(name.alias("column"), F.col("string").alias("value"), "n"))
     per_column = Window.partitionBy("column")
-    ranked = (value_counts(df, list(listed))
+    ranked = (functools.reduce(DataFrame.unionByName, parts)
               .withColumn("place", F.row_number().over(per_column.orderBy(F.desc("n"), "value")))
               .withColumn("rare", F.sum((F.col("n") <= RARE_COUNT).cast("long")).over(per_column))
               .filter(F.col("place") <= TOP_VALUES))

@@ -83,16 +83,18 @@ AT_HAND_BYTES = 256 << 20
 
 @contextlib.contextmanager
 def at_hand(df):
-    """``df`` for several passes: kept in memory while small, as it is if not.
+    """``df`` for several passes: dealt out and kept in memory where it is small and in too few pieces, else as it is.
 
     A small Parquet file is often one unsplittable row group, which would leave
-    every pass to a single core.
+    every pass to a single core. A table in enough pieces is read anew by each
+    pass, just its columns, which costs less than to hold all of it.
     """
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    if not 0 < int(size) <= AT_HAND_BYTES:
+    plan, cores = df._jdf.queryExecution(), df.sparkSession.sparkContext.defaultParallelism
+    size = int(plan.optimizedPlan().stats().sizeInBytes())
+    if not 0 < size <= AT_HAND_BYTES or 2 * plan.toRdd().getNumPartitions() > cores:
         yield df
         return
-    held = df.repartition(df.sparkSession.sparkContext.defaultParallelism).persist()
+    held = df.repartition(cores).persist()
     try:
         yield held
     finally:
