@@ -158,20 +158,25 @@ def pairs_within(members: DataFrame, percent: int) -> DataFrame:
 
 
 def aimed_at(members: DataFrame, hubs: DataFrame, percent: int) -> DataFrame:
-    """(key, chunk, sid, hub, near) of every member: whether it is in reach of its key's hub."""
+    """(key, chunk, sid, hub, near, away) of every member: whether it is in reach of its key's hub, and its signature's distance."""
     def run(batches):
         for b in batches:
             nu, nv = b.column(3).to_numpy(), b.column(6).to_numpy()
-            near = _close(nu, nv, _symbols(b.column(4)), _symbols(b.column(7)), percent)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), b.column(5), pa.array(near)],
-                                             ["key", "chunk", "sid", "hub", "near"])
+            away = np.count_nonzero(_symbols(b.column(4)) != _symbols(b.column(7)), axis=1)
+            near = (away <= FARTHEST) & (np.minimum(nu, nv) * 100 >= np.maximum(nu, nv) * percent)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), b.column(5), pa.array(near), pa.array(away, pa.int32())],
+                                             ["key", "chunk", "sid", "hub", "near", "away"])
 
     joined = members.join(hubs, "key").select("key", "chunk", "sid", "n", "sig", *[F.col(f"hub.{c}").alias(f"hub_{c}") for c in ("sid", "n", "sig")])
-    return joined.mapInArrow(run, "key long, chunk int, sid long, hub long, near boolean")
+    return joined.mapInArrow(run, "key long, chunk int, sid long, hub long, near boolean, away int")
 
 
 def pairs_in_reach(far: DataFrame, others: DataFrame, percent: int) -> DataFrame:
-    """(u, v) in reach between far members (key, sid, n, sig, root) and any others of their key, of different components."""
+    """(u, v) in reach between far members (key, sid, n, sig, root, away) and any others of their key, of different components.
+
+    Distances of signatures keep the triangle bound: two members whose distances from the hub differ by more than
+    ``FARTHEST`` are not in reach of each other.
+    """
     def run(batches):
         for b in batches:
             u, nu, v, nv = (b.column(i).to_numpy() for i in (0, 1, 3, 4))
@@ -179,13 +184,15 @@ def pairs_in_reach(far: DataFrame, others: DataFrame, percent: int) -> DataFrame
             yield _pair_batch(u[fits], v[fits])
 
     a, o = far.alias("a"), others.alias("o")
-    return (a.join(o, "key").where((F.col("a.root") != F.col("o.root")) & (~F.col("o.far") | (F.col("a.sid") > F.col("o.sid"))))
+    return (a.join(o, "key").where((F.col("a.root") != F.col("o.root")) & (~F.col("o.far") | (F.col("a.sid") > F.col("o.sid")))
+                                   & (F.abs(F.col("a.away") - F.col("o.away")) <= FARTHEST)
+                                   & (F.least("a.n", "o.n") * 100 >= F.greatest("a.n", "o.n") * percent))
             .select(*[F.col(f"{side}.{c}").alias(f"{side}_{c}") for side in "ao" for c in ("sid", "n", "sig")]).mapInArrow(run, "u long, v long").distinct())
 
 
 def _opened(members: DataFrame) -> DataFrame:
     """Members of keys with many far ones, each under the keys of a second, later chunk."""
-    names = ["sid", "n", "sig", "root", "far"]
+    names = ["sid", "n", "sig", "root", "far", "away"]
 
     def run(batches):
         for b in batches:
@@ -198,7 +205,7 @@ def _opened(members: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), *[rows.column(rows.schema.get_field_index(x)) for x in names]],
                                                      ["key", *names])
 
-    return members.select("key", "chunk", *names).mapInArrow(run, "key long, sid long, n long, sig binary, root long, far boolean")
+    return members.select("key", "chunk", *names).mapInArrow(run, "key long, sid long, n long, sig binary, root long, far boolean, away int")
 
 
 def _edited_alike(aimed: DataFrame, roots: DataFrame, texts: DataFrame, percent: int, k: int) -> DataFrame:
@@ -215,6 +222,7 @@ def _edited_alike(aimed: DataFrame, roots: DataFrame, texts: DataFrame, percent:
     x, y = each.where("weight > slack").alias("x"), each.alias("y")
     need = F.col("x.weight") + F.col("y.weight") - F.col("x.slack")
     met = x.join(y, ["place", "token"]).where((F.col("x.root") != F.col("y.root"))
+                                              & ((F.col("y.weight") <= F.col("y.slack")) | (F.col("x.sid") > F.col("y.sid")))
                                               & (F.least("x.left", "y.left") * (100 + percent) >= need))
     return met.select(F.greatest("x.sid", "y.sid").alias("u"), F.least("x.sid", "y.sid").alias("v")).distinct()
 
@@ -246,7 +254,7 @@ def links(reps: DataFrame, texts_of, percent: int = PERCENT, k: int = SHINGLE) -
     loose = held.join(far, "key").join(facts.select("sid", "n", "sig"), "sid").withColumn("far", ~F.col("near"))
     direct, full = loose.where(F.col("n_far") <= SMALL), written(_opened(loose.where(F.col("n_far") > SMALL)))
     for found in (direct, full):
-        more = more.union(pairs_in_reach(found.where("far"), found.select("key", "sid", "n", "sig", "root", "far"), percent))
+        more = more.union(pairs_in_reach(found.where("far"), found.select("key", "sid", "n", "sig", "root", "far", "away"), percent))
     return near.union(setpairs.confirmed(written(more.distinct().join(tried, ["u", "v"], "left_anti")), texts, percent, k))
 
 
