@@ -84,12 +84,12 @@ def join_three_way(spark, sf):
 @register("join_four_way", """
 SELECT c.c_custkey, n.n_name, r.r_name FROM customer c
 JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey
-WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)""")
+WHERE NOT EXISTS (SELECT 1 FROM supplier s WHERE s.s_suppkey = c.c_custkey)""")
 def join_four_way(spark, sf):
     return _joined(spark, sf, _input("customer", "c", ["c_custkey"]),
                    _input("nation", "n", ["n_name"], "inner", "c", [("c_nationkey", "n_nationkey")]),
                    _input("region", "r", ["r_name"], "inner", "n", [("n_regionkey", "r_regionkey")]),
-                   _input("orders", "o", [], "anti", "c", [("c_custkey", "o_custkey")]))
+                   _input("supplier", "s", [], "anti", "c", [("c_custkey", "s_suppkey")]))
 
 
 @register("join_self", """

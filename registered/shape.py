@@ -157,6 +157,34 @@ def pivot_median_by_order(spark, sf):
     return pivot(table(spark, sf, "lineitem"), ["l_orderkey"], "l_extendedprice", "median")
 
 
+def _wide_values(spark, sf):
+    """Order keys and cents in one number: far beyond 2^53, where a double has lost the last digits."""
+    cents = F.round(F.col("l_extendedprice") * 100).cast("long")
+    return table(spark, sf, "lineitem").select(
+        "l_returnflag", (F.col("l_orderkey") * 10_000_000_000 + cents + (1 << 60)).alias("big"),
+        ((F.col("l_orderkey").cast("decimal(20,0)") * 10_000_000_000 + cents).cast("decimal(30,0)") * F.lit("0.01").cast("decimal(3,2)"))
+        .cast("decimal(30,2)").alias("exact"))
+
+
+_WIDE_MIDDLE = """WITH v AS (SELECT l_returnflag, CAST(l_orderkey AS HUGEINT) * 10000000000 + CAST(round(l_extendedprice * 100) AS BIGINT) AS v FROM lineitem),
+r AS (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY v) - 1 AS i, count(*) OVER (PARTITION BY l_returnflag) AS n FROM v),
+m AS (SELECT l_returnflag, min(v) AS low, max(v) AS high FROM r WHERE i IN ((n - 1) // 2, n // 2) GROUP BY l_returnflag)"""
+
+
+@register("pivot_median_decimal", _WIDE_MIDDLE + """
+SELECT l_returnflag, CAST((low + high) // 200 AS VARCHAR) || '.' || lpad(CAST((low + high) % 200 * 5 AS VARCHAR), 3, '0') AS median_exact FROM m""")
+def pivot_median_decimal(spark, sf):
+    """Every digit of the median of decimals, as text."""
+    found = pivot(_wide_values(spark, sf), ["l_returnflag"], "exact", "median")
+    return found.select("l_returnflag", F.col("median_exact").cast("string").alias("median_exact"))
+
+
+@register("pivot_median_bigint", _WIDE_MIDDLE + """
+SELECT l_returnflag, CAST((low + high) // 2 + 1152921504606846976 AS DOUBLE) AS median_big FROM m""")
+def pivot_median_bigint(spark, sf):
+    return pivot(_wide_values(spark, sf), ["l_returnflag"], "big", "median")
+
+
 @register("pivot_median_dates", """
 SELECT l_returnflag, median(l_shipdate) AS median_l_shipdate FROM lineitem GROUP BY l_returnflag""")
 def pivot_median_dates(spark, sf):

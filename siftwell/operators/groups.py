@@ -105,31 +105,52 @@ def _pivot_labels(df: DataFrame, across: T.StructField) -> list[str]:
 
 def median_by(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
     """The exact median of ``value`` in each group: the mean of the middle two
-    values of a number or a time, the lower of the two for text and booleans."""
+    values of a number or a time, the lower of the two for text and booleans.
+
+    Decimals and 64-bit integers never pass through a double on the way: the
+    middle values are picked as they are. The median of a decimal has one more
+    decimal place, if 38 digits leave room for it; that of integers is the
+    double nearest to the exact mean.
+    """
     found = field(df.schema, value)
     fam = family(found.dataType)
     _need(found, "median", NUMBER, TEMPORAL, TEXT, BOOLEAN)
     measured, back = col(value), (lambda m: m)
-    if fam == NUMBER:
+    wide = isinstance(found.dataType, (T.LongType, T.DecimalType))
+    if wide:
+        measured = measured.cast(found.dataType)
+    elif fam == NUMBER:
         measured = measured.cast("double")
     elif fam == TEMPORAL:
         measured = as_micros(value, found.dataType).cast("double")
         back = functools.partial(from_micros, dtype=found.dataType)
 
     work = df.select([col(k) for k in keys] + [measured.alias("__v")])
-    if fam in (NUMBER, TEMPORAL) and df.count() <= GROUP_VALUES_LIMIT:
+    if wide:
+        out = _median_across_tasks(work, keys, mean=True, joined_mean=_exact_middle(found.dataType))
+    elif fam in (NUMBER, TEMPORAL) and df.count() <= GROUP_VALUES_LIMIT:
         out = work.groupBy([col(k) for k in keys]).agg(F.median("__v").alias("__m"))
     else:
         out = _median_across_tasks(work, keys, mean=fam in (NUMBER, TEMPORAL))
     return out.select([col(k) for k in keys] + [back(col("__m")).alias(name)])
 
 
+def _exact_middle(dtype: T.DataType):
+    """The mean of two decimals or integers, worked out in decimals."""
+    if isinstance(dtype, T.LongType):
+        wide = T.DecimalType(20, 0)
+        return lambda low, high: ((low.cast(wide) + high.cast(wide)) * F.lit("0.5").cast("decimal(2,1)")).cast("double")
+    room = dtype.precision < 38
+    out = T.DecimalType(dtype.precision + 1, dtype.scale + 1) if room else dtype
+    return lambda low, high: (low + ((high - low) * F.lit("0.5").cast("decimal(2,1)")).cast(out)).cast(out)
+
+
 def _same(keys: list[str], left: str, right: str) -> Column:
     pairs = [F.col(f"{left}.`{k}`").eqNullSafe(F.col(f"{right}.`{k}`")) for k in keys]
     return functools.reduce(lambda a, b: a & b, pairs)
 
 
-def _median_across_tasks(work: DataFrame, keys: list[str], mean: bool) -> DataFrame:
+def _median_across_tasks(work: DataFrame, keys: list[str], mean: bool, joined_mean=None) -> DataFrame:
     """Medians without ever holding a group in one task.
 
     Equal values are counted first, then the counts are range-partitioned by
@@ -165,7 +186,8 @@ def _median_across_tasks(work: DataFrame, keys: list[str], mean: bool) -> DataFr
         return F.max(F.when((start <= F.col(rank)) & (F.col(rank) < F.col("__end")), F.col("__v")))
 
     low, high = at("__lo"), at("__hi")
-    medians = middle.groupBy(group).agg(((low + high) / 2 if mean else low).alias("__m"))
+    found = joined_mean(low, high) if joined_mean else (low + high) / 2 if mean else low
+    medians = middle.groupBy(group).agg(found.alias("__m"))
     every = ranged.select(group).distinct()
     return (every.alias("e").join(medians.alias("m"), _same(keys, "e", "m"), "left")
             .select([F.col(f"e.`{k}`") for k in keys] + [F.col("m.__m")]))
