@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siftwell.operators.lineage import dependents, reasons, staleness
-from siftwell.plans.joins import build_join, checked_join, plan_join, probe_frame, probe_join
+from siftwell.plans.joins import build_join, chain_rows, checked_join, plan_join, probe_frame, probe_join
 from siftwell.plans.spec import rerun
 from siftwell.plans.sqlmode import run_sql
 
@@ -169,6 +169,27 @@ def join_estimates(spark, sf):
     return spark.createDataFrame([(k, probe.estimated_rows(k)) for k in kinds], "kind string, rows long")
 
 
+@register("join_estimates_chain", """
+SELECT 'inner' AS kind, (SELECT count(*) FROM customer c JOIN orders o ON o.o_custkey = c.c_custkey
+  JOIN lineitem l ON l.l_orderkey = o.o_orderkey JOIN nation n ON n.n_nationkey = c.c_nationkey) AS rows
+UNION ALL SELECT 'left', (SELECT count(*) FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey
+  LEFT JOIN lineitem l ON l.l_orderkey = o.o_orderkey JOIN nation n ON n.n_nationkey = c.c_nationkey)
+UNION ALL SELECT 'same key', (SELECT count(*) FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey JOIN orders c ON c.o_custkey = a.o_custkey)""")
+def join_estimates_chain(spark, sf):
+    """The rows of whole chains, foretold from counts alone."""
+    names = {n: table(spark, sf, n) for n in ("customer", "orders", "lineitem", "nation")}
+    found = []
+    for kind in ("inner", "left"):
+        found.append((kind, chain_rows(plan_join({"inputs": [
+            _input("customer", "c", ["c_custkey"]), _input("orders", "o", ["o_orderkey"], kind, "c", [("c_custkey", "o_custkey")]),
+            _input("lineitem", "l", ["l_linenumber"], kind, "o", [("o_orderkey", "l_orderkey")]),
+            _input("nation", "n", ["n_name"], "inner", "c", [("c_nationkey", "n_nationkey")])]}, names))))
+    found.append(("same key", chain_rows(plan_join({"inputs": [
+        _input("orders", "a", ["o_orderkey"]), _input("orders", "b", [], "inner", "a", [("o_custkey", "o_custkey")]),
+        _input("orders", "c", [], "inner", "a", [("o_custkey", "o_custkey")])]}, names))))
+    return spark.createDataFrame(found, "kind string, rows long")
+
+
 @register("join_findings", f"""
 WITH lg AS (SELECT o_orderkey AS k, 1 AS n FROM orders),
      rg AS (SELECT l_orderkey AS k, count(*) AS n FROM lineitem GROUP BY 1),
