@@ -8,14 +8,23 @@ _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _BENCH_WORDS = "regexp_extract_all(" + _AZ.format("coalesce(text, '')") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 
+# A line that states a copyright, and one that begins so but goes on as prose of a licence.
+_STATES = (r"^[\x20\t\r#*/;-]*([cC][oO][pP][yY][rR][iI][gG][hH][tT][\x20\t:]+(\([cC]\)|©|[bB][yY][\x20\t]|[0-9]|\p{Lu}\p{Ll}|[<\[{])"
+           r"|\([cC]\)[\x20\t]*([0-9]|[<\[{©])|©)")
+_PROSE = r"^[\x20\t\r#*/;-]*[cC][a-zA-Z]*[\x20\t:]+(Holder|Owner|Notice|Licence|License|Law|Statement)"
+_RESERVED = r"(?i)^[\x20\t\r#*/;-]*all rights reserved\.?[\x20\t\r]*$"
+_SPELLINGS = ((r"\blicence", "license"), (r"\bsub licens", "sublicens"), (r"\bnon (infring|commercial|exclusive)", r"non\1"),
+              (r"\bmerchantibility\b", "merchantability"), (r"\bcopyright (holders|owners?)\b", "copyright holder"),
+              (r"\bwhilst\b", "while"), (r"\b(?:ver|v) ?(\d)", r"version \1"), (r"\bhttps? (?:www )?", "url "))
+
 
 def _canonical(text: str) -> str:
-    text = f"lower({text})"
-    for pattern, new in licences.STEPS:
-        new = new.replace("$", chr(92))
-        new = "chr(10)" if new == r"\n" else f"'{new}'"
-        text = f"regexp_replace({text}, '{pattern}', {new}, 'g')"
-    return text
+    lines = (f"[x FOR x IN string_split({text}, chr(10)) IF NOT (regexp_matches(x, '{_RESERVED}') OR "
+             f"(regexp_matches(x, '{_STATES}') AND NOT regexp_matches(x, '{_PROSE}')))]")
+    text = rf"regexp_replace(lower(array_to_string({lines}, chr(10))), '[^\p{{L}}\p{{N}}]+', ' ', 'g')"
+    for pattern, new in _SPELLINGS:
+        text = f"regexp_replace({text}, '{pattern}', '{new}', 'g')"
+    return f"trim({text}, ' ')"
 
 
 def _quoted(text: str) -> str:
@@ -24,7 +33,8 @@ def _quoted(text: str) -> str:
 
 OP4 = f"""
 WITH known AS (SELECT DISTINCT licence, sha256({_canonical('t')}) AS digest
-  FROM (VALUES {', '.join(f'({_quoted(a)}, {_quoted(b)})' for a, b in licences.CATALOGUE)}) AS v(licence, t)),
+  FROM (VALUES {', '.join(f'({_quoted(a)}, {_quoted(b)})' for a, b in licences.CATALOGUE)}) AS v(licence, t)
+  UNION VALUES {', '.join(f'({_quoted(a)}, {_quoted(b)})' for a, b in licences.DIGESTS)}),
 d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 l AS (SELECT r, sha256({_canonical('line')}) AS digest FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d)
   WHERE regexp_matches(line, '{licences.HINT}')),

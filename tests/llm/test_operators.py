@@ -2,7 +2,10 @@
 
 import hashlib
 import math
+import pathlib
 import random
+import re
+import textwrap
 import time
 
 import numpy as np
@@ -213,8 +216,66 @@ def test_licences_of_repeated_rows_and_null_ids(spark):
         (None, None, "a", 2), (9, None, "a", 1), (9, None, "a", 1)]
 
 
+def _wrapped(text, width):
+    return "\n\n".join(textwrap.fill(" ".join(p.split()), width) for p in re.split(r"\n[ \t]*\n", text))
+
+
+# As published: other line breaks, quotes and headings than in the catalogue.
+PUBLISHED_MIT = """The MIT License (MIT)
+
+Copyright © 2021 Jane Doe and contributors
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in
+all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN
+THE SOFTWARE.
+"""
+HOLDERS = ["Copyright (c) 2020 Someone", "Copyright 1999-2021 The Authors <a@b.c>", "(c) 2001 Q. All rights reserved.",
+           " * Copyright: Jane Doe\n * All rights reserved.", "Copyright by X", "COPYRIGHT (C) [year] [owner]"]
+
+
+def test_published_texts_in_other_wrappings(spark):
+    texts = [("MIT", _wrapped(PUBLISHED_MIT, w)) for w in (45, 60, 70, 72, 78, 80, 100, 120, 10_000)] + [("MIT", PUBLISHED_MIT)]
+    for name, text in licences.CATALOGUE:
+        if len(text) > 300:
+            texts += [(name, h + "\n\n" + _wrapped(text, w)) for w in (66, 76, 96) for h in HOLDERS]
+    for name, path in {"Apache-2.0": "Apache-2.0", "MPL-2.0": "MPL-2.0", "GPL-3.0": "GPL-3", "LGPL-2.1": "LGPL-2.1"}.items():
+        path = pathlib.Path("/usr/share/common-licenses", path)
+        if path.exists():
+            whole = path.read_text()
+            texts += [(name, whole), (name, whole.upper().replace("\n", "\r\n"))]
+            if name in ("Apache-2.0", "MPL-2.0"):
+                texts += [(name, _wrapped(whole, w)) for w in (60, 79, 110)]
+    rows = [(i, name, text) for i, (name, text) in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, want string, text string")
+    found = {r["doc_id"]: r["licence"] for r in licences.scan(docs).collect()}
+    assert [(i, found[i], text[:80]) for i, name, text in rows if found[i] != name] == []
+
+
+def test_licence_prose_is_not_a_copyright_line(spark):
+    kept = ["copyright holders be liable", "COPYRIGHT NOTICE", "(c) you must retain", "copyright, patent", "copyright law permits",
+            "copyrighted work", "copyright and the like",
+            "copyright doctrines of fair use", "Copyright Holder means", "COPYRIGHT OWNER OR"]
+    gone = ["Copyright 2020", "copyright ©", "© Someone", "(c) 2020 S", "(C) © x", "Copyright Jane", "copyright  (c) jane", "Copyright The X", "All rights reserved."]
+    rows = spark.createDataFrame([(x,) for x in kept + gone], "t string").select("t", licences.canonical(F.col("t")).alias("c"))
+    assert {r["t"] for r in rows.collect() if r["c"] == ""} == set(gone)
+
+
 def test_every_notice_passes_the_hint():
-    import re
+
     assert all(re.search(licences.HINT, text) or len(text) > 300 or "Permission" in text for _, text in licences.CATALOGUE)
 
 
