@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siftwell.operators.lineage import dependents, reasons, staleness
+from siftwell.operators.lineage import dependents, reasons, roots, staleness
 from siftwell.plans.joins import build_join, chain_rows, checked_join, plan_join, probe_frame, probe_join
 from siftwell.plans.spec import rerun
 from siftwell.plans.sqlmode import run_sql
@@ -306,6 +306,15 @@ def staleness_reasons(spark, sf):
             .agg(F.count("name").alias("slices"), F.count("told").alias("explained")))
 
 
+@register("staleness_roots", _STATES.replace("\ndoubtful AS", """
+roots AS (SELECT child AS name, parent AS root FROM f WHERE changed_at > cut_at
+          UNION SELECT f.child, roots.root FROM f JOIN roots ON f.is_slice AND f.parent = roots.name),
+doubtful AS""") + " SELECT name, root FROM roots")
+def staleness_roots(spark, sf):
+    """Every stale slice with each input whose change made it so."""
+    return roots(*_graph(spark, sf))
+
+
 @register("dependents", f"""
 WITH RECURSIVE e AS (SELECT * FROM {_EDGES}),
 d AS (SELECT child AS name FROM e WHERE parent = 'o1' UNION SELECT e.child FROM e JOIN d ON e.parent = d.name)

@@ -21,13 +21,15 @@ MERGE_ROUNDS = 16
 
 def _reach(links: DataFrame, start: DataFrame) -> DataFrame:
     """Every child that leads to a name in ``start`` over (child, parent)
-    links, the start included; each once."""
+    links, the start included; each once. Other columns of ``start`` travel
+    along, and a name is found once with each of their values."""
+    columns = start.columns
     frontier = found = written(start.distinct())
     rounds = 0
     while not frontier.isEmpty():
-        nxt = (links.join(frontier, links["parent"] == frontier["name"], "left_semi")
-               .select(F.col("child").alias("name")).distinct())
-        frontier = written(nxt.join(found, "name", "left_anti"))
+        nxt = (links.join(frontier.withColumnRenamed("name", "parent"), "parent").drop("parent")
+               .withColumnRenamed("child", "name").select(columns).distinct())
+        frontier = written(nxt.join(found, columns, "left_anti"))
         found = found.unionByName(frontier)
         rounds += 1
         if rounds % MERGE_ROUNDS == 0:
@@ -104,18 +106,37 @@ def staleness(slices: DataFrame, sources: DataFrame, edges: DataFrame) -> DataFr
             .select("name", F.coalesce("state", F.lit(UNKNOWN)).alias("state")))
 
 
+def roots(slices: DataFrame, sources: DataFrame, edges: DataFrame) -> DataFrame:
+    """(name, root): for every stale slice the inputs, its own or further up,
+    that changed after something was cut from them; each once."""
+    return _roots(edge_facts(slices, sources, edges))
+
+
+def _roots(facts: DataFrame) -> DataFrame:
+    facts = written(facts)
+    changed = facts.filter(F.col("direct") == STALE).select(F.col("child").alias("name"), F.col("parent").alias("root"))
+    return _reach(facts.filter("is_slice").select("child", "parent"), changed)
+
+
 def reasons(slices: DataFrame, sources: DataFrame, edges: DataFrame, states: DataFrame) -> DataFrame:
-    """(name, input, reason): why a slice is not fresh, one row per cause."""
-    facts = edge_facts(slices, sources, edges)
+    """(name, input, reason): why a slice is not fresh, one row per cause.
+
+    An input that is stale itself has a row for each of its ``roots``; one that
+    also changed after the cut has a row for that.
+    """
+    facts = written(edge_facts(slices, sources, edges))
     upstream = states.select(F.col("name").alias("parent"), F.col("state").alias("parent_state"))
+    inherited = facts.filter("is_slice").join(_roots(facts).withColumnRenamed("name", "parent"), "parent").select(
+        F.col("child").alias("name"), F.col("parent").alias("input"),
+        F.concat("parent", F.lit(" is stale itself, as "), "root", F.lit(" changed")).alias("reason"))
     per_edge = (facts.join(upstream, "parent", "left").select(
         F.col("child").alias("name"), F.col("parent").alias("input"),
-        F.when(F.col("is_slice") & (F.col("parent_state") == STALE), F.concat("parent", F.lit(" is stale itself")))
-        .when(F.col("direct") == STALE, F.concat("parent", F.lit(" changed after this was cut")))
+        F.when(F.col("direct") == STALE, F.concat("parent", F.lit(" changed after this was cut")))
         .when(F.col("is_slice") & (F.col("parent_state") == UNKNOWN),
               F.concat(F.lit("the state of "), "parent", F.lit(" is unknown")))
-        .when(F.col("direct") == UNKNOWN, F.concat("parent", F.lit(" is gone, or its time was not recorded")))
-        .alias("reason")).filter(F.col("reason").isNotNull()))
+        .when(~(F.col("is_slice") & F.col("parent_state").eqNullSafe(STALE)) & (F.col("direct") == UNKNOWN),
+              F.concat("parent", F.lit(" is gone, or its time was not recorded")))
+        .alias("reason")).filter(F.col("reason").isNotNull()).unionByName(inherited))
     has_input = edges.select(F.col("child").alias("name")).distinct()
     none = F.lit(None).cast("string").alias("input")
     no_time = slices.filter(F.col("cut_at").isNull()).select(

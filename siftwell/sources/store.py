@@ -13,6 +13,7 @@ import json
 import re
 import time
 import uuid
+from collections.abc import Mapping
 from dataclasses import dataclass
 from pathlib import PurePosixPath
 
@@ -60,6 +61,27 @@ class Impact:
     turns_stale: DataFrame | None
 
 
+class _Opened(Mapping):
+    """DataFrames by name over known paths, each opened on first use."""
+
+    def __init__(self, spark: SparkSession, paths: dict[str, str]):
+        self._spark, self._paths, self._held = spark, paths, {}
+
+    def __getitem__(self, name):
+        if name not in self._held:
+            self._held[name] = self._spark.read.parquet(self._paths[name])
+        return self._held[name]
+
+    def __contains__(self, name):
+        return name in self._paths
+
+    def __iter__(self):
+        return iter(self._paths)
+
+    def __len__(self):
+        return len(self._paths)
+
+
 class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -156,8 +178,9 @@ class Store:
         df.createOrReplaceTempView(name)
         return df
 
-    def tables(self, paths: dict[str, str] | None = None) -> dict[str, DataFrame]:
-        return {n: self.spark.read.parquet(p) for n, p in (paths or self.paths()).items()}
+    def tables(self, paths: dict[str, str] | None = None) -> Mapping[str, DataFrame]:
+        """Every relation by name; one is opened when it is first asked for."""
+        return _Opened(self.spark, self.paths() if paths is None else paths)
 
     def drop(self, name: str) -> list[str]:
         """Forget a relation and name its direct readers. Its files stay."""
@@ -236,11 +259,11 @@ class Store:
         return self.registry("sources").select("name", "loaded_at")
 
     def relations(self) -> DataFrame:
-        """Every source and slice with its lineage and staleness; ``note`` is
-        the first of its ``reasons``."""
+        """Every source and slice with its lineage and staleness; ``note``
+        joins all its ``reasons``."""
         states = self.staleness()
         why = (self.reasons(states).groupBy("name")
-               .agg(F.min_by("reason", F.coalesce("input", F.lit(""))).alias("note")))
+               .agg(F.array_join(F.array_sort(F.collect_set("reason")), "; ").alias("note")))
         text = F.lit(None).cast("string")
         sources = self.registry("sources").select(
             "name", F.lit("source").alias("kind"), F.col("n_rows").alias("rows"),

@@ -80,6 +80,24 @@ def test_staleness(graph):
     why = {(r.name, r.input) for r in L.reasons(*graph, states).collect()}
     assert why == {("b", "s2"), ("c", None), ("d", "b"), ("e", "c"), ("f", "gone"), ("g", None), ("h", "s3"), ("x", "y"),
                    ("y", "x"), ("self", "self"), ("over", "x"), ("mix", "d"), ("mix", "gone")}
+    assert {tuple(r) for r in L.roots(*graph).collect()} == {("b", "s2"), ("d", "s2"), ("mix", "s2")}
+
+
+def test_reasons_of_two_roots_and_of_a_recut_input(spark):
+    slices = spark.createDataFrame([("x", "2024-01-05"), ("y", "2024-01-03"), ("p", "2024-01-09"), ("q", "2024-01-09")],
+                                   "name string, t string").select("name", day("t").alias("cut_at"))
+    sources = spark.createDataFrame([("orders", "2024-01-06"), ("prices", "2024-01-08"), ("old", "2024-01-01")],
+                                    "name string, t string").select("name", day("t").alias("loaded_at"))
+    # p and q read each other, and p reads what is stale.
+    edges = spark.createDataFrame([("x", "orders"), ("x", "prices"), ("x", "old"), ("y", "x"), ("p", "q"), ("q", "p"), ("p", "x")],
+                                  "child string, parent string")
+    roots = {tuple(r) for r in L.roots(slices, sources, edges).collect()}
+    assert roots == {(n, r) for n in "xypq" for r in ("orders", "prices")} | {("y", "x")}
+    why = {tuple(r) for r in L.reasons(slices, sources, edges, L.staleness(slices, sources, edges)).collect()}
+    assert {w for w in why if w[0] in "xy"} == {
+        ("x", "orders", "orders changed after this was cut"), ("x", "prices", "prices changed after this was cut"),
+        ("y", "x", "x changed after this was cut"), ("y", "x", "x is stale itself, as orders changed"),
+        ("y", "x", "x is stale itself, as prices changed")}
 
 
 def test_dependents(graph):

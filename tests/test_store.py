@@ -46,7 +46,8 @@ def test_chain_goes_stale_and_unknown_stays_unknown(store, csv_file):
     assert states(store) == {"orders": "fresh", "accounts": "fresh", "small": "stale", "sums": "stale",
                              "by_hand": "unknown"}
     notes = {r["name"]: r["note"] for r in store.relations().collect()}
-    assert "orders" in notes["small"] and "small" in notes["sums"]
+    assert notes["small"] == "orders changed after this was cut"
+    assert notes["sums"] == "small is stale itself, as orders changed"
     store.save(store.query({"mode": "slice", "relation": "orders"}), "small")
     assert states(store)["small"] == "fresh"
     assert states(store)["sums"] == "stale"      # its input was cut again
