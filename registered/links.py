@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from siftwell.errors import Refused, SpecError
 from siftwell.operators.lineage import dependents, reasons, roots, staleness
 from siftwell.plans.joins import build_join, chain_rows, checked_join, plan_join, probe_frame, probe_join
 from siftwell.plans.spec import rerun
@@ -122,20 +123,19 @@ def join_filtered_sorted(spark, sf):
                    filters=tree, sort="l_quantity", desc=True)
 
 
-def _probe_sql(left, lk, right, rk, extra=""):
+def _probe_sql(left, lk, right, rk):
+    """Both sides grouped by key and laid side by side; a null key meets none."""
+    whole = {"left_rows": "sum(a)", "right_rows": "sum(b)",
+             "left_distinct": "count(a) FILTER (k IS NOT NULL)", "right_distinct": "count(b) FILTER (k IS NOT NULL)",
+             "left_nulls": "sum(a) FILTER (k IS NULL)", "right_nulls": "sum(b) FILTER (k IS NULL)",
+             "left_max_dup": "max(a) FILTER (k IS NOT NULL)", "right_max_dup": "max(b) FILTER (k IS NOT NULL)",
+             "matched_left": "sum(a) FILTER (b > 0)", "matched_right": "sum(b) FILTER (a > 0)",
+             "max_fanout": "max(b) FILTER (a > 0)", "pairs": "sum(a * b)"}
+    numbers = ", ".join(f"CAST(coalesce({sql}, 0) AS BIGINT) AS {name}" for name, sql in whole.items())
     return f"""
-WITH lg AS (SELECT {lk} AS k, count(*) AS n FROM {left} l WHERE {lk} IS NOT NULL GROUP BY 1),
-     rg AS (SELECT {rk} AS k, count(*) AS n FROM {right} r WHERE {rk} IS NOT NULL GROUP BY 1),
-     m AS (SELECT lg.n AS ln, rg.n AS rn FROM lg JOIN rg ON lg.k = rg.k)
-SELECT {extra}(SELECT count(*) FROM {left} l) AS left_rows, (SELECT count(*) FROM {right} r) AS right_rows,
-  (SELECT count(*) FROM lg) AS left_distinct, (SELECT count(*) FROM rg) AS right_distinct,
-  (SELECT count(*) FROM {left} l WHERE {lk} IS NULL) AS left_nulls,
-  (SELECT count(*) FROM {right} r WHERE {rk} IS NULL) AS right_nulls,
-  (SELECT coalesce(max(n), 0) FROM lg) AS left_max_dup, (SELECT coalesce(max(n), 0) FROM rg) AS right_max_dup,
-  (SELECT CAST(coalesce(sum(ln), 0) AS BIGINT) FROM m) AS matched_left,
-  (SELECT CAST(coalesce(sum(rn), 0) AS BIGINT) FROM m) AS matched_right,
-  (SELECT coalesce(max(rn), 0) FROM m) AS max_fanout,
-  (SELECT CAST(coalesce(sum(ln * rn), 0) AS BIGINT) FROM m) AS pairs"""
+SELECT {numbers}
+FROM (SELECT {lk} AS k, count(*) AS a FROM {left} AS l GROUP BY ALL)
+FULL JOIN (SELECT {rk} AS k, count(*) AS b FROM {right} AS r GROUP BY ALL) USING (k)"""
 
 
 def _probed(left, right, keys):
@@ -223,6 +223,44 @@ def join_findings(spark, sf):
     return spark.createDataFrame(found, "pair string, rule string, severity string")
 
 
+_FAMILY = """CASE WHEN column_type = 'VARCHAR' THEN 'text' WHEN column_type LIKE 'TIMESTAMP%' OR column_type = 'DATE' THEN 'temporal'
+  WHEN column_type = 'BOOLEAN' THEN 'boolean' ELSE 'number' END"""
+
+
+@register("join_key_families", f"""
+SELECT a.column_name AS left_key, b.column_name AS right_key, a.family = b.family AS accepted
+FROM (SELECT column_name, {_FAMILY} AS family FROM (DESCRIBE SELECT * FROM orders)) a,
+     (SELECT column_name, {_FAMILY} AS family FROM (DESCRIBE SELECT * FROM customer)) b""")
+def join_key_families(spark, sf):
+    """Which columns of two tables may be a key together; the others are refused before anything is read."""
+    relations = tables(spark, sf, "orders", "customer")
+
+    def accepted(left, right):
+        try:
+            plan_join({"inputs": [_input("orders", "o"), _input("customer", "c", (), "inner", "o", [(left, right)])]}, relations)
+        except SpecError:
+            return False
+        return True
+
+    pairs = [(a, b) for a in relations["orders"].columns for b in relations["customer"].columns]
+    return spark.createDataFrame([(a, b, accepted(a, b)) for a, b in pairs], "left_key string, right_key string, accepted boolean")
+
+
+@register("join_unconfirmed", """
+SELECT 'lineitem' AS joined, true AS refused, count(*) AS rows FROM orders JOIN lineitem ON o_orderkey = l_orderkey
+UNION ALL SELECT 'customer', false, count(*) FROM orders JOIN customer ON o_custkey = c_custkey""")
+def join_unconfirmed(spark, sf):
+    """A join that grows is refused, with its exact rows, until it is confirmed; one that does not grow runs."""
+    relations, found = tables(spark, sf, "orders", "lineitem", "customer"), []
+    for other, key in (("lineitem", ("o_orderkey", "l_orderkey")), ("customer", ("o_custkey", "c_custkey"))):
+        plan = plan_join({"inputs": [_input("orders", "o", ["o_orderkey"]), _input(other, "x", (), "inner", "o", [key])]}, relations)
+        try:
+            found.append((other, False, checked_join(plan).rows.count()))
+        except Refused as refused:
+            found.append((other, True, refused.review.estimated_rows))
+    return spark.createDataFrame(found, "joined string, refused boolean, rows long")
+
+
 @register("join_unprobed", """
 SELECT o.o_orderkey, c.c_name FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey""")
 def join_unprobed(spark, sf):
