@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from siftwell.functions.values import plain_rows
 from siftwell.operators.groups import distinct_values, frequencies, pick_values, pivot
-from siftwell.operators.rows import (keyed_sample, page, preview_head, preview_sample, project, slice_rows)
+from siftwell.operators.rows import (keyed_sample, page, preview_head, preview_sample, project, slice_rows,
+                                      sort_shown)
 
 from .base import cond, group, register, rounded, table
 
@@ -87,6 +88,40 @@ def page_deep(spark, sf):
     return page(df, 23, 5000, "event_id").rows
 
 
+@register("page_deep_of_a_hot_value", """
+SELECT l_returnflag, l_orderkey, l_linenumber, v FROM lineitem, (SELECT unnest([1,2,3,4,5,6,7,8]) AS v)
+ORDER BY l_returnflag DESC, l_orderkey, l_linenumber, v LIMIT 5000 OFFSET 110000""")
+def page_deep_of_a_hot_value(spark, sf):
+    """Three values share the sort column; the page lies within one of them or across two."""
+    v = F.explode(F.array(*[F.lit(i) for i in range(1, 9)])).alias("v")
+    return page(table(spark, sf, "lineitem").select("l_returnflag", "l_orderkey", "l_linenumber", v), 23, 5000,
+                "l_returnflag", desc=True).rows
+
+
+@register("shown_rows_sorted", """
+SELECT label, row_number() OVER (ORDER BY o_orderkey % 2, o_orderkey) - 1 AS place
+FROM (SELECT o_orderkey, CASE o_orderkey % 2 WHEN 0 THEN 'a' ELSE 'B' END || o_orderkey || '/x' AS label FROM orders WHERE o_orderkey < 500)""")
+def shown_rows_sorted(spark, sf):
+    """A shown page in natural order: a2 before a10 before B1."""
+    k = F.col("o_orderkey")
+    label = F.concat(F.when(k % 2 == 0, "a").otherwise("B"), k.cast("string"), F.lit("/x"))
+    shown = page(table(spark, sf, "orders"), 1, 500, "o_orderkey").rows.select(label.alias("label"))
+    return sort_shown(shown, "label").limit(500).withColumn("place", F.monotonically_increasing_id())
+
+
+@register("preview_sample_checked", """
+SELECT least(500, count(*)) AS rows, least(500, count(*)) AS different, true AS all_stored, true AS again, count(*) <= 500 AS same_as_next
+FROM orders""")
+def preview_sample_checked(spark, sf):
+    """A sample has its size, no row twice, only stored rows, and its seed's rows each time."""
+    path, stored = f"{sf}/orders.parquet", table(spark, sf, "orders")
+    one, two, other = (preview_sample(spark, path, 500, seed) for seed in (4, 4, 5))
+    keys = [sorted(r["o_orderkey"] for r in s.select("o_orderkey").collect()) for s in (one, two, other)]
+    known = one.join(stored, one["o_orderkey"] == stored["o_orderkey"], "left_semi").count()
+    return spark.createDataFrame([(len(keys[0]), len(set(keys[0])), known == len(keys[0]), keys[0] == keys[1], keys[0] == keys[2])],
+                                 "rows long, different long, all_stored boolean, again boolean, same_as_next boolean")
+
+
 @register("page_totals", """
 SELECT count(*) AS total, CAST(greatest(1, ceil(count(*) / 500.0)) AS BIGINT) AS pages FROM orders""")
 def page_totals(spark, sf):

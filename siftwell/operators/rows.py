@@ -2,21 +2,27 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 from typing import NamedTuple
 from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import SpecError
-from ..functions.columns import TEXT, col, family, field, nulls_last, orderable
+from ..functions.columns import TEXT, col, combine, family, field, nulls_last, orderable
 from ..functions.predicates import where
 from ..session import written
 
 MAX_PAGE = 5_000
-# A page ending past this many rows is found by position: keeping that many
-# rows per task just to drop most of them would not scale.
+# A page ending past this many rows is found by rank: keeping that many rows
+# per task just to drop most of them would not scale.
 DEEP_PAGE = 100_000
+# Values a rank search cuts a column at, rows it draws them from, and how much
+# of a text it looks at: first, then where that tells too little apart.
+CUTS, DRAWN, TEXT_CUT, LONGEST_CUT = 63, 4_096, 32, 4_096
 
 
 def project(df: DataFrame, columns=None) -> DataFrame:
@@ -100,10 +106,90 @@ def page(df: DataFrame, number: int = 1, size: int = 500,
     elif first >= total:
         rows = ordered.limit(0)
     else:
-        rows = _by_position(ordered, first, size)
+        rows = _by_rank(df, lead, desc, first, min(size, total - first), total)
     return Page(rows, total, max(1, -(-total // size)), number, size)
 
 
+def _by_rank(df: DataFrame, lead: str, desc: bool, first: int, size: int, total: int) -> DataFrame:
+    """Rows [first, first+size) of a sorted frame, sorting only near them.
+
+    The sort columns are searched one after another for the values between
+    which the page lies; counts say exactly how many rows come before. What is
+    left has at most ``DEEP_PAGE`` rows, or the page starts so early in it, that
+    a plain top rows' sort does the rest. Nothing is written and no row moves
+    that is not near the page.
+    """
+    ties = [c for c in df.columns if c != lead and orderable(df.schema[c].dataType)]
+    found = _pieces(df, [(lead, desc), *((c, False) for c in ties)], 0, first, size, total, TEXT_CUT)
+    return sort_rows(functools.reduce(DataFrame.unionByName, found), lead, desc)
+
+
+def _pieces(df: DataFrame, keys, level: int, first: int, size: int, rows: int, width: int) -> list[DataFrame]:
+    """The page as frames, one for each stretch of the sort order it touches.
+
+    ``df`` holds ``rows`` rows that are equal in the first ``level`` keys.
+    """
+    ordered = sort_rows(df, *keys[0])
+    if rows <= DEEP_PAGE or first + size <= DEEP_PAGE:
+        return [ordered.offset(first).limit(size)]
+    if level == len(keys) and len(keys) == len(df.columns):
+        return [df.limit(size)]    # the same row over and over
+    if level == len(keys) or isinstance(df.schema[keys[level][0]].dataType, (T.StructType, T.ArrayType)):
+        return [_by_position(ordered, first, size)]
+    name, desc = keys[level]
+    out = []
+    for held, skipped, wanted, n, alone in _stretches(df, name, desc, first, size, rows, width):
+        part = df.filter(held)
+        if n == rows and not alone and width >= LONGEST_CUT:
+            out.append(_by_position(ordered, first, size))
+        elif alone:
+            out += _pieces(part, keys, level + 1, skipped, wanted, n, TEXT_CUT)
+        else:
+            out += _pieces(part, keys, level, skipped, wanted, n, width if n < rows else width * 8)
+    return out
+
+
+def _stretches(df: DataFrame, name: str, desc: bool, first: int, size: int, rows: int, width: int) -> list[tuple]:
+    """(condition, rows to skip, rows to take, rows, one value only) of each
+    stretch of a column's order that the page touches, in order.
+
+    A drawn few values cut the column; each is a stretch of its own, and so is
+    what lies between two of them, so a value held by a third of all rows is
+    set apart at once. The draw only chooses the cuts: counts are exact.
+    """
+    dtype, c = df.schema[name].dataType, col(name)
+    shown = F.substring(c, 1, width) if isinstance(dtype, (T.StringType, T.BinaryType)) else c
+    drawn = (df.filter(c.isNotNull() & (F.rand(rows) < min(1.0, DRAWN / rows))).select(shown.alias("v"))
+             .orderBy("v").collect())
+    cuts = list(dict.fromkeys(bytes(v) if isinstance(v, bytearray) else v for v, in drawn[::max(1, len(drawn) // CUTS)]))
+    cuts = [F.lit(v).cast(dtype) for v in cuts]
+    if cuts:
+        place = combine(operator.add, [(c >= v).cast("int") + (c > v).cast("int") for v in cuts])
+    else:
+        place = F.when(c.isNotNull(), F.lit(0))
+    counted = df.groupBy(place.alias("at")).agg(F.count(F.lit(1)).alias("n"), F.min(c).eqNullSafe(F.max(c)).alias("alone"))
+
+    def held(at):
+        if at is None:
+            return c.isNull()
+        if at % 2:
+            return c == cuts[at // 2]
+        sides = ([c > cuts[at // 2 - 1]] if at else []) + ([c < cuts[at // 2]] if at // 2 < len(cuts) else [])
+        return combine(operator.and_, [c.isNotNull(), *sides])
+
+    out, start = [], 0
+    for r in sorted(counted.collect(), key=lambda r: (r["at"] is None, (-1 if desc else 1) * (r["at"] or 0))):
+        lo, hi = max(first, start), min(first + size, start + r["n"])
+        if lo < hi:
+            before = out[-1] if out else None
+            if before and before[3] + r["n"] <= DEEP_PAGE:    # small neighbours are sorted together
+                out[-1] = (before[0] | held(r["at"]), before[1], before[2] + hi - lo, before[3] + r["n"], False)
+            else:
+                out.append((held(r["at"]), lo - start, hi - lo, r["n"], r["alone"]))
+        start += r["n"]
+    return out
+
+
 def _by_position(ordered: DataFrame, first: int, size: int) -> DataFrame:
     """Rows [first, first+size) of a sorted frame, through its partition sizes.
 

@@ -47,6 +47,23 @@ def test_pages_cover_everything_once(spark, monkeypatch):
             rows.page(df, *bad)
 
 
+def test_deep_pages_by_rank(spark, monkeypatch, tmp_path):
+    """Hot values, blanks, NaN, texts alike for longer than a cut, repeated rows and a column without an order."""
+    long = "x" * 5_000
+    made = [(i, "hot" if i % 3 else None if i % 5 == 0 else f"{long}{i % 7}", float("nan") if i % 11 == 0 else i % 4 / 2, i % 2 == 0)
+            for i in range(600)] + [(7, "hot", 0.5, True)] * 300
+    path = str(tmp_path / "rows")
+    spark.createDataFrame(made, "i int, t string, x double, b boolean").repartition(3).write.parquet(path)
+    df = spark.read.parquet(path)
+    monkeypatch.setattr(rows, "CUTS", 5)
+    monkeypatch.setattr(rows, "written", lambda d: pytest.fail("a rank search writes nothing"))
+    for lead, desc in (("t", True), ("t", False), ("x", True), ("i", False)):
+        whole = [str(r) for r in rows.sort_rows(df, lead, desc).collect()]
+        monkeypatch.setattr(rows, "DEEP_PAGE", 40)
+        for number in (3, 8):
+            assert [str(r) for r in rows.page(df, number, 100, lead, desc).rows.collect()] == whole[100 * number - 100:100 * number]
+
+
 def test_shown_rows_sort_naturally(spark):
     df = spark.createDataFrame([("a10", 2), ("B1", None), ("a2", 10), (None, 1), ("a2b3", 5), ("a02", 7)], "t string, n int")
 
