@@ -308,27 +308,45 @@ def _missing(facts: _Facts) -> list[Missing]:
 
 
 def _duplicates(df: DataFrame, facts: _Facts) -> list[Duplicates]:
-    out = []
     gate = KEY_UNIQUE_RATIO * (1 - SKETCH_SLACK)
-    for c, f in facts.columns.items():
-        if f["family"] not in (TEXT, NUMBER) or not f["n"] or f["distinct"] < gate * f["n"]:
-            continue
-        repeats = F.col("__n") > 1
-        row = (_key_counts(df, c).agg(
-            F.count(F.lit(1)).alias("distinct"), F.count_if(repeats).alias("values"),
-            F.sum(F.when(repeats, F.col("__n"))).alias("rows"),
-            F.min(F.when(repeats, F.struct((-F.col("__n")).alias("n"), F.col("__key").alias("key"))))
-            .alias("worst"))).first()
-        if row["distinct"] < KEY_UNIQUE_RATIO * f["n"] or not row["values"]:
-            continue
-        worst = Counted(_value_of(df, c, row["worst"]["key"]), -row["worst"]["n"])
-        out.append(Duplicates(
-            c, row["rows"],
-            f"{c}: {row['values']:,} values repeat, over {row['rows']:,} rows; "
-            f"{worst.value} occurs {worst.count:,} times", row["values"], worst))
+    close = [c for c, f in facts.columns.items()
+             if f["family"] in (TEXT, NUMBER) and f["n"] and f["distinct"] >= gate * f["n"]]
+    out = []
+    for batch in batches(close):
+        for c, row in _repeats(df, batch).items():
+            if row["distinct"] < KEY_UNIQUE_RATIO * facts.columns[c]["n"] or not row["values"]:
+                continue
+            key = next(v for k, v in row["worst"].asDict().items() if k != "n" and v is not None)
+            worst = Counted(_value_of(df, c, key), -row["worst"]["n"])
+            out.append(Duplicates(
+                c, row["rows"],
+                f"{c}: {row['values']:,} values repeat, over {row['rows']:,} rows; "
+                f"{worst.value} occurs {worst.count:,} times", row["values"], worst))
     return out
 
 
+def _repeats(df: DataFrame, columns: list[str]) -> dict:
+    """Distinct and repeated values of several columns, counted in one shuffle.
+
+    A row of it is (column, value), the value in the field of its own type, so
+    values keep their order and equality whatever the other columns hold.
+    """
+    types = {c: df.schema[c].dataType for c in columns}
+    kinds = list(dict.fromkeys(t.simpleString() for t in types.values()))
+    slots = [f"k{i}" for i in range(len(kinds))]
+    entries = [F.struct(F.lit(i).alias("i"), *(
+        (group_key(c, types[c]) if types[c].simpleString() == kind else F.lit(None)).cast(kind).alias(slot)
+        for slot, kind in zip(slots, kinds))) for i, c in enumerate(columns)]
+    counted = (df.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
+               .filter(combine(operator.or_, [F.col(k).isNotNull() for k in slots]))
+               .groupBy("i", *slots).agg(F.count(F.lit(1)).alias("n")))
+    again = F.col("n") > 1
+    found = counted.groupBy("i").agg(
+        F.count(F.lit(1)).alias("distinct"), F.count_if(again).alias("values"), F.sum(F.when(again, F.col("n"))).alias("rows"),
+        F.min(F.when(again, F.struct((-F.col("n")).alias("n"), *slots))).alias("worst"))
+    return {columns[r["i"]]: r for r in found.orderBy("i").collect()}
+
+
 def _value_of(df: DataFrame, column: str, key):
     """The value a group key stands for; looked up only for a digest."""
     if not (isinstance(key, str) and key.startswith("sha256:")):
