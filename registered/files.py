@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from siftwell.session import scratch_path
@@ -295,3 +297,48 @@ SELECT count(*) AS rows, CASE WHEN count(*) >= 100000000 THEN 'block' WHEN count
 def export_review(spark, sf):
     rows = table(spark, sf, "lineitem").count()
     return spark.createDataFrame([(rows, sinks.review_export(rows, "csv").verdict)], "rows long, verdict string")
+
+
+@register("store_rejects_listed", """
+SELECT 'customer' AS column_name, 'CAST' AS error_type, o_orderkey || ',lost,1.5' AS csv_line, total FROM orders, t
+WHERE o_orderkey % 50 = 3
+UNION ALL SELECT 'priority', 'MISSING COLUMNS', o_orderkey || ',lost,1.5', total FROM orders, t WHERE o_orderkey % 50 = 3
+UNION ALL SELECT NULL, 'TOO MANY COLUMNS', o_orderkey || ',' || o_custkey || ',' || CASE WHEN o_orderkey % 7 <> 0
+  THEN CAST(o_totalprice AS VARCHAR) ELSE '' END || ',' || o_orderpriority || ',x,y', total
+FROM orders, (SELECT unnest([1, 2]) AS i), t WHERE o_orderkey % 50 = 4""".replace("\nSELECT 'customer'", """
+WITH t AS (SELECT 2 * count(*) AS total FROM orders WHERE o_orderkey % 50 IN (3, 4)) SELECT 'customer'""", 1))
+def store_rejects_listed(spark, sf):
+    """The refused records of a loaded source, beside the number of them that the store keeps."""
+    store = Store(spark, scratch_path(spark, "store"))
+    store.load(_dirty(spark, sf), "dirty")
+    listed = store.rejects("dirty", 10_000).rows
+    return listed.select("column_name", "error_type", "csv_line", F.lit(store.count_rejects("dirty")).cast("long").alias("total"))
+
+
+@register("store_reload_impact", """
+SELECT * FROM (VALUES ('orders', true, 'best_prices'), ('orders', true, 'prices'), ('parcels', false, NULL)) v(name, loaded, stale)""")
+def store_reload_impact(spark, sf):
+    """What loading a name again would turn stale: two slices, or nothing for a new name."""
+    store = _store(spark, sf)
+    known, new = store.reload_impact("orders"), store.reload_impact("parcels")
+    rows = known.turns_stale.select(F.lit(known.name).alias("name"), F.lit(known.already_loaded).alias("loaded"),
+                                    F.col("name").alias("stale"))
+    return rows.unionByName(spark.createDataFrame([(new.name, new.already_loaded, None)], "name string, loaded boolean, stale string"))
+
+
+@register("store_snapshot_outlives_vacuum", f"""
+SELECT customer, price, 'restored' AS held FROM {_ORDER_TEXT}
+UNION ALL SELECT customer, price, 'today' FROM {_ORDER_TEXT} WHERE price > 100000""")
+def store_snapshot_outlives_vacuum(spark, sf):
+    """A snapshot names version folders and copies none; those that it names survive a clearing, others do not."""
+    store = _store(spark, sf)
+    stamp = store.snapshot()
+    for _ in range(2):    # the first of these two versions is nobody's afterwards
+        store.save(store.query({"mode": "slice", "relation": "orders", "columns": ["customer", "price"],
+                                "filters": {"kind": "cond", "column": "price", "op": ">", "value": 100000}}), "prices")
+    gone = store.vacuum(dt.timedelta(0))
+    if len(gone) != 1:
+        raise AssertionError(f"one version was nobody's, {len(gone)} were removed")
+    back = store.restore(stamp, scratch_path(spark, "restored"))
+    return (back.table("prices").withColumn("held", F.lit("restored"))
+            .unionByName(store.table("prices").withColumn("held", F.lit("today"))))

@@ -9,6 +9,7 @@ only after its data is complete. One writer at a time is assumed.
 from __future__ import annotations
 
 import datetime as dt
+import functools
 import json
 import re
 import time
@@ -32,7 +33,10 @@ REGISTRY = {
     "slices": ("name string, source string, source_csv string, parquet_path string, "
                "created_at timestamp_ntz, n_rows long, spec string, owner string, inputs array<string>"),
     "queries": ("name string, spec string, owner string, created_at timestamp_ntz"),
+    # Stores restored from this one, which read its version folders.
+    "holders": "name string",
 }
+SNAPSHOT = ("sources", "slices", "queries")
 _ENTRY = ", version long, dropped boolean"
 
 
@@ -61,6 +65,10 @@ class Impact:
     turns_stale: DataFrame | None
 
 
+def _said_by(root: str):
+    return lambda held: F.concat(F.lit(f"{root}: "), held)
+
+
 class _Opened(Mapping):
     """DataFrames by name over known paths, each opened on first use."""
 
@@ -215,13 +223,13 @@ class Store:
         return rows
 
     def save_query(self, name: str, spec: dict, owner: str | None = None) -> None:
-        """Keep a spec under a name, after checking that it builds today."""
-        name = " ".join((name or "").split())
-        if not name:
-            raise SpecError("a saved query needs a name")
-        kept = saveable(spec)
-        self.query(kept, confirm=True)
-        self._record("queries", name=name, spec=json.dumps(kept), owner=owner, created_at=_now())
+        """Keep the spec of a query that today's relations can answer."""
+        title = re.sub(r"\s+", " ", name or "").strip()
+        if not title:
+            raise SpecError("there is no name to keep the query under")
+        answered = self.query(saveable(spec), confirm=True)
+        self._record("queries", name=title, owner=owner, created_at=_now(),
+                     spec=json.dumps(answered.spec, sort_keys=True))
 
     def run_saved(self, name: str, confirm: bool = False) -> Query:
         entry = self._entry("queries", name)
@@ -286,18 +294,62 @@ class Store:
     # ----------------------------------------------------------- snapshots
 
     def snapshot(self) -> str:
-        """Copy the registry and every slice. Sources are not copied: they can
-        be loaded again from their CSV."""
+        """Keep the registry as it is. Version folders are never written again,
+        so a snapshot names them and copies none; ``vacuum`` spares them."""
         stamp = f"{_now():%Y%m%d-%H%M%S-%f}"
-        target = f"{self.root}/snapshots/{stamp}"
-        for r in self.registry("slices").collect():
-            self.spark.read.parquet(r["parquet_path"]).write.option("compression", "zstd").parquet(
-                f"{target}/slices/{r['name']}")
-        # The registry goes last: a snapshot without one is not complete.
-        for table in REGISTRY:
-            self.registry(table).write.parquet(f"{target}/registry/{table}")
+        for table in SNAPSHOT:    # one without its last table is not complete
+            self.registry(table).coalesce(1).write.parquet(f"{self.root}/snapshots/{stamp}/registry/{table}")
         return stamp
 
+    def _kept(self, stamp: str, table: str) -> DataFrame:
+        return self.spark.read.schema(REGISTRY[table]).parquet(f"{self.root}/snapshots/{stamp}/registry/{table}")
+
+    def drop_snapshot(self, stamp: str) -> None:
+        """Forget a snapshot; what only it held goes with the next ``vacuum``."""
+        self._snapshot(stamp)
+        target, fs = self._fs(f"{self.root}/snapshots/{stamp}")
+        fs.delete(target, True)
+
+    def _snapshot(self, stamp: str) -> str:
+        if not stamp or "/" in stamp or not self._exists(f"{self.root}/snapshots/{stamp}/registry/{SNAPSHOT[-1]}/_SUCCESS"):
+            raise SpecError(f"no complete snapshot is called {stamp!r}")
+        return stamp
+
+    def references(self) -> DataFrame:
+        """(path, held_by, times): each version folder that is still needed,
+        and by what: this store, a snapshot of it, or a store restored from one."""
+        held = [(self.root, self.registry("slices"), self.registry("sources"))]
+        held += [(f"snapshot {s['name']}", self._kept(s["name"], "slices"), self._kept(s["name"], "sources"))
+                 for s in self.snapshots()]
+        parts = [part.select(F.lit(by).alias("by"), F.col(path).alias("path"))
+                 for by, slices, sources in held
+                 for part, path in ((slices, "parquet_path"), (sources, "parquet_path"), (sources, "rejects_path"))]
+        for other in self.registry("holders").collect():
+            parts.append(Store(self.spark, other["name"]).references()
+                         .select(F.explode(F.transform("held_by", _said_by(other["name"]))).alias("by"), "path"))
+        every = functools.reduce(DataFrame.unionByName, parts).filter(F.col("path").isNotNull())
+        return every.groupBy("path").agg(F.array_sort(F.collect_set("by")).alias("held_by")).withColumn(
+            "times", F.size("held_by"))
+
+    def vacuum(self, older_than: dt.timedelta = dt.timedelta(days=7)) -> list[str]:
+        """Remove version folders that nothing refers to and name them. Younger
+        ones stay: a save may be under way, or a reader still at work."""
+        needed = {r["path"] for r in self.references().select("path").collect()}
+        limit, gone = f"{_now() - older_than:%Y%m%dT%H%M%S}", []
+        for kind in ("sources", "slices", "rejects"):
+            for name in self._inside(f"{self.root}/{kind}"):
+                for version in self._inside(f"{self.root}/{kind}/{name}"):
+                    path = f"{self.root}/{kind}/{name}/{version}"
+                    if path not in needed and version.split("-")[0] <= limit:
+                        target, fs = self._fs(path)
+                        fs.delete(target, True)
+                        gone.append(path)
+        return sorted(gone)
+
+    def _inside(self, path: str) -> list[str]:
+        folder, fs = self._fs(path)
+        return [s.getPath().getName() for s in fs.listStatus(folder) if s.isDirectory()] if fs.exists(folder) else []
+
     def snapshots(self) -> list[dict]:
         """Complete snapshots, newest first: name, files, bytes, created."""
         folder, fs = self._fs(f"{self.root}/snapshots")
@@ -306,7 +358,7 @@ class Store:
         out = []
         for status in fs.listStatus(folder):
             path = status.getPath()
-            if not self._exists(f"{path}/registry/queries/_SUCCESS"):
+            if not self._exists(f"{path}/registry/{SNAPSHOT[-1]}/_SUCCESS"):
                 continue
             held = fs.getContentSummary(path)
             out.append({"name": path.getName(), "files": held.getFileCount(), "bytes": held.getLength(),
@@ -314,19 +366,14 @@ class Store:
         return sorted(out, key=lambda s: s["name"], reverse=True)
 
     def restore(self, stamp: str, root: str) -> "Store":
-        """A new store at ``root`` holding what the snapshot held."""
-        origin = f"{self.root}/snapshots/{stamp}"
-        if not self._exists(f"{origin}/registry/queries/_SUCCESS"):
-            raise SpecError(f"no complete snapshot is called {stamp!r}")
+        """A new store at ``root`` holding what the snapshot held. It reads this
+        store's version folders, which are kept for as long as it needs them."""
+        self._snapshot(stamp)
         fresh = Store(self.spark, root)
-        if fresh._exists(fresh._log("sources")) or fresh._exists(fresh._log("slices")):
+        if any(fresh._exists(fresh._log(table)) for table in REGISTRY):
             raise SpecError(f"{root} already holds a store")
-        for table, schema in REGISTRY.items():
-            for r in self.spark.read.schema(schema).parquet(f"{origin}/registry/{table}").collect():
-                entry = r.asDict()
-                if table == "slices":
-                    entry["parquet_path"] = fresh._new_dir("slices", r["name"])
-                    self.spark.read.parquet(f"{origin}/slices/{r['name']}").write.option(
-                        "compression", "zstd").parquet(entry["parquet_path"])
-                fresh._record(table, **entry)
+        self._record("holders", name=fresh.root)
+        for table in SNAPSHOT:
+            for entry in self._kept(stamp, table).collect():
+                fresh._record(table, **entry.asDict())
         return fresh
