@@ -127,6 +127,37 @@ def profile_top(spark, sf):
     return profile(table(spark, sf, "part")).top_frame(spark)
 
 
+_GRADES = """(SELECT CASE WHEN o_orderkey < 30 THEN 'rare ' || (o_orderkey // 3) ELSE o_orderpriority END AS grade, o_orderstatus AS status
+  FROM orders)"""
+
+
+@register("profile_rare", f"""
+SELECT 'grade' AS name, count(*) FILTER (n <= 5) AS rare FROM (SELECT count(*) AS n FROM {_GRADES} GROUP BY grade)
+UNION ALL SELECT 'status', count(*) FILTER (n <= 5) FROM (SELECT count(*) AS n FROM {_GRADES} GROUP BY status)""")
+def profile_rare(spark, sf):
+    """How many values of a column occur five times or fewer."""
+    k = F.col("o_orderkey")
+    grade = F.when(k < 30, F.concat(F.lit("rare "), F.floor(k / 3).cast("string"))).otherwise(F.col("o_orderpriority"))
+    found = profile(table(spark, sf, "orders").select(grade.alias("grade"), F.col("o_orderstatus").alias("status")))
+    return spark.createDataFrame([(c.name, c.rare) for c in found.columns], "name string, rare long")
+
+
+@register("profile_approximate", " UNION ALL ".join(f"""
+SELECT '{c}' AS name, true AS labelled, true AS distinct_near, true AS median_near FROM (SELECT 1) WHERE EXISTS (SELECT 1 FROM lineitem)"""
+                                                    for c in NUMBERS))
+def profile_approximate(spark, sf):
+    """Sketched distinct counts and quartiles are labelled, and near what is exact: an eighth of it, a hundredth of the rows."""
+    lines = table(spark, sf, "lineitem").select(*NUMBERS)
+    quick, exact = profile(lines, approximate=True), {c.name: c for c in profile(lines).columns}
+    below = {c.name: F.count_if(F.col(c.name) < c.median) / c.non_null for c in quick.columns}
+    upto = {c.name: F.count_if(F.col(c.name) <= c.median) / c.non_null for c in quick.columns}
+    share = lines.agg(*(v.alias(f"b_{n}") for n, v in below.items()), *(v.alias(f"u_{n}") for n, v in upto.items())).first()
+    return spark.createDataFrame([
+        (c.name, c.distinct_approx and c.quartiles_approx, abs(c.distinct - exact[c.name].distinct) * 8 <= exact[c.name].distinct,
+         share[f"b_{c.name}"] <= 0.51 and share[f"u_{c.name}"] >= 0.49) for c in quick.columns],
+        "name string, labelled boolean, distinct_near boolean, median_near boolean")
+
+
 @register("profile_all_columns_of_documents")
 def profile_documents(spark, sf):
     return profile(table(spark, sf, "documents")).columns_frame(spark)
