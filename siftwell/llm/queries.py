@@ -50,13 +50,16 @@ def op4(spark, sf_dir):
     return licences.scan(table(spark, sf_dir, "documents"))
 
 
+def _of_rank(spans, rank):
+    # The rank by closure: Spark would fill a second argument of the lambda with the element's index.
+    return F.size(F.filter(spans, lambda s: s["rank"] == rank)).cast("long")
+
+
 @register("op5_secret_scan")
 def op5(spark, sf_dir):
     found = credentials.find(table(spark, sf_dir, "documents"))
     spans, base = F.col("spans"), F.filter("spans", lambda s: s["rank"] <= len(credentials.BASE))
-    counts = {f"n_{k}": F.size(F.filter(spans, lambda s, r=r: s["rank"] == r)).cast("long")
-              for r, k in enumerate(credentials.BASE, 1)}
-    return found.select("doc_id", *[c.alias(n) for n, c in counts.items()],
+    return found.select("doc_id", *[_of_rank(spans, r).alias(f"n_{k}") for r, k in enumerate(credentials.BASE, 1)],
                         F.sha2(credentials.listed(base), 256).alias("base_sha256"),
                         credentials.listed(spans).alias("spans"))
 
