@@ -15,12 +15,11 @@ a pair is farther apart with a probability of 3e-7; that is the only loss.
 * A key of at most ``SMALL`` sets compares its signatures directly.
 * In a larger one every set first meets the key's hub, the set that has most in
   common with others; what is linked becomes a component, so n copies of a text
-  cost n comparisons. Sets in reach of the hub but not linked with it can only
-  be linked with sets that share edits of the hub with them (``setpairs.edits``):
-  they meet by those. Sets out of the hub's reach meet all others of the key if
-  they are few; if they are many, the key is opened by a second chunk (the
-  pigeonhole promises one further on), which parts sets that merely share a passage.
-* Pairs in reach are confirmed on the whole sets (``setpairs``), and links are
+  cost n comparisons. Sets of large keys that are still apart meet by their
+  rarest shingles (``setpairs.sharing_rare``), of which similar sets must share
+  one: sets with no more in common than a passage, or than the text they are
+  all edited from, do not meet, and sets of one component need not.
+* Pairs are confirmed on the whole sets (``setpairs``), and links are
   joined into components by alternating stars. Equal sets are one class from
   the start; links between different texts of a component are implied by it.
 
@@ -50,7 +49,7 @@ SHINGLE = 3
 PERCENT = 85
 CHUNKS, WIDTH = 17, 5
 FARTHEST = 2 * (CHUNKS - 1) - 1
-#: Sets of a key that are compared with each other at once; sets left outside that meet all of their key.
+#: Sets of a key that are compared with each other at once.
 SMALL = 64
 BLOCK = 2048
 
@@ -70,12 +69,12 @@ def signature(own: np.ndarray) -> np.ndarray:
     return ((least * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype(np.uint16)
 
 
-def chunk_keys(symbols: np.ndarray, chunk: int, salt: np.ndarray | None = None) -> np.ndarray:
-    """(sets, WIDTH) keys of one chunk: its symbols without each one in turn, under ``salt``."""
+def chunk_keys(symbols: np.ndarray, chunk: int) -> np.ndarray:
+    """(sets, WIDTH) keys of one chunk: its symbols without each one in turn."""
     own = symbols[:, chunk * WIDTH:(chunk + 1) * WIDTH].astype(np.uint64)
     out = np.empty((len(own), WIDTH), np.uint64)
     for gone in range(WIDTH):
-        key = np.full(len(own), 1 + chunk * WIDTH + gone, np.uint64) if salt is None else salt + np.uint64(1 + chunk * WIDTH + gone)
+        key = np.full(len(own), 1 + chunk * WIDTH + gone, np.uint64)
         for j in range(WIDTH):
             if j != gone:
                 key = (key ^ (key >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + own[:, j] + np.uint64(1)
@@ -103,17 +102,16 @@ def prints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int =
 
 
 def keyed(reps: DataFrame) -> DataFrame:
-    """(key, chunk, sid) for every chunk and symbol left out."""
+    """(key, sid) for every chunk and symbol left out."""
     def run(batches):
         for b in batches:
             sig, sid = _symbols(b.column(1)), b.column(0).to_numpy()
             for at in range(0, len(sid), BLOCK):
                 keys = np.concatenate([chunk_keys(sig[at:at + BLOCK], c) for c in range(CHUNKS - 1)], axis=1)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys.ravel().view(np.int64)), pa.array(np.tile(np.repeat(np.arange(CHUNKS - 1, dtype=np.int32), WIDTH), len(keys))),
-                     pa.array(np.repeat(sid[at:at + BLOCK], keys.shape[1]))], ["key", "chunk", "sid"])
+                    [pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(sid[at:at + BLOCK], keys.shape[1]))], ["key", "sid"])
 
-    return reps.select("sid", "sig").mapInArrow(run, "key long, chunk int, sid long")
+    return reps.select("sid", "sig").mapInArrow(run, "key long, sid long")
 
 
 def _close(nu, nv, su, sv, percent: int) -> np.ndarray:
@@ -157,74 +155,16 @@ def pairs_within(members: DataFrame, percent: int) -> DataFrame:
             .mapInArrow(run, "u long, v long").distinct())
 
 
-def aimed_at(members: DataFrame, hubs: DataFrame, percent: int) -> DataFrame:
-    """(key, chunk, sid, hub, near, away) of every member: whether it is in reach of its key's hub, and its signature's distance."""
-    def run(batches):
-        for b in batches:
-            nu, nv = b.column(3).to_numpy(), b.column(6).to_numpy()
-            away = np.count_nonzero(_symbols(b.column(4)) != _symbols(b.column(7)), axis=1)
-            near = (away <= FARTHEST) & (np.minimum(nu, nv) * 100 >= np.maximum(nu, nv) * percent)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), b.column(5), pa.array(near), pa.array(away, pa.int32())],
-                                             ["key", "chunk", "sid", "hub", "near", "away"])
-
-    joined = members.join(hubs, "key").select("key", "chunk", "sid", "n", "sig", *[F.col(f"hub.{c}").alias(f"hub_{c}") for c in ("sid", "n", "sig")])
-    return joined.mapInArrow(run, "key long, chunk int, sid long, hub long, near boolean, away int")
-
-
-def pairs_in_reach(far: DataFrame, others: DataFrame, percent: int) -> DataFrame:
-    """(u, v) in reach between far members (key, sid, n, sig, root, away) and any others of their key, of different components.
-
-    Distances of signatures keep the triangle bound: two members whose distances from the hub differ by more than
-    ``FARTHEST`` are not in reach of each other.
-    """
+def stars(members: DataFrame, hubs: DataFrame, percent: int) -> DataFrame:
+    """(u, v) of every member (key, sid, n, sig) in reach of its key's hub, with that hub."""
     def run(batches):
         for b in batches:
             u, nu, v, nv = (b.column(i).to_numpy() for i in (0, 1, 3, 4))
             fits = _close(nu, nv, _symbols(b.column(2)), _symbols(b.column(5)), percent)
             yield _pair_batch(u[fits], v[fits])
 
-    a, o = far.alias("a"), others.alias("o")
-    return (a.join(o, "key").where((F.col("a.root") != F.col("o.root")) & (~F.col("o.far") | (F.col("a.sid") > F.col("o.sid")))
-                                   & (F.abs(F.col("a.away") - F.col("o.away")) <= FARTHEST)
-                                   & (F.least("a.n", "o.n") * 100 >= F.greatest("a.n", "o.n") * percent))
-            .select(*[F.col(f"{side}.{c}").alias(f"{side}_{c}") for side in "ao" for c in ("sid", "n", "sig")]).mapInArrow(run, "u long, v long").distinct())
-
-
-def _opened(members: DataFrame) -> DataFrame:
-    """Members of keys with many far ones, each under the keys of a second, later chunk."""
-    names = ["sid", "n", "sig", "root", "far", "away"]
-
-    def run(batches):
-        for b in batches:
-            sig, key, chunk = _symbols(b.column(4)), b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy()
-            for c in range(1, CHUNKS):
-                at = np.flatnonzero(chunk < c)
-                if len(at):
-                    keys = chunk_keys(sig[at], c, key[at])
-                    rows = b.take(pa.array(np.repeat(at, WIDTH)))
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), *[rows.column(rows.schema.get_field_index(x)) for x in names]],
-                                                     ["key", *names])
-
-    return members.select("key", "chunk", *names).mapInArrow(run, "key long, sid long, n long, sig binary, root long, far boolean, away int")
-
-
-def _edited_alike(aimed: DataFrame, roots: DataFrame, texts: DataFrame, percent: int, k: int) -> DataFrame:
-    """(u, v) of partners (hub, sid, root) of one hub that may be linked past it: one is not linked with the hub."""
-    partners = written(aimed.where("near and sid <> hub").select("hub", "sid", "root").distinct())
-    of_hub = roots.select(F.col("sid").alias("hub"), F.col("root").alias("hub_root"))
-    outside = partners.join(of_hub, "hub", "left").where(F.col("root") != F.coalesce("hub_root", "hub"))
-    outside = written(outside.select("hub", "sid", "root"))
-    if outside.isEmpty():
-        return outside.select(F.col("sid").alias("u"), F.col("sid").alias("v"))
-    near = partners.join(outside.select("hub").distinct(), "hub", "left_semi")
-    each = setpairs.edits(near.select(F.col("hub").alias("place"), "sid"), texts, percent, k)
-    each = written(each.join(near.select(F.col("hub").alias("place"), "sid", "root"), ["place", "sid"]))
-    x, y = each.where("weight > slack").alias("x"), each.alias("y")
-    need = F.col("x.weight") + F.col("y.weight") - F.col("x.slack")
-    met = x.join(y, ["place", "token"]).where((F.col("x.root") != F.col("y.root"))
-                                              & ((F.col("y.weight") <= F.col("y.slack")) | (F.col("x.sid") > F.col("y.sid")))
-                                              & (F.least("x.left", "y.left") * (100 + percent) >= need))
-    return met.select(F.greatest("x.sid", "y.sid").alias("u"), F.least("x.sid", "y.sid").alias("v")).distinct()
+    joined = members.join(hubs, "key").where(F.col("sid") != F.col("hub.sid"))
+    return joined.select("sid", "n", "sig", *[F.col(f"hub.{c}").alias(f"hub_{c}") for c in ("sid", "n", "sig")]).mapInArrow(run, "u long, v long")
 
 
 def links(reps: DataFrame, texts_of, percent: int = PERCENT, k: int = SHINGLE) -> DataFrame:
@@ -239,23 +179,16 @@ def links(reps: DataFrame, texts_of, percent: int = PERCENT, k: int = SHINGLE) -
     many = members.where(F.col("size") > SMALL)
     if many.isEmpty():
         return setpairs.confirmed(written(tried), texts, percent, k)
-    many = many.select("key", "chunk", "sid").join(facts, "sid")
+    many = many.select("key", "sid").join(facts, "sid")
     # The whole row of a hub joins later; only ids are compared here.
     hubs = many.groupBy("key").agg(F.max(F.struct("weight", "sid")).alias("m")).select("key", F.col("m.sid").alias("sid"))
     hubs = hubs.join(facts, "sid").select("key", F.struct("sid", "n", "sig").alias("hub"))
-    aimed = written(aimed_at(many, hubs, percent))
-    stars = aimed.where("near and sid <> hub").select(F.greatest("sid", "hub").alias("u"), F.least("sid", "hub").alias("v"))
-    tried = written(tried.union(stars).distinct())
+    tried = written(tried.union(stars(many, hubs, percent)).distinct())
     near = setpairs.confirmed(tried, texts, percent, k)
     roots = written(components(near)).withColumnRenamed("node", "sid")
-    held = written(aimed.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid")))
-    more = _edited_alike(held, roots, texts, percent, k)
-    far = held.where(~F.col("near")).groupBy("key").agg(F.count(F.lit(1)).alias("n_far"))
-    loose = held.join(far, "key").join(facts.select("sid", "n", "sig"), "sid").withColumn("far", ~F.col("near"))
-    direct, full = loose.where(F.col("n_far") <= SMALL), written(_opened(loose.where(F.col("n_far") > SMALL)))
-    for found in (direct, full):
-        more = more.union(pairs_in_reach(found.where("far"), found.select("key", "sid", "n", "sig", "root", "far", "away"), percent))
-    return near.union(setpairs.confirmed(written(more.distinct().join(tried, ["u", "v"], "left_anti")), texts, percent, k))
+    held = written(many.select("sid", "n").distinct().join(roots, "sid", "left").select("sid", "n", F.coalesce("root", "sid").alias("root")))
+    more = setpairs.sharing_rare(held, texts, percent, k).join(tried, ["u", "v"], "left_anti")
+    return near.union(setpairs.confirmed(written(more), texts, percent, k))
 
 
 def rooted(docs: DataFrame, percent: int, text: str, doc_id: str, k: int) -> tuple[DataFrame, DataFrame]:

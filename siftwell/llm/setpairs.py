@@ -3,7 +3,7 @@
 Pairs travel as ids. Texts move instead of sets (they compress, hashes do not)
 and only those of ids that stand in a pair: one text of each pair goes to the
 other's place, which makes both sets again, counts what they share and sends
-back the pairs that are similar enough, or what parts them. An id in many pairs is the place of
+back the pairs that are similar enough. An id in many pairs is the place of
 them all; its pairs are dealt over several tasks of ``PAIRS_EACH`` at most.
 """
 
@@ -12,7 +12,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwell.session import written
@@ -116,28 +116,33 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, k: int) -> DataF
     return written(_met(aimed, texts, (k, similar), "u long, v long"))
 
 
-def edits(aimed: DataFrame, texts: DataFrame, percent: int, k: int) -> DataFrame:
-    """(place, token, sid, left, weight, slack): what parts each partner from its place.
+def sharing_rare(sets: DataFrame, texts: DataFrame, percent: int, k: int) -> DataFrame:
+    """(u, v), u > v: all pairs of ``sets`` (sid, n, root) with different roots that can be similar enough.
 
-    Let x and y be partners of a place with n values, which lack a and add b
-    values each. By inclusion and exclusion they are similar enough only if
-    they share at least (w(x) + w(y) - slack) / (100 + percent) of these edits,
-    with w = 100 a + percent b and slack = (100 - percent) n; x is similar to
-    the place itself if w(x) <= slack. So a partner that is not similar to the
-    place can only be linked with one that has edits in common with it. Edits
-    are in one order, added values first, as those are rare; only so many of the
-    first are given as the first shared one can be among. ``left`` counts those
-    from it on.
+    Values are in one order for all sets, the rarest first; ``left`` is how many
+    of a set's values stand from one on, without those that no other set has
+    (they come first and are not kept). Similar sets x and y share at least
+    (n(x) + n(y)) percent / (100 + percent) values, so at the first one they
+    share both have as many left, and at least n percent / 100. That holds for
+    any order: this one keeps values that many sets share out of what meets.
+    Of a value's sets those of its commonest root meet the others only.
     """
-    def parted(place, mine, sid, held):
-        added, gone = np.setdiff1d(held, mine, assume_unique=True), np.setdiff1d(mine, held, assume_unique=True)
-        weight, slack = 100 * len(gone) + percent * len(added), (100 - percent) * len(mine)
-        token = np.concatenate([added, gone ^ np.uint64(0x9E3779B97F4A7C15)]).view(np.int64)
-        left = len(token) - np.arange(len(token))
-        first = int(np.count_nonzero(left * (100 + percent) >= (weight - slack if weight > slack else weight + 1)))
-        if first:
-            return pa.RecordBatch.from_arrays(
-                [pa.array(np.full(first, place)), pa.array(token[:first]), pa.array(np.full(first, sid)), pa.array(left[:first]),
-                 pa.array(np.full(first, weight)), pa.array(np.full(first, slack))], ["place", "token", "sid", "left", "weight", "slack"])
-
-    return _met(aimed, texts, (k, parted), "place long, token long, sid long, left long, weight long, slack long")
+    def values(batches):
+        for b in batches:
+            for sid, body in zip(b.column(0).to_pylist(), b.column(1)):
+                own = text_set(body.as_py(), k)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), sid)), pa.array(own.view(np.int64))], ["sid", "token"])
+
+    each = written(sets.select("sid").join(texts, "sid").select("sid", "body").mapInArrow(values, "sid long, token long"))
+    shared_by = written(each.groupBy("token").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1"))
+    from_end = Window.partitionBy("sid").orderBy(F.col("sets").desc(), F.col("token").desc())
+    ordered = each.join(shared_by, "token").withColumn("left", F.row_number().over(from_end)).select("sid", "token", "left")
+    first = ordered.join(sets, "sid").where(F.col("left") * 100 >= F.col("n") * percent).select("token", "sid", "n", "root", "left")
+    first = written(first)
+    common = first.groupBy("token", "root").count().groupBy("token").agg(
+        F.max(F.struct("count", "root"))["root"].alias("common"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+    first = written(first.join(common.select("token", "common"), "token").withColumn("other", F.col("root") != F.col("common")))
+    x, y = first.where("other").alias("x"), first.alias("y")
+    met = x.join(y, "token").where((F.col("x.root") != F.col("y.root")) & (~F.col("y.other") | (F.col("x.sid") > F.col("y.sid")))
+                                   & (F.least("x.left", "y.left") * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent))
+    return met.select(F.greatest("x.sid", "y.sid").alias("u"), F.least("x.sid", "y.sid").alias("v")).distinct()

@@ -97,3 +97,41 @@ def test_symbols_differ_as_often_as_sets_do():
         whole = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
         ratio.append(np.mean(minhash.signature(whole[:255]) != minhash.signature(whole)))
     assert abs(np.mean(ratio) - 0.15) < 0.01
+
+
+def test_sets_that_only_share_what_many_share_do_not_meet(spark):
+    """Edited copies of one text too far from each other, and texts around one passage: no pairs meet; those of a passage and little else do."""
+    rng = random.Random(5)
+    base, passage = [f"b{i}" for i in range(150)], [f"p{i}" for i in range(60)]
+
+    def edited(i, n):
+        copy = list(base)
+        for at in rng.sample(range(len(copy)), n):
+            copy[at] = f"e{i}x{at}"
+        return " ".join(copy)
+
+    texts = [edited(i, 12) for i in range(60)] + [" ".join([f"o{i}x{j}" for j in range(40)] + passage) for i in range(60)]
+    alike = [" ".join([f"a{i}", *passage]) for i in range(4)]
+    rows = list(enumerate(texts + alike))
+    bodies = spark.createDataFrame([(i, t.encode()) for i, t in rows], "sid long, body binary")
+    sets = spark.createDataFrame([(i, len(shingle_set(t)), i if i < len(texts) else 200 + i % 2) for i, t in rows], "sid long, n long, root long")
+    met = {(r["u"], r["v"]) for r in setpairs.sharing_rare(sets, bodies, 85, 3).collect()}
+    own = [shingle_set(t) for _, t in rows]
+    linked = {(a, b) for a, _ in rows for b in range(a) if 100 * len(own[a] & own[b]) >= 85 * len(own[a] | own[b])}
+    first = len(texts)
+    assert {p for p in linked if (p[0] - p[1]) % 2 or p[1] < first} <= met  # the others have one root
+    assert all(v >= first and (u - v) % 2 for u, v in met)
+
+
+def test_many_sets_of_one_key(spark, monkeypatch):
+    """Full keys of edited copies on both sides of the similarity, as all pairs have them."""
+    monkeypatch.setattr(minhash, "SMALL", 8)
+    rng, base = random.Random(6), [f"b{i}" for i in range(120)]
+    rows = []
+    for i in range(90):
+        copy = list(base)
+        for at in rng.sample(range(len(copy)), rng.randrange(8)):
+            copy[at] = rng.choice(["", "x ", "y "]) + f"e{rng.randrange(40)}"
+        rows.append((i, " ".join(copy)))
+    found = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(repr, map(tuple, found.collect()))) == expected(rows)
