@@ -14,10 +14,11 @@ have seen), and the mixed odds give the bits that the text costs:
   training words with its spelling: the bits of its bytes, predicted from the
   last one to four bytes and learned from the distinct escaped training words.
 
-Counts come from all training rows and are summed by Spark. The weights start
-from a sample of bounded size (``SAMPLE_WORDS``, ``SAMPLE_TOKENS``), learned
-online. While a text is scored they are refined: after every ``SEGMENT`` tokens
-the text's own errors move its copy.
+Counts come from all training rows and are summed by Spark. So do the weights a
+text starts with: the slopes and curvatures of the cost are summed over every
+decision of all training rows (for spelling, of all distinct escaped training
+words), and each gate's weights take Newton's step. While a text is scored they
+are refined: after every ``SEGMENT`` tokens the text's own errors move its copy.
 
 Scale: tasks cut the texts into blocks, each with a vocabulary of its own, so
 what Spark counts and joins is one row for each block and distinct word; the
@@ -57,12 +58,10 @@ BLOCK_WORDS = 300_000
 CHUNK_TOKENS = 1 << 17
 ESCAPE, END = 0, 1
 PRIOR = 0.4
-#: How much of the curvature that damps a step of the weights is remembered; what damps a text's own.
-FADE, STIFF = 0.9, 60
-#: The weights are learned from about so many distinct words, and so many tokens of whole texts.
-SAMPLE_WORDS, SAMPLE_TOKENS = 100_000, 1_000_000
-#: Tokens after which the weights move while they are learned.
-LESSON = 8192
+#: What damps a step of a text's own weights, and of the weights learned from all.
+STIFF, STILL = 60, 50
+#: How often all training rows are read to learn the weights.
+PASSES = 1
 #: The most frequent words that stand for a text's language and kind.
 COMMON = 64
 #: How many bytes before a byte predict it.
@@ -299,23 +298,89 @@ def tables(rows: DataFrame, sizes: list[int]) -> list[np.ndarray]:
     return sums
 
 
-def fitted(sums: list[np.ndarray], sample) -> dict:
-    """What prediction needs: the odds and the evidence of each cell, and the weights learned online from a sample.
+def without_itself(sums: list[np.ndarray]) -> dict:
+    """The odds at each (cell, bit) and the evidence of each cell as they are without the one decision that is predicted."""
+    odds, seen = [], []
+    for t in sums:
+        zeros, ones, own = t[0::2], t[1::2], np.empty(len(t), np.float32)
+        own[0::2], _ = _odds(np.maximum(zeros - 1, 0), ones)
+        own[1::2], _ = _odds(zeros, np.maximum(ones - 1, 0))
+        odds.append(own)
+        seen.append(_odds(np.maximum(zeros + ones - 1, 0), 0)[1].astype(np.uint8))
+    return {"odds": odds, "seen": seen}
 
-    The sample is part of what was counted, so each of its decisions is taken
-    out of the counts before it is predicted.
+
+class Slopes:
+    """For each gate the slope and the curvature of the cost along the weights, summed over decisions."""
+
+    def __init__(self, model: dict, weights: np.ndarray):
+        self.model, self.weights, n = model, weights.astype(np.float32), len(weights)
+        self.slope, self.curve = np.zeros((GATES, n)), np.zeros((GATES, n, n))
+
+    def add(self, bit: np.ndarray, cells: list[np.ndarray]) -> None:
+        if not len(bit):
+            return
+        gate = _gate([s[c] for s, c in zip(self.model["seen"][-2:], cells[-2:])])
+        order = np.argsort(gate, kind="stable")
+        x = np.empty((len(cells), len(bit)), np.float32)
+        for own, o, c in zip(x, self.model["odds"], cells):
+            own[:] = o[2 * c + bit][order]
+        ends = np.searchsorted(gate[order], np.arange(GATES + 1, dtype=np.int64))
+        parts = [(g, slice(ends[g], ends[g + 1])) for g in np.flatnonzero(np.diff(ends))]
+        mixed = np.concatenate([self.weights[:, g] @ x[:, at] for g, at in parts])
+        p = _chance(mixed)
+        wrong, spread = bit[order] - p, p * (1 - p)
+        for g, at in parts:
+            self.slope[g] += x[:, at] @ wrong[at]
+            self.curve[g] += (x[:, at] * spread[at]) @ x[:, at].T
+
+    def rows(self) -> pa.RecordBatch:
+        """(place, value) of what is not zero, slopes first."""
+        values = np.concatenate([self.slope.ravel(), self.curve.ravel()])
+        at = np.flatnonzero(values)
+        return pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(values[at])], ["place", "value"])
+
+
+def first_weights(n: int) -> np.ndarray:
+    return np.full((n, GATES), 1.0 / n + 0.1)
+
+
+def stepped(weights: np.ndarray, slope: np.ndarray, curve: np.ndarray) -> np.ndarray:
+    """Newton's step of each gate's weights, damped where few decisions stand behind it."""
+    return weights + np.linalg.solve(curve + STILL * np.eye(len(weights)), slope[:, :, None])[:, :, 0].T
+
+
+def learned_weights(rows: DataFrame, sums: list[np.ndarray], steps) -> np.ndarray:
+    """The weights of each table and gate: ``PASSES`` Newton steps over every decision of ``rows``, summed by Spark.
+
+    ``steps(batch)`` gives the (bit, cells) of a batch. What was counted holds
+    each decision itself, so that is taken out before it is predicted.
     """
-    inputs = len(sums)
-    weights, curve = np.full((inputs, GATES), 1.0 / inputs + 0.1), np.full((inputs, GATES), 50.0)
-    for bit, cells in sample:
-        odds, seen = zip(*(_odds(t[2 * c] - (bit == 0), t[2 * c + 1] - (bit == 1)) for t, c in zip(sums, cells)))
-        gate = _gate(seen)
-        p = _chance(sum(w[gate] * x for w, x in zip(weights, odds)))
-        wrong, spread = bit - p, p * (1 - p)
-        for i, x in enumerate(odds):
-            push = np.bincount(gate, wrong * x, GATES)
-            curve[i] = FADE * curve[i] + np.bincount(gate, spread * x * x, GATES)
-            weights[i] += push / (inputs * curve[i])
+    sent, n = rows.sparkSession.sparkContext.broadcast(without_itself(sums)), len(sums)
+    weights = first_weights(n)
+    for _ in range(PASSES):
+        def run(batches, weights=weights):
+            slopes = Slopes(sent.value, weights)
+            for batch in batches:
+                for bit, cells in steps(batch):
+                    slopes.add(bit, cells)
+            yield slopes.rows()
+
+        values = np.zeros(GATES * n * (n + 1))
+        for r in rows.mapInArrow(run, "place int, value double").groupBy("place").agg(F.sum("value").alias("value")).collect():
+            values[r["place"]] = r["value"]
+        weights = stepped(weights, values[:GATES * n].reshape(GATES, n), values[GATES * n:].reshape(GATES, n, n))
+    sent.unpersist()
+    return weights
+
+
+def fitted(sums: list[np.ndarray], decisions=(), weights: np.ndarray | None = None) -> dict:
+    """What prediction needs: the odds and the evidence of each cell, and the weights, else those of a step over ``decisions``."""
+    if weights is None:
+        slopes = Slopes(without_itself(sums), first_weights(len(sums)))
+        for bit, cells in decisions:
+            slopes.add(bit, cells)
+        weights = stepped(slopes.weights, slopes.slope, slopes.curve)
     odds, seen = zip(*(_odds(t[0::2], t[1::2]) for t in sums))
     return {"odds": [o.astype(np.float32) for o in odds], "seen": [s.astype(np.uint8) for s in seen],
             "weights": list(weights.astype(np.float32))}
@@ -369,11 +434,6 @@ def scored(ids: np.ndarray, sizes: np.ndarray, tree, model: dict) -> np.ndarray:
 # --------------------------------------------------------------- the operator
 
 
-def _share(column: str, wanted: int, of: int) -> Column:
-    """About ``wanted`` of ``of`` rows, chosen by a hash: the same ones however the table lies."""
-    return F.pmod(F.xxhash64(column), F.lit(1 << 30)) < min(1 << 30, int(wanted / max(1, of) * (1 << 30)) + 1)
-
-
 def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), one row for each document.
 
@@ -402,21 +462,24 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
     once = vocabulary.where("c = 1").count() - sum(r["c"] == 1 for r in top)
     unseen = min(0.99, max(0.01, once / rest)) if rest else 0.99
 
-    def learn_spelling(batches):
-        counts = Counts([SLOTS] * len(ORDERS))
-        for batch in batches:
-            for at in range(0, batch.num_rows, 8192):
-                words = [w for w in batch.column(0).slice(at, 8192).to_pylist() if w not in sent_ids.value]
-                for bit, cells in spelling_steps(words) if words else ():
+    def spelling(batch):
+        for at in range(0, batch.num_rows, 8192):
+            words = [w for w in batch.column(0).slice(at, 8192).to_pylist() if w not in sent_ids.value]
+            yield from spelling_steps(words) if words else ()
+
+    def counted(steps, sizes):
+        def run(batches):
+            counts = Counts(sizes)
+            for batch in batches:
+                for bit, cells in steps(batch):
                     counts.add(bit, cells)
-        yield counts.rows()
+            yield counts.rows()
+        return run
 
     learned = vocabulary.where("c > 0").select("word")
-    spelling = tables(learned.mapInArrow(learn_spelling, ROWS), [SLOTS] * len(ORDERS))
-    some = sorted(bytes(r[0]) for r in learned.where(_share("word", SAMPLE_WORDS, int(sums[1]))).toLocalIterator())
-    some = [w for w in np.random.default_rng(1).permutation(np.array(some, object)) if w not in ids]
-    sent_spelling = sc.broadcast(fitted(spelling, (step for at in range(0, len(some), 512)
-                                                   for step in spelling_steps(some[at:at + 512]))))
+    sizes = [SLOTS] * len(ORDERS)
+    sums_spelling = tables(learned.mapInArrow(counted(spelling, sizes), ROWS), sizes)
+    sent_spelling = sc.broadcast(fitted(sums_spelling, weights=learned_weights(learned, sums_spelling, spelling)))
 
     def cost(batches):
         for batch in batches:
@@ -468,29 +531,15 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
                 yield at, np.concatenate(own).astype(np.int64), np.array([len(o) for o in own])
                 own, at, size = [], i + 1, 0
 
-    def learn_tree(batches):
-        tree, counts = SimpleNamespace(**sent_tree.value), Counts(sizes)
-        for batch in batches:
-            for _, words, lengths in chunks(batch, 0):
-                b = tree_bits(words, lengths, tree)
-                counts.add(b.bit, b.cells)
-        yield counts.rows()
-
-    learned = coded.where("NOT held_out").select("ids", "n_tokens")
-    model = tables(learned.mapInArrow(learn_tree, ROWS), sizes)
-    some = learned.where(_share("ids", SAMPLE_TOKENS, n)).where(F.col("n_tokens") <= SAMPLE_TOKENS).select("ids")
-    some = [np.frombuffer(x, np.uint16).astype(np.int64) for x in sorted(bytes(r[0]) for r in some.toLocalIterator())]
-
-    def lessons():
-        own, order = [], np.random.default_rng(1).permutation(len(some))
-        for i in order:
-            own.append(some[i])
-            if sum(map(len, own)) > LESSON or i == order[-1]:
-                b = tree_bits(np.concatenate(own), np.array([len(o) for o in own]), tree)
-                yield b.bit, b.cells
-                own = []
-
-    sent_model = sc.broadcast(fitted(model, lessons()))
+    def decisions(batch):
+        tree = SimpleNamespace(**sent_tree.value)
+        for _, words, lengths in chunks(batch, 0):
+            b = tree_bits(words, lengths, tree)
+            yield b.bit, b.cells
+
+    learned = coded.where("NOT held_out").select("ids")
+    model = tables(learned.mapInArrow(counted(decisions, sizes), ROWS), sizes)
+    sent_model = sc.broadcast(fitted(model, weights=learned_weights(learned, model, decisions)))
 
     def finish(batches):
         tree = SimpleNamespace(**sent_tree.value)

@@ -174,6 +174,33 @@ def test_tree_is_a_prefix_code_and_chances_add_up():
     assert total == pytest.approx(10 ** mixing.scored(np.array([2, 3]), np.array([2]), tree, model)[0], rel=1e-4)
 
 
+def test_weights_come_from_every_training_word(spark):
+    """Newton's step as a plain loop over all decisions of all rows takes it, however the rows are dealt."""
+    words = [f"{a}{b}{c}".encode() for a in ("ab", "x", "tion") for b in range(9) for c in ("", "er", "zz")]
+
+    def steps(batch):
+        yield from mixing.spelling_steps(batch.column(0).to_pylist()) if batch.num_rows else ()
+
+    n, counts = len(mixing.ORDERS), mixing.Counts([mixing.SLOTS] * len(mixing.ORDERS))
+    every = list(mixing.spelling_steps(words))
+    for bit, cells in every:
+        counts.add(bit, cells)
+    want, slope, curve = mixing.first_weights(n), np.zeros((mixing.GATES, n)), np.zeros((mixing.GATES, n, n))
+    for bits, cells in every:
+        for i, bit in enumerate(bits):
+            seen = [counts.cells[t][2 * cells[t][i]:][:2] - (np.arange(2) == bit) for t in range(n)]
+            x = np.array([np.log((s[1] + mixing.PRIOR) / (s[0] + mixing.PRIOR)) for s in seen])
+            level = [min(7, int(np.ceil(np.log2(s.sum() + 1) / 2))) for s in seen]
+            gate = level[-1] * 8 + level[-2]
+            p = 1 / (1 + np.exp(-want[:, gate] @ x))
+            slope[gate] += (bit - p) * x
+            curve[gate] += p * (1 - p) * np.outer(x, x)
+    want = want + np.linalg.solve(curve + mixing.STILL * np.eye(n), slope[:, :, None])[:, :, 0].T
+    for parts in (1, 5):
+        rows = spark.createDataFrame([(w,) for w in words], "word binary").repartition(parts)
+        assert np.allclose(mixing.learned_weights(rows, counts.cells, steps), want, atol=1e-4)
+
+
 # -------------------------------------------------------------- 3, token counts
 
 
