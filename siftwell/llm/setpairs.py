@@ -12,7 +12,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.session import written
@@ -21,6 +21,8 @@ SEED = 42
 PAIRS_EACH = 256
 #: Words whose hashes a task remembers.
 WORDS_HELD = 1 << 19
+#: Of the counts that tell rare values from common ones: 2 ** 20, whatever the input.
+CELL_BITS = 20
 
 
 class _WordHashes(dict):
@@ -66,6 +68,10 @@ def shared(x: np.ndarray, y: np.ndarray) -> int:
     return int(np.count_nonzero(y[at] == x))
 
 
+def _cells(own: np.ndarray, bits: int) -> np.ndarray:
+    return (own >> np.uint64(64 - bits)).view(np.int64)
+
+
 def bodies(docs: DataFrame, reps: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(sid, body): one text of each set of ``reps`` (sid, first: its row's id and text hash)."""
     rows = docs.select(docs[f"`{doc_id}`"].alias("d"), F.xxhash64(docs[f"`{text}`"]).alias("key"), docs[f"`{text}`"].cast("binary").alias("body"))
@@ -116,33 +122,56 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, k: int) -> DataF
     return written(_met(aimed, texts, (k, similar), "u long, v long"))
 
 
-def sharing_rare(sets: DataFrame, texts: DataFrame, percent: int, k: int) -> DataFrame:
+def sharing_rare(sets: DataFrame, texts: DataFrame, percent: int, k: int, bits: int = CELL_BITS) -> DataFrame:
     """(u, v), u > v: all pairs of ``sets`` (sid, n, root) with different roots that can be similar enough.
 
     Values are in one order for all sets, the rarest first; ``left`` is how many
-    of a set's values stand from one on, without those that no other set has
-    (they come first and are not kept). Similar sets x and y share at least
+    of a set's values stand from one on, without those that surely no other set
+    has (they come first and are not kept). Similar sets x and y share at least
     (n(x) + n(y)) percent / (100 + percent) values, so at the first one they
     share both have as many left, and at least n percent / 100. That holds for
     any order: this one keeps values that many sets share out of what meets.
-    Of a value's sets those of its commonest root meet the others only.
+    How rare a value is says a table of 2 ** ``bits`` counts, some of them shared, so
+    each text's task knows the order and only its first values leave it. Of a
+    value's sets those of its commonest root meet the others only, and of any
+    two the smaller set has the value among the few that leave room for both.
     """
-    def values(batches):
+    held = sets.join(texts, "sid").select("sid", "n", "root", "body")
+
+    def counted(batches):
+        counts = np.zeros(1 << bits, np.int64)
+        for b in batches:
+            for body in b.column(0):
+                np.add.at(counts, _cells(text_set(body.as_py(), k), bits), 1)
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], ["cell", "sets"])
+
+    summed = held.select("body").mapInArrow(counted, "cell int, sets long").groupBy("cell").agg(F.sum("sets").alias("sets")).toArrow()
+    counts = np.zeros(1 << bits, np.int64)
+    counts[summed.column("cell").to_numpy()] = summed.column("sets").to_numpy()
+    sent = held.sparkSession.sparkContext.broadcast(counts)
+
+    def foremost(batches):
         for b in batches:
-            for sid, body in zip(b.column(0).to_pylist(), b.column(1)):
+            for sid, n, root, body in zip(*(b.column(i).to_pylist() for i in range(3)), b.column(3)):
                 own = text_set(body.as_py(), k)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), sid)), pa.array(own.view(np.int64))], ["sid", "token"])
-
-    each = written(sets.select("sid").join(texts, "sid").select("sid", "body").mapInArrow(values, "sid long, token long"))
-    shared_by = written(each.groupBy("token").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1"))
-    from_end = Window.partitionBy("sid").orderBy(F.col("sets").desc(), F.col("token").desc())
-    ordered = each.join(shared_by, "token").withColumn("left", F.row_number().over(from_end)).select("sid", "token", "left")
-    first = ordered.join(sets, "sid").where(F.col("left") * 100 >= F.col("n") * percent).select("token", "sid", "n", "root", "left")
-    first = written(first)
+                shared_by = sent.value[_cells(own, bits)]
+                own, shared_by = own[shared_by > 1], shared_by[shared_by > 1]
+                left = np.arange(len(own), 0, -1)
+                own, left = (x[left * 100 >= n * percent] for x in (own[np.lexsort((own, shared_by))], left))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(own.view(np.int64)), *(pa.array(np.full(len(own), x)) for x in (sid, n, root)), pa.array(left)],
+                    ["token", "sid", "n", "root", "left"])
+
+    first = written(held.mapInArrow(foremost, "token long, sid long, n long, root long, left long"))
     common = first.groupBy("token", "root").count().groupBy("token").agg(
         F.max(F.struct("count", "root"))["root"].alias("common"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
     first = written(first.join(common.select("token", "common"), "token").withColumn("other", F.col("root") != F.col("common")))
-    x, y = first.where("other").alias("x"), first.alias("y")
-    met = x.join(y, "token").where((F.col("x.root") != F.col("y.root")) & (~F.col("y.other") | (F.col("x.sid") > F.col("y.sid")))
-                                   & (F.least("x.left", "y.left") * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent))
+    # The smaller of two similar sets has at least 2 n percent / (100 + percent) left.
+    x = first.where(F.col("left") * (100 + percent) >= F.col("n") * (2 * percent)).withColumn(
+        "meets", F.explode(F.when(F.col("other"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True))))).alias("x")
+    y = first.alias("y")
+    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.meets") == F.col("y.other")) & (F.col("x.root") != F.col("y.root"))
+                 & (F.struct("x.n", "x.sid") < F.struct("y.n", "y.sid"))
+                 & (F.least("x.left", "y.left") * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent))
     return met.select(F.greatest("x.sid", "y.sid").alias("u"), F.least("x.sid", "y.sid").alias("v")).distinct()

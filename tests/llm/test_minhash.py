@@ -135,3 +135,24 @@ def test_many_sets_of_one_key(spark, monkeypatch):
         rows.append((i, " ".join(copy)))
     found = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(map(repr, map(tuple, found.collect()))) == expected(rows)
+
+
+@pytest.mark.parametrize("bits", [20, 2])
+def test_only_first_values_leave_a_text(spark, monkeypatch, bits):
+    """No step has a row for each shingle, and no similar pair is missed however many values share a count."""
+    rng, base, steps = random.Random(8), [f"b{i}" for i in range(100)], []
+    rows = []
+    for i in range(80):
+        copy = list(base)
+        for at in rng.sample(range(len(copy)), rng.randrange(9)):
+            copy[at] = f"e{rng.randrange(30)}"
+        rows.append((i, " ".join(copy)))
+    own = [shingle_set(t) for _, t in rows]
+    keep = setpairs.written
+    monkeypatch.setattr(setpairs, "written", lambda df: steps.append(keep(df)) or steps[-1])
+    bodies = spark.createDataFrame([(i, t.encode()) for i, t in rows], "sid long, body binary")
+    sets = spark.createDataFrame([(i, len(s), i % 7) for i, s in enumerate(own)], "sid long, n long, root long")
+    met = {(r["u"], r["v"]) for r in setpairs.sharing_rare(sets, bodies, 85, 3, **({"bits": bits} if bits != 20 else {})).collect()}
+    linked = {(a, b) for a in range(len(rows)) for b in range(a) if (a - b) % 7 and 100 * len(own[a] & own[b]) >= 85 * len(own[a] | own[b])}
+    assert linked and linked <= met
+    assert max(s.count() for s in steps) < 0.25 * sum(map(len, own))
