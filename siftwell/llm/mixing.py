@@ -35,6 +35,7 @@ read. An empty table gives no rows.
 from __future__ import annotations
 
 import heapq
+from collections import defaultdict
 from types import SimpleNamespace
 
 import numpy as np
@@ -56,6 +57,8 @@ SEGMENT = 64
 BLOCK_TOKENS = 1 << 21
 BLOCK_WORDS = 300_000
 CHUNK_TOKENS = 1 << 17
+#: Tokens whose decisions are made at once.
+AT_ONCE = 1 << 12
 ESCAPE, END = 0, 1
 PRIOR = 0.4
 #: What damps a step of a text's own weights, and of the weights learned from all.
@@ -77,6 +80,13 @@ def held_out(doc_id: Column) -> Column:
 # ------------------------------------------------------- blocks of documents
 
 
+def _numbers() -> defaultdict:
+    """Words by the order in which they are first asked for."""
+    places = defaultdict()
+    places.default_factory = places.__len__
+    return places
+
+
 def blocks(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(block, doc_id, held_out, tokens, words, trained): the texts as numbers of their block's words.
 
@@ -89,7 +99,7 @@ def blocks(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataF
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        places, seen, number = {}, 0, 0
+        places, seen, number = _numbers(), 0, 0
         trained = np.zeros(0, np.int64)
         block, id_kind = 0, None
 
@@ -106,7 +116,7 @@ def blocks(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataF
             for i, text in enumerate(texts_in(batch)):
                 block = part << 32 | number
                 words = words_of(text and text.lower())
-                own = np.fromiter((places.setdefault(w, len(places)) for w in words), np.uint32, len(words))
+                own = np.fromiter(map(places.__getitem__, words), np.uint32, len(words))
                 if len(places) > len(trained):
                     trained = np.concatenate([trained, np.zeros(len(places), np.int64)])
                 if not held[i]:
@@ -124,7 +134,7 @@ def blocks(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataF
                     tokens, at = [], i + 1
                 if full:
                     yield vocabulary()
-                    places, seen, number, trained = {}, 0, number + 1, np.zeros(0, np.int64)
+                    places, seen, number, trained = _numbers(), 0, number + 1, np.zeros(0, np.int64)
         if places:
             yield vocabulary()
 
@@ -173,19 +183,32 @@ def tree_bits(ids: np.ndarray, sizes: np.ndarray, tree) -> SimpleNamespace:
     last = _last(ids, common, first)
     second = _last(last, common, first)
     n = tree.length[ids]
-    token = np.repeat(np.arange(len(ids), dtype=np.int32), n)
-    step = np.arange(len(token)) + np.repeat(tree.start[ids] - (np.cumsum(n) - n), n)
-    node = tree.nodes[step]
-    inner = node.astype(np.uint64) * _NODE
     contexts = [(before + 1).astype(np.uint64), (last * COMMON + second + (1 << 40)).astype(np.uint64), (last + (1 << 20)).astype(np.uint64)]
-    cells = [node, *(_cell((c * _MULT)[token], inner) for c in contexts)]
+    contexts = [c * _MULT for c in contexts]
     segment = np.minimum((np.arange(len(ids)) - first) // SEGMENT, 65535).astype(np.uint16)
-    return SimpleNamespace(bit=tree.bits[step], cells=cells, doc=doc[token], segment=segment[token])
-
-
-def _cell(context: np.ndarray, place: np.ndarray) -> np.ndarray:
+    ends = np.cumsum(n)
+    offset, spread, total = tree.start[ids] - (ends - n), tree.nodes.astype(np.uint64) * _NODE, int(ends[-1]) if len(ids) else 0
+    bit, cells = np.empty(total, tree.bits.dtype), [np.empty(total, np.int64) for _ in range(4)]
+    docs, segments = np.empty(total, doc.dtype), np.empty(total, segment.dtype)
+    for at in range(0, len(ids), AT_ONCE):  # few enough to stay in a core's cache
+        own = slice(at, at + AT_ONCE)
+        some = slice(int(ends[at] - n[at]), int(ends[own][-1]))
+        token = np.repeat(np.arange(at, min(at + AT_ONCE, len(ids))), n[own])
+        step = offset[token]
+        step += np.arange(some.start, some.stop)
+        np.take(tree.bits, step, out=bit[some], mode="clip")
+        np.take(tree.nodes, step, out=cells[0][some], mode="clip")
+        inner = spread[step]
+        for c, cell in zip(contexts, cells[1:]):
+            _cell(c[token], inner, cell[some])
+        np.take(doc, token, out=docs[some], mode="clip")
+        np.take(segment, token, out=segments[some], mode="clip")
+    return SimpleNamespace(bit=bit, cells=cells, doc=docs, segment=segments)
+
+
+def _cell(context: np.ndarray, place: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
     """The cell of a context and a place in it, both spread by odd factors already."""
-    x = context ^ place
+    x = np.bitwise_xor(context, place, out=None if out is None else out.view(np.uint64))
     x ^= x >> np.uint64(29)
     x *= _MULT
     x >>= np.uint64(64 - SLOT_BITS)
@@ -413,22 +436,28 @@ def scored(ids: np.ndarray, sizes: np.ndarray, tree, model: dict) -> np.ndarray:
     b = tree_bits(ids, sizes, tree)
     order = np.argsort(b.segment, kind="stable")
     odds, gate = _inputs(model, [c[order] for c in b.cells])
-    doc, bits = b.doc[order], b.bit[order]
+    # Texts by falling length: those that reach a segment come first.
+    longest = np.argsort(-sizes, kind="stable")
+    rank = np.empty(len(sizes), np.int64)
+    rank[longest] = np.arange(len(sizes))
+    doc, bits = rank[b.doc[order]], b.bit[order]
     where = doc * GATES + gate
     own = [np.tile(w, len(sizes)) for w in model["weights"]]
     total = np.zeros(len(sizes))
     ends = np.flatnonzero(np.diff(b.segment[order], append=-1))
     for start, end in zip(np.concatenate([[0], ends[:-1] + 1]), ends + 1):
         at, bit, xs = where[start:end], bits[start:end], [x[start:end] for x in odds]
+        there = int(doc[start:end].max()) + 1
         mixed = sum(w[at] * x for w, x in zip(own, xs))
-        total += np.bincount(doc[start:end], _cost(mixed, bit), len(sizes))
+        against = np.exp(np.clip(np.where(bit == 1, -mixed, mixed), -14, 14))  # the odds against what comes
+        total[:there] -= np.bincount(doc[start:end], np.log1p(against), there)
         if end < len(where):
-            p = _chance(mixed)
-            wrong, spread = bit - p, p * (1 - p)
+            missed = against / (1 + against)
+            wrong, spread = np.where(bit == 1, missed, -missed), missed * (1 - missed)
             for w, x in zip(own, xs):
-                wx = np.bincount(at, wrong * x, len(w))
-                w += (wx / (len(xs) * np.bincount(at, spread * x * x, len(w)) + STIFF)).astype(np.float32)
-    return total / np.log(10)
+                wx, xx = (np.bincount(at, y, there * GATES) for y in (wrong * x, spread * x * x))
+                w[:there * GATES] += (wx / (len(xs) * xx + STIFF)).astype(np.float32)
+    return total[rank] / np.log(10)
 
 
 # --------------------------------------------------------------- the operator

@@ -174,6 +174,24 @@ def test_tree_is_a_prefix_code_and_chances_add_up():
     assert total == pytest.approx(10 ** mixing.scored(np.array([2, 3]), np.array([2]), tree, model)[0], rel=1e-4)
 
 
+def test_segments_take_only_the_texts_that_reach_them(monkeypatch):
+    """Texts of any length score the same alone and beside others, and a long one does not make the short ones' weights move on."""
+    rng = np.random.default_rng(4)
+    tree = mixing.huffman([5, 1, 9, 2, 2])
+    sizes = np.array([3, 700, 1, 130, 64, 65, 2000])
+    ids = rng.integers(0, 5, sizes.sum())
+    b, sums = mixing.tree_bits(ids, sizes, tree), [np.zeros(2 * n, np.int64) for n in (5, mixing.SLOTS, mixing.SLOTS, mixing.SLOTS)]
+    for t, c in zip(sums, b.cells):
+        np.add.at(t, 2 * c + b.bit, 1)
+    model, sums_over, count = mixing.fitted(sums, [(b.bit, b.cells)]), [], np.bincount
+    alone = [mixing.scored(own, np.array([len(own)]), tree, model)[0] for own in np.split(ids, np.cumsum(sizes)[:-1])]
+    monkeypatch.setattr(np, "bincount", lambda x, weights=None, minlength=0: sums_over.append(minlength) or count(x, weights, minlength))
+    assert mixing.scored(ids, sizes, tree, model) == pytest.approx(alone, rel=1e-5)
+    assert min(sums_over) == 1 and sums_over.count(len(sizes) * mixing.GATES) <= 2 * len(sums)
+    empty = mixing.tree_bits(ids[:0], sizes[:0], tree)
+    assert len(empty.bit) == 0 and all(len(c) == 0 for c in empty.cells)
+
+
 def test_weights_come_from_every_training_word(spark):
     """Newton's step as a plain loop over all decisions of all rows takes it, however the rows are dealt."""
     words = [f"{a}{b}{c}".encode() for a in ("ab", "x", "tion") for b in range(9) for c in ("", "er", "zz")]
