@@ -12,7 +12,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.session import written
@@ -23,6 +23,10 @@ PAIRS_EACH = 256
 WORDS_HELD = 1 << 19
 #: Of the counts that tell rare values from common ones: 2 ** 20, whatever the input.
 CELL_BITS = 20
+#: Of the counts that a task hands on in one row.
+BLOCK_BITS = 14
+#: Sizes whose ratio is smaller than this are looked at together.
+BAND = 1.04
 
 
 class _WordHashes(dict):
@@ -122,6 +126,73 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, k: int) -> DataF
     return written(_met(aimed, texts, (k, similar), "u long, v long"))
 
 
+def _blocks(counts: np.ndarray):
+    """A table of counts as rows (block, at, sets) of its blocks, without the counts of zero."""
+    for block, start in enumerate(range(0, len(counts), 1 << BLOCK_BITS)):
+        own = counts[start:start + (1 << BLOCK_BITS)]
+        at = np.flatnonzero(own)
+        if len(at):
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([at.astype(np.uint16).tobytes()]), pa.array([own[at].tobytes()])],
+                                             ["block", "at", "sets"])
+
+
+def _add(counts: np.ndarray, rows) -> None:
+    """Adds rows (block, at, sets) to a table of counts."""
+    for block, at, sets in zip(*(rows.column(c).to_pylist() for c in ("block", "at", "sets"))):
+        counts[(block << BLOCK_BITS) + np.frombuffer(at, np.uint16).astype(np.int64)] += np.frombuffer(sets, np.int64)
+
+
+COUNTS = "block int, at binary, sets binary"
+
+
+def task_counts(held: DataFrame, k: int, bits: int = CELL_BITS) -> DataFrame:
+    """How many values of the sets of ``held`` (body) fall into each of 2 ** ``bits`` cells, by task.
+
+    The counts leave a task as blocks of its table: a row for each block at most, however many values it has read.
+    """
+    def counted(batches):
+        counts = np.zeros(1 << bits, np.int64)
+        for b in batches:
+            for body in b.column(0):
+                np.add.at(counts, _cells(text_set(body.as_py(), k), bits), 1)
+        yield from _blocks(counts)
+
+    return held.select("body").mapInArrow(counted, COUNTS)
+
+
+def cell_counts(held: DataFrame, k: int, bits: int = CELL_BITS) -> np.ndarray:
+    """The counts of all tasks, summed block by block."""
+    def summed(batches):
+        counts = np.zeros(1 << bits, np.int64)
+        for b in batches:
+            _add(counts, b)
+        yield from _blocks(counts)
+
+    counts = np.zeros(1 << bits, np.int64)
+    _add(counts, task_counts(held, k, bits).repartition("block").mapInArrow(summed, COUNTS).toArrow())
+    return counts
+
+
+def _band(size: Column) -> Column:
+    return F.floor(F.log(size) / F.log(F.lit(BAND)))
+
+
+def sides(first: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The smaller and the larger sets that may meet, of ``first`` (token, sid, n, root, left, other): by token, kind and band of the smaller one's size.
+
+    ``most`` is the sum of two sizes that a set's ``left`` allows for, so ``most - n`` is its largest partner. A larger set looks for
+    partners from n percent / 100 up to that only. Of many sets of one size, those with few values left meet nothing.
+    """
+    most = F.expr(f"`left` * {100 + percent} div {percent}")
+    first = first.withColumn("most", most)
+    # The smaller of two similar sets has at least 2 n percent / (100 + percent) left.
+    x = first.where(F.col("most") >= 2 * F.col("n")).withColumn("band", _band(F.col("n"))).withColumn(
+        "meets", F.explode(F.when(F.col("other"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))))
+    least, largest = F.expr(f"(n * {percent} + 99) div 100"), F.least("n", F.col("most") - F.col("n"))
+    y = first.where(largest >= least).withColumn("band", F.explode(F.sequence(_band(least), _band(largest)))).withColumnRenamed("other", "meets")
+    return x, y
+
+
 def sharing_rare(sets: DataFrame, texts: DataFrame, percent: int, k: int, bits: int = CELL_BITS) -> DataFrame:
     """(u, v), u > v: all pairs of ``sets`` (sid, n, root) with different roots that can be similar enough.
 
@@ -134,22 +205,11 @@ def sharing_rare(sets: DataFrame, texts: DataFrame, percent: int, k: int, bits:
     How rare a value is says a table of 2 ** ``bits`` counts, some of them shared, so
     each text's task knows the order and only its first values leave it. Of a
     value's sets those of its commonest root meet the others only, and of any
-    two the smaller set has the value among the few that leave room for both.
+    two the smaller set has the value among the few that leave room for both
+    and a size in one of the few bands that the larger one has room for.
     """
     held = sets.join(texts, "sid").select("sid", "n", "root", "body")
-
-    def counted(batches):
-        counts = np.zeros(1 << bits, np.int64)
-        for b in batches:
-            for body in b.column(0):
-                np.add.at(counts, _cells(text_set(body.as_py(), k), bits), 1)
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], ["cell", "sets"])
-
-    summed = held.select("body").mapInArrow(counted, "cell int, sets long").groupBy("cell").agg(F.sum("sets").alias("sets")).toArrow()
-    counts = np.zeros(1 << bits, np.int64)
-    counts[summed.column("cell").to_numpy()] = summed.column("sets").to_numpy()
-    sent = held.sparkSession.sparkContext.broadcast(counts)
+    sent = held.sparkSession.sparkContext.broadcast(cell_counts(held, k, bits))
 
     def foremost(batches):
         for b in batches:
@@ -167,11 +227,8 @@ def sharing_rare(sets: DataFrame, texts: DataFrame, percent: int, k: int, bits:
     common = first.groupBy("token", "root").count().groupBy("token").agg(
         F.max(F.struct("count", "root"))["root"].alias("common"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
     first = written(first.join(common.select("token", "common"), "token").withColumn("other", F.col("root") != F.col("common")))
-    # The smaller of two similar sets has at least 2 n percent / (100 + percent) left.
-    x = first.where(F.col("left") * (100 + percent) >= F.col("n") * (2 * percent)).withColumn(
-        "meets", F.explode(F.when(F.col("other"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True))))).alias("x")
-    y = first.alias("y")
-    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.meets") == F.col("y.other")) & (F.col("x.root") != F.col("y.root"))
-                 & (F.struct("x.n", "x.sid") < F.struct("y.n", "y.sid"))
-                 & (F.least("x.left", "y.left") * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent))
+    x, y = (side.alias(name) for side, name in zip(sides(first, percent), "xy"))
+    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.meets") == F.col("y.meets")) & (F.col("x.band") == F.col("y.band"))
+                 & (F.col("x.root") != F.col("y.root")) & (F.struct("x.n", "x.sid") < F.struct("y.n", "y.sid"))
+                 & (F.least("x.most", "y.most") >= F.col("x.n") + F.col("y.n")))
     return met.select(F.greatest("x.sid", "y.sid").alias("u"), F.least("x.sid", "y.sid").alias("v")).distinct()

@@ -156,3 +156,40 @@ def test_only_first_values_leave_a_text(spark, monkeypatch, bits):
     linked = {(a, b) for a in range(len(rows)) for b in range(a) if (a - b) % 7 and 100 * len(own[a] & own[b]) >= 85 * len(own[a] | own[b])}
     assert linked and linked <= met
     assert max(s.count() for s in steps) < 0.25 * sum(map(len, own))
+
+
+def test_tasks_hand_on_blocks_of_counts(spark):
+    """However many values the texts have, a task's counts are a row for each block of the table at most, and sum up to all."""
+    texts = [" ".join(f"t{i}x{j}" for j in range(150)).encode() for i in range(100)] * 2
+    held = spark.createDataFrame([(t,) for t in texts], "body binary").repartition(3)
+    expect = np.zeros(1 << 20, np.int64)
+    for t in texts:
+        np.add.at(expect, (setpairs.text_set(t, 3) >> np.uint64(44)).astype(np.int64), 1)
+    assert setpairs.task_counts(held, 3).count() <= 3 * 64 < 0.02 * np.count_nonzero(expect)
+    assert np.array_equal(setpairs.cell_counts(held, 3), expect)
+
+
+@pytest.mark.parametrize("group", [40, 80])
+def test_copies_and_sets_beside_them_are_not_looked_at_pair_by_pair(spark, monkeypatch, group):
+    """One component and as many sets too far from it: what the join looks at does not grow with the product of both."""
+    rng, base, seen = random.Random(group), [f"b{i}" for i in range(150)], []
+
+    def edited(i, n):
+        copy = list(base)
+        for at in rng.sample(range(1, 50), n):
+            copy[3 * at] = f"e{i}x{at}"  # each edit makes three shingles of its own
+        return " ".join(copy)
+
+    texts = [edited(i, i % 2) for i in range(group)] + [edited(group + i, 5 + i % 3) for i in range(group)] + [edited(-1 - i, 3) for i in range(3)]
+    own = [shingle_set(t) for t in texts]
+    sides = setpairs.sides
+    monkeypatch.setattr(setpairs, "sides", lambda *a: seen.append(sides(*a)) or seen[-1])
+    bodies = spark.createDataFrame([(i, t.encode()) for i, t in enumerate(texts)], "sid long, body binary")
+    sets = spark.createDataFrame([(i, len(s), max(i, group)) for i, s in enumerate(own)], "sid long, n long, root long")
+    met = {(r["u"], r["v"]) for r in setpairs.sharing_rare(sets, bodies, 85, 3).collect()}
+    linked = {(a, b) for a in range(len(own)) for b in range(a) if a > group and 100 * len(own[a] & own[b]) >= 85 * len(own[a] | own[b])}
+    assert linked and linked <= met
+    (x, y), = seen
+    before = x.drop("band").join(y.drop("band").distinct(), ["token", "meets"]).count()  # without the sizes
+    assert before > group * group
+    assert x.join(y, ["token", "meets", "band"]).count() < 12 * 3 * 2 * group
