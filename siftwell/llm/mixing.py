@@ -24,7 +24,9 @@ Scale: tasks cut the texts into blocks, each with a vocabulary of its own, so
 what Spark counts and joins is one row for each block and distinct word; the
 full vocabulary is nowhere in one place. Blocks meet their words' counts in a
 cogroup of bounded size. The context tables have ``SLOTS`` cells each whatever
-the input: contexts that fall into one cell share it, none is left out.
+the input: contexts that fall into one cell share it, none is left out. Among
+the tokens (or bytes) at hand, those with the same before them lead to the same
+decisions: these are made once and weigh as often as they occur.
 
 Defined results: null is an empty text, which has one token, the end. Rows with
 equal ids are scored one by one; a null id is hashed as the text "null". Without
@@ -35,19 +37,17 @@ read. An empty table gives no rows.
 from __future__ import annotations
 
 import heapq
-from collections import defaultdict
 from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.session import discard, scratch_path, written
 
-from .common import texts_in, words_of
-
 TREE_WORDS = 4095
 SLOT_BITS = 20
 SLOTS = 1 << SLOT_BITS
@@ -56,7 +56,12 @@ GATES = 64
 SEGMENT = 64
 BLOCK_TOKENS = 1 << 21
 BLOCK_WORDS = 300_000
+BLOCK_BYTES = 1 << 26
+#: Bytes of text that are cut into words at once.
+SLICE_BYTES = 1 << 22
 CHUNK_TOKENS = 1 << 17
+#: Bytes of rows, and tokens, among which equal decisions are made once.
+GATHERED_BYTES, GROUP_TOKENS, PIECE_TOKENS = 1 << 21, 1 << 20, 1 << 16
 #: Tokens whose decisions are made at once.
 AT_ONCE = 1 << 12
 ESCAPE, END = 0, 1
@@ -80,11 +85,22 @@ def held_out(doc_id: Column) -> Column:
 # ------------------------------------------------------- blocks of documents
 
 
-def _numbers() -> defaultdict:
-    """Words by the order in which they are first asked for."""
-    places = defaultdict()
-    places.default_factory = places.__len__
-    return places
+def _slices(batch: pa.RecordBatch, column: int):
+    """Rows in a row whose texts have ``SLICE_BYTES`` at most, or a single longer one."""
+    ends, at = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy()), 0
+    while at < batch.num_rows:
+        most = SLICE_BYTES + (ends[at - 1] if at else 0)
+        end = max(at + 1, int(np.searchsorted(ends, most, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def _flat_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of some texts in lower case one after the other, and how many each text has."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.view(pa.string()).fill_null("")))
+    words, text = lists.flatten(), pc.list_parent_indices(lists)
+    there = pc.greater(pc.binary_length(words), 0)  # white space at a text's ends leaves empty ones
+    return words.filter(there), np.bincount(text.filter(there).to_numpy(), minlength=len(texts))
 
 
 def blocks(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -99,43 +115,37 @@ def blocks(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataF
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        places, seen, number = _numbers(), 0, 0
-        trained = np.zeros(0, np.int64)
+        known, trained, seen, number = pa.array([], pa.string()), np.zeros(0, np.int64), 0, 0
         block, id_kind = 0, None
 
+        def made(doc_id, held, tokens, words, trained):
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(tokens), block)), doc_id, held, tokens, words, trained],
+                                              ["block", "doc_id", "held_out", "tokens", "words", "trained"])
+
         def vocabulary():
-            return pa.RecordBatch.from_arrays(
-                [pa.array([block], pa.int64()), pa.nulls(1, id_kind), pa.nulls(1, pa.bool_()), pa.nulls(1, pa.binary()),
-                 pa.array([list(places)], pa.list_(pa.binary())), pa.array([trained[:len(places)]], pa.list_(pa.int64()))],
-                ["block", "doc_id", "held_out", "tokens", "words", "trained"])
+            whole = pa.array([0, len(known)], pa.int32())
+            return made(pa.nulls(1, id_kind), pa.nulls(1, pa.bool_()), pa.nulls(1, pa.binary()),
+                        pa.ListArray.from_arrays(whole, known.view(pa.binary())), pa.ListArray.from_arrays(whole, pa.array(trained)))
 
         for batch in batches:
             id_kind = batch.schema.field(0).type
             part = batch.column(2)[0].as_py() if batch.num_rows else 0
-            held, tokens, at = batch.column(1).to_pylist(), [], 0
-            for i, text in enumerate(texts_in(batch)):
+            for some in _slices(batch, 3):
                 block = part << 32 | number
-                words = words_of(text and text.lower())
-                own = np.fromiter(map(places.__getitem__, words), np.uint32, len(words))
-                if len(places) > len(trained):
-                    trained = np.concatenate([trained, np.zeros(len(places), np.int64)])
-                if not held[i]:
-                    np.add.at(trained, own, 1)
-                tokens.append(own.tobytes())
-                seen += len(words) + 1
-                last = i == batch.num_rows - 1
-                full = seen > BLOCK_TOKENS or len(places) > BLOCK_WORDS
-                if last or full:
-                    n = len(tokens)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(n, block)), batch.column(0).slice(at, n), batch.column(1).slice(at, n),
-                         pa.array(tokens, pa.binary()), pa.nulls(n, pa.list_(pa.binary())), pa.nulls(n, pa.list_(pa.int64()))],
-                        ["block", "doc_id", "held_out", "tokens", "words", "trained"])
-                    tokens, at = [], i + 1
-                if full:
+                flat, sizes = _flat_words(some.column(3))
+                coded = pa.concat_arrays([known, flat]).dictionary_encode()
+                own = coded.indices.to_numpy()[len(known):].astype(np.uint32)
+                known = coded.dictionary
+                used = own[np.repeat(~some.column(1).to_numpy(zero_copy_only=False), sizes)]
+                trained = np.bincount(used, minlength=len(known)) + np.pad(trained, (0, len(known) - len(trained)))
+                n, ends = some.num_rows, pa.array(np.concatenate([[0], np.cumsum(4 * sizes)]), pa.int32())
+                tokens = pa.Array.from_buffers(pa.binary(), n, [None, ends.buffers()[1], pa.py_buffer(own)])
+                yield made(some.column(0), some.column(1), tokens, pa.nulls(n, pa.list_(pa.binary())), pa.nulls(n, pa.list_(pa.int64())))
+                seen += len(own) + n
+                if seen > BLOCK_TOKENS or len(known) > BLOCK_WORDS or known.nbytes > BLOCK_BYTES:
                     yield vocabulary()
-                    places, seen, number, trained = _numbers(), 0, number + 1, np.zeros(0, np.int64)
-        if places:
+                    known, trained, seen, number = known[:0], trained[:0], 0, number + 1
+        if len(known):
             yield vocabulary()
 
     return rows.mapInArrow(run, f"block long, doc_id {id_type}, held_out boolean, tokens binary, "
@@ -173,23 +183,24 @@ def _last(values: np.ndarray, valid: np.ndarray, first: np.ndarray) -> np.ndarra
     return np.where(seen >= first, values[np.maximum(seen, 0)], 0)
 
 
-def tree_bits(ids: np.ndarray, sizes: np.ndarray, tree) -> SimpleNamespace:
-    """Every decision of some texts (token ids, tokens a text): its bit, its three cells, its token's place."""
-    start = np.cumsum(sizes) - sizes
-    doc = np.repeat(np.arange(len(sizes)), sizes)
-    first = start[doc]
+def tokens_before(ids: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """For each token of some texts (token ids, tokens a text) the one before it and the two last frequent words."""
+    first = np.repeat(np.cumsum(sizes) - sizes, sizes)
     before = np.where(np.arange(len(ids)) > first, np.concatenate([[0], ids[:-1]]), 0) if len(ids) else ids
     common = (ids > END) & (ids < END + COMMON)
     last = _last(ids, common, first)
-    second = _last(last, common, first)
-    n = tree.length[ids]
-    contexts = [(before + 1).astype(np.uint64), (last * COMMON + second + (1 << 40)).astype(np.uint64), (last + (1 << 20)).astype(np.uint64)]
+    return [before, last, _last(last, common, first)]
+
+
+def tree_steps(ids: np.ndarray, before: list[np.ndarray], tree) -> SimpleNamespace:
+    """Every decision of some tokens: its bit, its cells, its token's place."""
+    word, last, second = before
+    contexts = [(word + 1).astype(np.uint64), (last * COMMON + second + (1 << 40)).astype(np.uint64), (last + (1 << 20)).astype(np.uint64)]
     contexts = [c * _MULT for c in contexts]
-    segment = np.minimum((np.arange(len(ids)) - first) // SEGMENT, 65535).astype(np.uint16)
+    n = tree.length[ids]
     ends = np.cumsum(n)
     offset, spread, total = tree.start[ids] - (ends - n), tree.nodes.astype(np.uint64) * _NODE, int(ends[-1]) if len(ids) else 0
-    bit, cells = np.empty(total, tree.bits.dtype), [np.empty(total, np.int64) for _ in range(4)]
-    docs, segments = np.empty(total, doc.dtype), np.empty(total, segment.dtype)
+    bit, cells, tokens = np.empty(total, tree.bits.dtype), [np.empty(total, np.int64) for _ in range(4)], np.empty(total, np.int32)
     for at in range(0, len(ids), AT_ONCE):  # few enough to stay in a core's cache
         own = slice(at, at + AT_ONCE)
         some = slice(int(ends[at] - n[at]), int(ends[own][-1]))
@@ -201,9 +212,30 @@ def tree_bits(ids: np.ndarray, sizes: np.ndarray, tree) -> SimpleNamespace:
         inner = spread[step]
         for c, cell in zip(contexts, cells[1:]):
             _cell(c[token], inner, cell[some])
-        np.take(doc, token, out=docs[some], mode="clip")
-        np.take(segment, token, out=segments[some], mode="clip")
-    return SimpleNamespace(bit=bit, cells=cells, doc=docs, segment=segments)
+        tokens[some] = token
+    return SimpleNamespace(bit=bit, cells=cells, token=tokens)
+
+
+def tree_bits(ids: np.ndarray, sizes: np.ndarray, tree, order: np.ndarray | None = None) -> SimpleNamespace:
+    """``tree_steps`` of all tokens of some texts (token ids, tokens a text), the tokens taken in ``order``."""
+    before = tokens_before(ids, sizes)
+    return tree_steps(ids, before, tree) if order is None else tree_steps(ids[order], [x[order] for x in before], tree)
+
+
+def tree_groups(ids: np.ndarray, sizes: np.ndarray, tree):
+    """(bit, cells, times): the decisions of some texts, those of tokens that have the same before them made once."""
+    key = ids
+    for own, most in zip(tokens_before(ids, sizes), (TREE_WORDS + 2, END + COMMON, END + COMMON)):
+        key = key * most + own
+    key, times = np.unique(key, return_counts=True)
+    before = []
+    for most in (END + COMMON, END + COMMON, TREE_WORDS + 2):
+        key, own = np.divmod(key, most)
+        before.insert(0, own)
+    for at in range(0, len(key), PIECE_TOKENS):
+        own = slice(at, at + PIECE_TOKENS)
+        b = tree_steps(key[own], [x[own] for x in before], tree)
+        yield b.bit, b.cells, times[own][b.token]
 
 
 def _cell(context: np.ndarray, place: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
@@ -218,20 +250,24 @@ def _cell(context: np.ndarray, place: np.ndarray, out: np.ndarray | None = None)
 # ------------------------------------------------------------------ spelling
 
 
-def spelling_steps(words: list[bytes]):
-    """For each of the eight bit places: (bit, four cells) of every byte of the words, an end after each."""
+def spelled_bytes(words: list[bytes]) -> np.ndarray:
+    """Every byte of the words, a space after each: itself in the lowest eight bits, those before it above, the last one highest."""
     body = np.frombuffer(b" ".join([*words, b""]), np.uint8)
     ends = np.flatnonzero(body == 0x20)
     first = np.zeros(len(body), np.int64)
     first[ends[:-1] + 1] = ends[:-1] + 1
     first = np.maximum.accumulate(first)
-    place = np.arange(len(body))
-    contexts, x = [], np.zeros(len(body), np.uint64)
+    place, x = np.arange(len(body)), np.zeros(len(body), np.uint64)
     for n in range(1, max(ORDERS) + 1):
         past = np.where(place - n >= first, np.concatenate([np.zeros(min(n, len(body)), np.uint8), body[:-n]]), 0)
-        x = (x << np.uint64(8)) + past.astype(np.uint64)
-        if n in ORDERS:
-            contexts.append((x + np.uint64(n << 56)) * _MULT)
+        x = (x << np.uint64(8)) + past
+    return (x << np.uint64(8)) + body
+
+
+def byte_steps(spelling: np.ndarray):
+    """For each of the eight bit places: (bit, four cells) of some bytes as ``spelled_bytes`` gives them."""
+    body, past = spelling.astype(np.uint8), spelling >> np.uint64(8)
+    contexts = [((past >> np.uint64(8 * (max(ORDERS) - n))) + np.uint64(n << 56)) * _MULT for n in ORDERS]
     partial = np.ones(len(body), np.uint64)
     for k in range(7, -1, -1):
         bit = (body >> k & 1).astype(np.int8)
@@ -240,6 +276,18 @@ def spelling_steps(words: list[bytes]):
         partial = partial * np.uint64(2) + bit.astype(np.uint64)
 
 
+def spelling_steps(words: list[bytes]):
+    """For each of the eight bit places: (bit, four cells) of every byte of the words, an end after each."""
+    return byte_steps(spelled_bytes(words))
+
+
+def spelling_groups(words: list[bytes]):
+    """(bit, cells, times): the same decisions, those of equal bytes that have the same before them made once."""
+    spelling, times = np.unique(spelled_bytes(words), return_counts=True)
+    for bit, cells in byte_steps(spelling):
+        yield bit, cells, times
+
+
 # -------------------------------------------------------------------- mixing
 
 
@@ -259,9 +307,9 @@ class Counts:
     def __init__(self, sizes: list[int]):
         self.cells = [np.zeros(2 * n, np.int64) for n in sizes]
 
-    def add(self, bit: np.ndarray, cells: list[np.ndarray]) -> None:
+    def add(self, bit: np.ndarray, cells: list[np.ndarray], times: np.ndarray | int = 1) -> None:
         for t, c in zip(self.cells, cells):
-            np.add.at(t, 2 * c + bit, 1)
+            np.add.at(t, 2 * c + bit, times)
 
     def rows(self) -> pa.RecordBatch:
         """(kind, part, cells, counts): what is not zero, in parts of bounded size."""
@@ -296,6 +344,19 @@ def _chance(odds: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(odds, -14, 14)))
 
 
+def _gathered(batches):
+    """The batches, small ones put together: the more there is at once, the more is equal in it."""
+    own, size = [], 0
+    for batch in batches:
+        own.append(batch)
+        size += batch.nbytes
+        if size > GATHERED_BYTES:
+            yield pa.concat_batches(own)
+            own, size = [], 0
+    if own:
+        yield pa.concat_batches(own)
+
+
 def merged(rows: DataFrame) -> DataFrame:
     """The tasks' rows summed by (kind, part): streamed through, one sum at a time in memory for each part."""
     def run(batches):
@@ -340,7 +401,7 @@ class Slopes:
         self.model, self.weights, n = model, weights.astype(np.float32), len(weights)
         self.slope, self.curve = np.zeros((GATES, n)), np.zeros((GATES, n, n))
 
-    def add(self, bit: np.ndarray, cells: list[np.ndarray]) -> None:
+    def add(self, bit: np.ndarray, cells: list[np.ndarray], times: np.ndarray | None = None) -> None:
         if not len(bit):
             return
         gate = _gate([s[c] for s, c in zip(self.model["seen"][-2:], cells[-2:])])
@@ -348,11 +409,14 @@ class Slopes:
         x = np.empty((len(cells), len(bit)), np.float32)
         for own, o, c in zip(x, self.model["odds"], cells):
             own[:] = o[2 * c + bit][order]
-        ends = np.searchsorted(gate[order], np.arange(GATES + 1, dtype=np.int64))
+        ends = np.concatenate([[0], np.cumsum(np.bincount(gate, minlength=GATES))])
         parts = [(g, slice(ends[g], ends[g + 1])) for g in np.flatnonzero(np.diff(ends))]
         mixed = np.concatenate([self.weights[:, g] @ x[:, at] for g, at in parts])
         p = _chance(mixed)
         wrong, spread = bit[order] - p, p * (1 - p)
+        if times is not None:
+            often = times[order].astype(np.float32)
+            wrong, spread = wrong * often, spread * often
         for g, at in parts:
             self.slope[g] += x[:, at] @ wrong[at]
             self.curve[g] += (x[:, at] * spread[at]) @ x[:, at].T
@@ -376,17 +440,18 @@ def stepped(weights: np.ndarray, slope: np.ndarray, curve: np.ndarray) -> np.nda
 def learned_weights(rows: DataFrame, sums: list[np.ndarray], steps) -> np.ndarray:
     """The weights of each table and gate: ``PASSES`` Newton steps over every decision of ``rows``, summed by Spark.
 
-    ``steps(batch)`` gives the (bit, cells) of a batch. What was counted holds
-    each decision itself, so that is taken out before it is predicted.
+    ``steps(batch)`` gives the (bit, cells) of a batch, or (bit, cells, times)
+    where equal decisions are made once. What was counted holds each decision
+    itself, so that is taken out before it is predicted.
     """
     sent, n = rows.sparkSession.sparkContext.broadcast(without_itself(sums)), len(sums)
     weights = first_weights(n)
     for _ in range(PASSES):
         def run(batches, weights=weights):
             slopes = Slopes(sent.value, weights)
-            for batch in batches:
-                for bit, cells in steps(batch):
-                    slopes.add(bit, cells)
+            for batch in _gathered(batches):
+                for step in steps(batch):
+                    slopes.add(*step)
             yield slopes.rows()
 
         values = np.zeros(GATES * n * (n + 1))
@@ -424,40 +489,49 @@ def spelled(words: list[bytes], model: dict) -> np.ndarray:
     if not words:
         return np.zeros(0)
     total = 0
-    for bit, cells in spelling_steps(words):
+    spelling, at = np.unique(spelled_bytes(words), return_inverse=True)
+    for bit, cells in byte_steps(spelling):
         odds, gate = _inputs(model, cells)
         total = total + _cost(sum(w[gate] * x for w, x in zip(model["weights"], odds)), bit)
     sizes = np.array([len(w) + 1 for w in words])
-    return np.add.reduceat(total.astype(np.float64), np.cumsum(sizes) - sizes) / np.log(10)
+    return np.add.reduceat(total.astype(np.float64)[at], np.cumsum(sizes) - sizes) / np.log(10)
 
 
 def scored(ids: np.ndarray, sizes: np.ndarray, tree, model: dict) -> np.ndarray:
     """log10 of the chance of each text's way through the tree, its weights refined segment by segment."""
-    b = tree_bits(ids, sizes, tree)
-    order = np.argsort(b.segment, kind="stable")
-    odds, gate = _inputs(model, [c[order] for c in b.cells])
     # Texts by falling length: those that reach a segment come first.
     longest = np.argsort(-sizes, kind="stable")
-    rank = np.empty(len(sizes), np.int64)
-    rank[longest] = np.arange(len(sizes))
-    doc, bits = rank[b.doc[order]], b.bit[order]
+    lengths = sizes[longest]
+    place = np.arange(len(ids)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    ids = ids[place + np.repeat((np.cumsum(sizes) - sizes)[longest], lengths)]
+    segment = np.minimum(place // SEGMENT, 65535).astype(np.uint16)
+    order = np.argsort(segment, kind="stable")
+    b = tree_bits(ids, lengths, tree, order)
+    doc = np.repeat(np.arange(len(sizes)), lengths)[order][b.token]
+    odds, gate = _inputs(model, b.cells)
+    sign = b.bit.astype(np.float32) * 2 - 1
+    odds = [np.multiply(x, sign, out=x) for x in odds]  # of what comes
     where = doc * GATES + gate
     own = [np.tile(w, len(sizes)) for w in model["weights"]]
     total = np.zeros(len(sizes))
-    ends = np.flatnonzero(np.diff(b.segment[order], append=-1))
-    for start, end in zip(np.concatenate([[0], ends[:-1] + 1]), ends + 1):
-        at, bit, xs = where[start:end], bits[start:end], [x[start:end] for x in odds]
-        there = int(doc[start:end].max()) + 1
-        mixed = sum(w[at] * x for w, x in zip(own, xs))
-        against = np.exp(np.clip(np.where(bit == 1, -mixed, mixed), -14, 14))  # the odds against what comes
-        total[:there] -= np.bincount(doc[start:end], np.log1p(against), there)
-        if end < len(where):
-            missed = against / (1 + against)
-            wrong, spread = np.where(bit == 1, missed, -missed), missed * (1 - missed)
+    ends = np.searchsorted(b.token, np.flatnonzero(np.diff(segment[order], append=-1)), "right")
+    reach = doc[ends - 1] + 1
+    for start, end, there, further in zip(np.append(0, ends), ends, reach, np.append(reach[1:], 0)):
+        at, of, xs = where[start:end], doc[start:end], [x[start:end] for x in odds]
+        against = -sum(w[at] * x for w, x in zip(own, xs))
+        np.exp(np.clip(against, -14, 14, out=against), out=against)  # the odds against what comes
+        total[:there] -= np.bincount(of, np.log1p(against), there)
+        if further:
+            on = np.searchsorted(of, further)  # the rest ends here
+            missed = against[:on] / (1 + against[:on])
+            spread, at = missed * (1 - missed), at[:on]
             for w, x in zip(own, xs):
-                wx, xx = (np.bincount(at, y, there * GATES) for y in (wrong * x, spread * x * x))
-                w[:there * GATES] += (wx / (len(xs) * xx + STIFF)).astype(np.float32)
-    return total[rank] / np.log(10)
+                x = x[:on]
+                wx, xx = (np.bincount(at, y, further * GATES) for y in (missed * x, spread * x * x))
+                w[:further * GATES] += (wx / (len(xs) * xx + STIFF)).astype(np.float32)
+    out = np.empty(len(sizes))
+    out[longest] = total
+    return out / np.log(10)
 
 
 # --------------------------------------------------------------- the operator
@@ -492,16 +566,15 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
     unseen = min(0.99, max(0.01, once / rest)) if rest else 0.99
 
     def spelling(batch):
-        for at in range(0, batch.num_rows, 8192):
-            words = [w for w in batch.column(0).slice(at, 8192).to_pylist() if w not in sent_ids.value]
-            yield from spelling_steps(words) if words else ()
+        words = [w for w in batch.column(0).to_pylist() if w not in sent_ids.value]
+        yield from spelling_groups(words) if words else ()
 
     def counted(steps, sizes):
         def run(batches):
             counts = Counts(sizes)
-            for batch in batches:
-                for bit, cells in steps(batch):
-                    counts.add(bit, cells)
+            for batch in _gathered(batches):
+                for step in steps(batch):
+                    counts.add(*step)
             yield counts.rows()
         return run
 
@@ -511,16 +584,14 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
     sent_spelling = sc.broadcast(fitted(sums_spelling, weights=learned_weights(learned, sums_spelling, spelling)))
 
     def cost(batches):
-        for batch in batches:
+        for batch in _gathered(batches):
             words, c = batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False)
             number = np.array([sent_ids.value.get(w, 0) for w in words], np.int32)
-            value = np.zeros(len(words))
-            for at in range(0, len(words), 8192):
-                rare = at + np.flatnonzero(number[at:at + 8192] == 0)
-                spell = spelled([words[i] for i in rare], sent_spelling.value)
-                value[rare] = np.log10((1 - unseen) * c[rare] / max(rest, 1) + unseen * 10.0 ** np.maximum(spell, -290))
-                far = rare[spell < -290]
-                value[far] = np.where(c[far] > 0, value[far], np.log10(unseen) + spell[spell < -290])
+            value, rare = np.zeros(len(words)), np.flatnonzero(number == 0)
+            spell = spelled([words[i] for i in rare], sent_spelling.value)
+            value[rare] = np.log10((1 - unseen) * c[rare] / max(rest, 1) + unseen * 10.0 ** np.maximum(spell, -290))
+            far = rare[spell < -290]
+            value[far] = np.where(c[far] > 0, value[far], np.log10(unseen) + spell[spell < -290])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(number), pa.array(value)],
                                              ["word", "c", "id", "cost"])
 
@@ -550,21 +621,20 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
 
     sizes = [len(top) + 1, SLOTS, SLOTS, SLOTS]
 
-    def chunks(batch, column):
-        """(first row, ids, tokens of each) of some rows, bounded but for a single longer text."""
-        own, at, size = [], 0, 0
+    def chunks(batch, column, most):
+        """(ids, tokens of each) of some rows, bounded but for a single longer text."""
+        own, size = [], 0
         for i, x in enumerate(batch.column(column).to_pylist()):
             own.append(np.frombuffer(x, np.uint16))
             size += len(own[-1])
-            if size > CHUNK_TOKENS or i == batch.num_rows - 1:
-                yield at, np.concatenate(own).astype(np.int64), np.array([len(o) for o in own])
-                own, at, size = [], i + 1, 0
+            if size > most or i == batch.num_rows - 1:
+                yield np.concatenate(own).astype(np.int64), np.array([len(o) for o in own])
+                own, size = [], 0
 
     def decisions(batch):
         tree = SimpleNamespace(**sent_tree.value)
-        for _, words, lengths in chunks(batch, 0):
-            b = tree_bits(words, lengths, tree)
-            yield b.bit, b.cells
+        for words, lengths in chunks(batch, 0, GROUP_TOKENS):
+            yield from tree_groups(words, lengths, tree)
 
     learned = coded.where("NOT held_out").select("ids")
     model = tables(learned.mapInArrow(counted(decisions, sizes), ROWS), sizes)
@@ -573,7 +643,7 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
     def finish(batches):
         tree = SimpleNamespace(**sent_tree.value)
         for batch in batches:
-            found = [scored(words, lengths, tree, sent_model.value) for _, words, lengths in chunks(batch, 6)]
+            found = [scored(words, lengths, tree, sent_model.value) for words, lengths in chunks(batch, 6, CHUNK_TOKENS)]
             total = np.concatenate(found) + batch.column(5).to_numpy() if found else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(5)), pa.array(total)],
                                              ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
