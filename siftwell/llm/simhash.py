@@ -199,29 +199,31 @@ def links(reps: DataFrame, max_distance: int = MAX_DISTANCE, shard_rows: int = S
             .groupBy("shard").applyInPandas(search, "u long, v long"))
 
 
-def _settled(edges: DataFrame) -> bool:
-    """Whether every node hangs on one root that hangs on nothing."""
-    ends = (edges.select(F.col("u").alias("node"), F.lit(1).alias("above"), F.lit(0).alias("below"))
-            .union(edges.select("v", F.lit(0), F.lit(1))))
-    return (ends.groupBy("node").agg(F.sum("above").alias("above"), F.max("below").alias("below"))
-            .where((F.col("above") > 1) | ((F.col("above") > 0) & (F.col("below") > 0))).isEmpty())
+def _nodes(edges: DataFrame) -> DataFrame:
+    """(u, m, loose) of every node: the smallest of itself and its neighbours, and whether it does not just hang on one root or is one."""
+    ends = (edges.select("u", "v", F.lit(1).alias("above"), F.lit(0).alias("below"))
+            .union(edges.select("v", "u", F.lit(0), F.lit(1))))
+    above, below = F.sum("above"), F.max("below")
+    return ends.groupBy("u").agg(F.min("v").alias("m"), ((above > 1) | ((above > 0) & (below > 0))).alias("loose")).select(
+        "u", F.least("u", "m").alias("m"), "loose")
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root): alternating large and small stars until nothing changes.
+    """(node, root): alternating large and small stars until every node hangs on one root that hangs on nothing.
 
-    Each round is written, so a lost executor costs no earlier round, and a hub
-    is split by the adaptive join: its smallest neighbour is pre-aggregated.
+    Each round is written, so a lost executor costs no earlier round. A hub's
+    smallest neighbour is pre-aggregated and written as well: the join to its
+    edges is then one of two plain shuffles, which the adaptive join can split
+    (above an aggregate it does not), or a broadcast without any.
     """
     edges = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    while not _settled(edges):
-        both = edges.union(edges.select(F.col("v"), F.col("u")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = written(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-                        .union(edges.join(least, "u").select("u", F.col("m").alias("v"))).where("u <> v").distinct())
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+    while not (nodes := written(_nodes(edges))).where("loose").isEmpty():
+        least = nodes.select("u", "m")
+        large = written(edges.select(F.col("v").alias("u"), F.col("u").alias("v")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+                        .union(least.where("u <> m")).distinct())
+        least = written(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        edges = written(small.union(least.select("u", F.col("m").alias("v"))).distinct())
+        edges = written(small.union(least).distinct())
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 

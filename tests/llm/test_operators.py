@@ -121,6 +121,33 @@ def test_components_of_a_path_and_a_hub(spark):
     assert found == {**{i: 1 for i in range(2, 41)}, **{100 + i: 100 for i in range(1, 50)}, 200: 100, 201: 100}
 
 
+@pytest.mark.parametrize("hub", [0, 3000, 6000])
+def test_the_rows_of_a_hub_are_split(spark, monkeypatch, hub):
+    """The smallest, a middle and the largest node: joins of a partition beyond the session's limit are dealt over several tasks."""
+    limits = {"spark.sql.shuffle.partitions": "8", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1",
+              "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "8k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+              "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k", "spark.sql.files.maxPartitionBytes": "8k", "spark.sql.files.openCostInBytes": "1k"}
+    write, split = simhash.written, []
+
+    def planned(df):
+        df.collect()
+        split.append(df._jdf.queryExecution().executedPlan().toString().count("SortMergeJoin(skew=true)"))
+        return write(df)
+
+    monkeypatch.setattr(simhash, "written", planned)
+    before = {k: spark.conf.get(k, None) for k in limits}
+    try:
+        for k, v in limits.items():
+            spark.conf.set(k, v)
+        edges = [(hub, i) for i in range(6001) if i != hub] + [(6000, 6001), (6001, 6002)]
+        found = {r["node"]: r["root"] for r in simhash.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert found == {i: 0 for i in range(1, 6003)}
+    assert sum(split) > 0
+
+
 def test_shards_do_not_change_the_links(spark):
     rng = random.Random(3)
     points = [rng.getrandbits(63) for _ in range(300)]
